@@ -11,7 +11,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contrail.operators.running import prefix_aggregates
+from contrail.operators.running import BEFORE_ALL, prefix_aggregates
 
 HISTOGRAM_BINS = 4096
 BRACKET = 0.001
@@ -156,11 +156,13 @@ def chronological_split(
 ) -> DataFrame:
     """Label rows train, validation or test by their position in a total order.
 
-    ``bins`` are order-preserving functions of the order, coarse to fine. Chunk counts find the chunks that hold
+    ``bins`` are whole-number, order-preserving functions of the order, coarse to fine. Chunk counts find the chunks that hold
     the two boundaries; only those chunks are sorted, all other rows are labelled by comparing their chunk.
     """
     bin_names = [f"_s{i}" for i in range(len(bins))]
-    prepared = df.withColumns(dict(zip(bin_names, bins, strict=True)))
+    prepared = df.withColumns(
+        {n: F.coalesce(b.cast("bigint"), F.lit(BEFORE_ALL)) for n, b in zip(bin_names, bins, strict=True)}
+    )
     counted = prepared.groupBy(*bin_names).agg(F.count(F.lit(1)).alias("_c"))
     running = prefix_aggregates(
         counted,

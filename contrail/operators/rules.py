@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from contrail.functions.columns import delay_category, minutes_between
 from contrail.operators.findings import COLUMNS, Rule, record_identifier, rule_findings, table_findings, union_all
 from contrail.operators.picks import pick_last
-from contrail.operators.running import drop_ghosts, prefix_aggregates, with_lookback
+from contrail.operators.running import drop_ghosts, hour_bin, prefix_aggregates, with_lookback
 from contrail.sources.contracts import CONTRACTS, DatasetContract
 
 SENSORS = (
@@ -245,7 +245,7 @@ def overlap_check(flights: DataFrame, row: str = "row_number") -> DataFrame:
         ["aircraft_id"],
         [dep, F.col(row)],
         {"previous_arrival": ("last", F.col("scheduled_arrival_utc"))},
-        [F.date_trunc("month", dep), F.date_trunc("hour", dep)],
+        [hour_bin(dep)],
     )
     return ordered.filter(F.col("scheduled_departure_utc") < F.col("previous_arrival"))
 

@@ -13,6 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+BEFORE_ALL = -(2**62)
 KINDS = ("sum", "count", "max", "min", "last")
 
 
@@ -50,6 +51,25 @@ def _merge_kind(kind: str) -> str:
     return "sum" if kind == "count" else kind
 
 
+def day_bin(value: Column | str) -> Column:
+    """Day number of a date or timestamp."""
+    return F.unix_date(F.to_date(value))
+
+
+def hour_bin(ts: Column | str) -> Column:
+    """Hour number of a timestamp."""
+    return F.floor(F.unix_seconds(ts) / 3600)
+
+
+def span_bin(value: Column | str, width: int) -> Column:
+    """Number of the fixed-width span a whole number lies in."""
+    return F.floor((F.col(value) if isinstance(value, str) else value) / width)
+
+
+def _bin_columns(names: Sequence[str], bins: Sequence[Column]) -> dict[str, Column]:
+    return {n: F.coalesce(b.cast("bigint"), F.lit(BEFORE_ALL)) for n, b in zip(names, bins, strict=True)}
+
+
 def _names(prefix: str, count: int) -> list[str]:
     return [f"{prefix}{i}" for i in range(count)]
 
@@ -68,8 +88,8 @@ def prefix_aggregates(
 ) -> DataFrame:
     """Add aggregates over all earlier rows of the same key (the current row excluded).
 
-    ``order`` must be a total order and ``bins`` order-preserving functions of it, coarse to fine.
-    A missing key counts as the empty text.
+    ``order`` must be a total order and ``bins`` whole-number, order-preserving functions of it, coarse to fine.
+    A missing key counts as the empty text, a missing bin sorts first.
     """
     added = _key_columns(keys)
     bin_names = _names("_b", len(bins))
@@ -77,7 +97,7 @@ def prefix_aggregates(
     prepared = df.withColumns(
         {
             **added,
-            **dict(zip(bin_names, bins, strict=True)),
+            **_bin_columns(bin_names, bins),
             **{value_names[name]: expr for name, (_, expr) in measures.items()},
         }
     )
@@ -147,7 +167,7 @@ def with_lookback(
     """
     added = _key_columns(keys)
     key_names, bin_names = list(added), _names("_b", len(bins))
-    prepared = df.withColumns({**added, **dict(zip(bin_names, bins, strict=True))})
+    prepared = df.withColumns({**added, **_bin_columns(bin_names, bins)})
     chunk = [*key_names, *bin_names]
     carried = list(dict.fromkeys([*order, *columns]))
     newest_first = Window.partitionBy(*chunk).orderBy(*[F.col(c).desc() for c in order])

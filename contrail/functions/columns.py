@@ -152,3 +152,8 @@ def dot(values: Mapping[str, Column], weights: Mapping[str, float]) -> Column:
 def round_half_even(value: Column | str) -> Column:
     """Nearest whole number, halves to even."""
     return F.bround(as_col(value), 0)
+
+
+def round6(value: Column | str) -> Column:
+    """Six decimals; a nudge far below them keeps float noise from flipping half-way values."""
+    return F.round(as_col(value) + F.lit(1e-10), 6)

@@ -12,24 +12,15 @@ from contrail.functions.columns import (
     array_rank,
     band_case,
     band_threshold,
-    clamp01,
     count_when,
-    dot,
-    highest_by_order,
-    nz,
+    rank_of,
+    round6,
     safe_divide,
     sha_id,
 )
 from contrail.operators.history import prior_pressure
 from contrail.operators.intervals import airport_event_exposure, weather_exposure
-from contrail.operators.picks import (
-    dominant_value,
-    join_lookup,
-    join_optional_source,
-    latest_observation,
-    pick_first,
-    topk_global,
-)
+from contrail.operators.picks import latest_observation, pick_first, pick_last, topk_global
 
 # Component names with their labels and weights, bands, priorities and review texts.
 COMPONENT_LABELS = {
@@ -120,243 +111,235 @@ def disruption_features(
     )
     outcome = delays.select(
         "flight_id",
-        F.col("departure_delay_minutes").cast("double").alias("departure_delay_minutes"),
-        F.col("arrival_delay_minutes").cast("double").alias("arrival_delay_minutes"),
+        "departure_delay_minutes",
+        "arrival_delay_minutes",
         "delay_category",
         "cancelled_flag",
         "diverted_flag",
-        F.col("reactionary_delay_minutes").cast("double").alias("reactionary_delay_minutes"),
+        "reactionary_delay_minutes",
+        F.lit(True).alias("_outcome"),
     )
-    df = join_optional_source(
-        base,
-        outcome,
-        "flight_id",
-        {
-            "departure_delay_minutes": 0.0,
-            "arrival_delay_minutes": 0.0,
-            "delay_category": "",
-            "cancelled_flag": False,
-            "diverted_flag": False,
-            "reactionary_delay_minutes": 0.0,
-        },
-        "delay_outcome_available",
-    )
-    df = join_lookup(
-        df,
-        crew.select(
-            "flight_id",
+    crew_state = pick_last(
+        crew,
+        ["flight_id"],
+        [F.col(crew_order)],
+        [
             "captain_available",
             "first_officer_available",
-            F.col("cabin_crew_required").cast("double").alias("cabin_crew_required"),
-            F.col("cabin_crew_assigned").cast("double").alias("cabin_crew_assigned"),
+            "cabin_crew_required",
+            "cabin_crew_assigned",
             "reserve_crew_used",
-            F.col("connection_risk_minutes").cast("double").alias("connection_risk_minutes"),
+            "connection_risk_minutes",
             "crew_disruption_flag",
-            F.col(crew_order),
-        ),
-        "flight_id",
-        {
-            "captain_available": True,
-            "first_officer_available": True,
-            "cabin_crew_required": 0.0,
-            "cabin_crew_assigned": 0.0,
-            "reserve_crew_used": False,
-            "connection_risk_minutes": 0.0,
-            "crew_disruption_flag": False,
-        },
-        row_order=[F.col(crew_order)],
-    )
-    latest = latest_observation(demand, ["expected_final_passengers"], tie_breakers=demand_ties)
-    df = df.join(latest, "flight_id", "left").withColumn(
-        "expected_final_passengers", nz("expected_final_passengers")
+        ],
     )
     newest = pick_first(
         health.filter(F.col("flight_id").isNotNull()),
         ["flight_id"],
         [-F.unix_micros("event_timestamp_utc"), F.col("telemetry_id")],
         ["maintenance_risk_score"],
-    ).select("flight_id", (F.col("maintenance_risk_score") / 100.0).alias("source_maintenance_risk_score"))
-    df = df.join(newest, "flight_id", "left").withColumn(
-        "source_maintenance_risk_score", nz("source_maintenance_risk_score")
-    )
+    ).withColumnRenamed("maintenance_risk_score", "_source_risk")
     at_departure = base.select("flight_id", "scheduled_departure_utc", "origin_airport", "destination_airport")
-    df = df.join(weather_exposure(at_departure, weather, at="scheduled_departure_utc"), "flight_id", "left")
-    df = df.join(airport_event_exposure(at_departure, airport_events, at="scheduled_departure_utc"), "flight_id", "left")
-    df = df.withColumns(
-        {
-            "max_weather_impact_score": nz("weather_max_impact_score") / 100.0,
-            "origin_weather_event_count": nz("origin_weather_event_count"),
-            "destination_weather_event_count": nz("destination_weather_event_count"),
-            "severe_weather_flag": nz("weather_max_severity") >= 4,
-            "weather_exposure_flag": nz("weather_event_count") > 0,
-            "airport_event_count": nz("airport_event_count"),
-            "maximum_airport_event_severity": nz("airport_max_severity"),
-            "maximum_capacity_reduction_percent": nz("airport_max_capacity_reduction"),
-            "estimated_airport_event_delay": nz("airport_max_estimated_delay"),
-            "airport_event_exposure_flag": nz("airport_event_count") > 0,
-            "crew_shortage_flag": F.col("cabin_crew_assigned") < F.col("cabin_crew_required"),
-            "latest_booking_load_factor": F.col("expected_final_passengers") / F.greatest(F.lit(1.0), "seat_capacity"),
-        }
-    ).drop(
-        "weather_max_impact_score",
-        "weather_max_severity",
-        "weather_event_count",
-        "airport_max_severity",
-        "airport_max_capacity_reduction",
-        "airport_max_estimated_delay",
-    )
-    df = prior_pressure(df)
-    df = _optional_inputs(df, forecast, delay_predictions, maintenance)
-    return df.withColumns(
-        {
-            "weather_disruption_flag": F.col("weather_exposure_flag"),
-            "airport_disruption_flag": F.col("airport_event_exposure_flag"),
-            "aircraft_disruption_flag": (F.col("source_maintenance_risk_score") > 0.6)
-            | (F.col("maintenance_risk_score") > 0.6),
-            "passenger_pressure_flag": (F.col("latest_booking_load_factor") > 0.9)
-            | (F.col("forecast_load_factor") > 0.9),
-            "network_reactionary_flag": (F.col("reactionary_delay_minutes") > 0)
-            | (F.col("prior_route_delay_pressure") > 0.5),
-        }
-    )
-
-
-def _optional_inputs(
-    df: DataFrame, forecast: DataFrame | None, predictions: DataFrame | None, maintenance: DataFrame | None
-) -> DataFrame:
-    if forecast is not None:
-        forecast = forecast.select(
-            "flight_id",
-            F.col("forecast_passengers").cast("double").alias("forecast_passengers"),
-            (F.col("forecast_upper_95") - F.col("forecast_lower_95")).cast("double").alias("demand_uncertainty_width"),
-            F.col("constraint_applied").alias("forecast_constraint_applied"),
-        )
-    df = join_optional_source(
-        df,
-        forecast,
-        "flight_id",
-        {"forecast_passengers": 0.0, "demand_uncertainty_width": 0.0, "forecast_constraint_applied": False},
-        "optional_passenger_forecast_used",
-    ).withColumn("forecast_load_factor", F.col("forecast_passengers") / F.greatest(F.lit(1.0), "seat_capacity"))
-    if predictions is not None:
-        predictions = predictions.select(
-            "flight_id",
-            F.col("delay_probability").alias("predicted_delay_probability"),
-            F.col("estimated_delay_minutes").alias("predicted_delay_minutes"),
-            F.col("risk_band").alias("predicted_delay_risk_band"),
+    pressure = prior_pressure(
+        base.select("flight_id", "route_id", "operating_date", "scheduled_departure_utc").join(
+            outcome.select("flight_id", "departure_delay_minutes"), "flight_id", "left"
         )
-    df = join_optional_source(
-        df,
-        predictions,
-        "flight_id",
-        {"predicted_delay_probability": 0.0, "predicted_delay_minutes": 0.0, "predicted_delay_risk_band": ""},
-        "optional_delay_prediction_used",
-    )
-    if maintenance is not None:
-        maintenance = maintenance.select(
-            "flight_id",
-            "maintenance_risk_score",
-            "aircraft_health_score",
-            F.col("alert_category").alias("maintenance_alert_category"),
-        )
-    return join_optional_source(
-        df,
-        maintenance,
-        "flight_id",
-        {"maintenance_risk_score": 0.0, "aircraft_health_score": 1.0, "maintenance_alert_category": ""},
-        "optional_maintenance_analytics_used",
+    ).select("flight_id", "prior_route_delay_pressure", "same_day_route_disruption_count")
+    sources = [
+        outcome,
+        crew_state,
+        latest_observation(demand, ["expected_final_passengers"], tie_breakers=demand_ties),
+        newest,
+        weather_exposure(at_departure, weather, at="scheduled_departure_utc"),
+        airport_event_exposure(at_departure, airport_events, at="scheduled_departure_utc"),
+        pressure,
+    ]
+    derived = dict(FEATURE_SQL)
+    for source, columns in (
+        (forecast, FORECAST_SQL),
+        (delay_predictions, PREDICTION_SQL),
+        (maintenance, MAINTENANCE_SQL),
+    ):
+        if source is None:
+            derived.update({name: missing for name, (_, missing) in columns.items()})
+        else:
+            prefix = columns["_prefix"][0]
+            needed = {c for c in source.columns if any(f"{prefix}{c}" in sql for sql, _ in columns.values())}
+            sources.append(
+                source.select(
+                    "flight_id",
+                    *[F.col(c).alias(f"{prefix}{c}") for c in sorted(needed - {"flight_id"})],
+                    F.lit(True).alias(f"{prefix}used"),
+                )
+            )
+            derived.update({name: present for name, (present, _) in columns.items()})
+    derived.pop("_prefix", None)
+    df = base
+    for source in sources:
+        df = df.join(source, "flight_id", "left")
+    kept = [c for c in base.columns if c not in derived]
+    return df.selectExpr(*kept, *[f"{sql} AS {name}" for name, sql in derived.items()]).selectExpr(
+        "*", *[f"{sql} AS {name}" for name, sql in FLAG_SQL.items()]
     )
 
 
-def component_columns(settings: DisruptionSettings = DEFAULTS) -> dict[str, Column]:
-    """The seven components, each the largest of its scaled signals within [0, 1]."""
-    one, zero = F.lit(1.0), F.lit(0.0)
+def _number(name: str, default: str = "0") -> str:
+    return f"coalesce(cast({name} AS double), {default}.0D)"
+
+
+def _flag(name: str, default: str = "false") -> str:
+    return f"coalesce({name}, {default})"
+
+
+FEATURE_SQL = {
+    "delay_outcome_available": _flag("_outcome"),
+    "departure_delay_minutes": _number("departure_delay_minutes"),
+    "arrival_delay_minutes": _number("arrival_delay_minutes"),
+    "delay_category": "coalesce(delay_category, '')",
+    "cancelled_flag": _flag("cancelled_flag"),
+    "diverted_flag": _flag("diverted_flag"),
+    "reactionary_delay_minutes": _number("reactionary_delay_minutes"),
+    "captain_available": _flag("captain_available", "true"),
+    "first_officer_available": _flag("first_officer_available", "true"),
+    "cabin_crew_required": _number("cabin_crew_required"),
+    "cabin_crew_assigned": _number("cabin_crew_assigned"),
+    "reserve_crew_used": _flag("reserve_crew_used"),
+    "connection_risk_minutes": _number("connection_risk_minutes"),
+    "crew_disruption_flag": _flag("crew_disruption_flag"),
+    "crew_shortage_flag": f"{_number('cabin_crew_assigned')} < {_number('cabin_crew_required')}",
+    "expected_final_passengers": _number("expected_final_passengers"),
+    "latest_booking_load_factor": f"{_number('expected_final_passengers')} / greatest(1.0D, seat_capacity)",
+    "source_maintenance_risk_score": f"{_number('_source_risk')} / 100.0D",
+    "max_weather_impact_score": f"{_number('weather_max_impact_score')} / 100.0D",
+    "origin_weather_event_count": _number("origin_weather_event_count"),
+    "destination_weather_event_count": _number("destination_weather_event_count"),
+    "severe_weather_flag": f"{_number('weather_max_severity')} >= 4",
+    "weather_exposure_flag": f"{_number('weather_event_count')} > 0",
+    "airport_event_count": _number("airport_event_count"),
+    "maximum_airport_event_severity": _number("airport_max_severity"),
+    "maximum_capacity_reduction_percent": _number("airport_max_capacity_reduction"),
+    "estimated_airport_event_delay": _number("airport_max_estimated_delay"),
+    "airport_event_exposure_flag": f"{_number('airport_event_count')} > 0",
+    "prior_route_delay_pressure": "prior_route_delay_pressure",
+    "same_day_route_disruption_count": "same_day_route_disruption_count",
+}
+# Per optional source: output column -> (expression when supplied, constant when not).
+FORECAST_SQL = {
+    "_prefix": ("_pf_", ""),
+    "optional_passenger_forecast_used": (_flag("_pf_used"), "false"),
+    "forecast_passengers": (_number("_pf_forecast_passengers"), "0.0D"),
+    "forecast_load_factor": (f"{_number('_pf_forecast_passengers')} / greatest(1.0D, seat_capacity)", "0.0D"),
+    "demand_uncertainty_width": (
+        f"{_number('_pf_forecast_upper_95')} - {_number('_pf_forecast_lower_95')}",
+        "0.0D",
+    ),
+    "forecast_constraint_applied": (_flag("_pf_constraint_applied"), "false"),
+}
+PREDICTION_SQL = {
+    "_prefix": ("_dp_", ""),
+    "optional_delay_prediction_used": (_flag("_dp_used"), "false"),
+    "predicted_delay_probability": (_number("_dp_delay_probability"), "0.0D"),
+    "predicted_delay_minutes": (_number("_dp_estimated_delay_minutes"), "0.0D"),
+    "predicted_delay_risk_band": ("coalesce(_dp_risk_band, '')", "''"),
+}
+MAINTENANCE_SQL = {
+    "_prefix": ("_mr_", ""),
+    "optional_maintenance_analytics_used": (_flag("_mr_used"), "false"),
+    "maintenance_risk_score": (_number("_mr_maintenance_risk_score"), "0.0D"),
+    "aircraft_health_score": (_number("_mr_aircraft_health_score", "1"), "1.0D"),
+    "maintenance_alert_category": ("coalesce(_mr_alert_category, '')", "''"),
+}
+FLAG_SQL = {
+    "weather_disruption_flag": "weather_exposure_flag",
+    "airport_disruption_flag": "airport_event_exposure_flag",
+    "aircraft_disruption_flag": "source_maintenance_risk_score > 0.6D OR maintenance_risk_score > 0.6D",
+    "passenger_pressure_flag": "latest_booking_load_factor > 0.9D OR forecast_load_factor > 0.9D",
+    "network_reactionary_flag": "reactionary_delay_minutes > 0 OR prior_route_delay_pressure > 0.5D",
+}
 
-    def when(flag: Column, value: float) -> Column:
-        return F.when(flag, F.lit(value)).otherwise(zero)
 
+def component_sql(settings: DisruptionSettings = DEFAULTS) -> dict[str, str]:
+    """The seven components, each the largest of its scaled signals within [0, 1]."""
     signals = {
         "delay": (
-            F.col("predicted_delay_probability"),
-            F.col("departure_delay_minutes") / settings.severe_delay_minutes,
-            when(F.col("cancelled_flag") | F.col("diverted_flag"), 1.0),
+            "predicted_delay_probability",
+            f"departure_delay_minutes / {settings.severe_delay_minutes}D",
+            "if(cancelled_flag OR diverted_flag, 1.0D, 0.0D)",
         ),
-        "weather": (F.col("max_weather_impact_score"), when(F.col("severe_weather_flag"), 0.7)),
+        "weather": ("max_weather_impact_score", "if(severe_weather_flag, 0.7D, 0.0D)"),
         "airport_events": (
-            F.col("maximum_capacity_reduction_percent") / max(1.0, settings.high_capacity_reduction),
-            F.col("estimated_airport_event_delay") / 60.0,
-            F.col("maximum_airport_event_severity") / 5.0,
+            f"maximum_capacity_reduction_percent / {max(1.0, settings.high_capacity_reduction)}D",
+            "estimated_airport_event_delay / 60.0D",
+            "maximum_airport_event_severity / 5.0D",
         ),
         "crew": (
-            when(~F.col("captain_available") | ~F.col("first_officer_available"), 1.0),
-            when(F.col("crew_shortage_flag"), 0.8),
-            when(F.col("reserve_crew_used"), 0.5),
-            F.col("connection_risk_minutes") / max(1.0, settings.high_connection_risk_minutes),
-            when(F.col("crew_disruption_flag"), 0.7),
+            "if(NOT captain_available OR NOT first_officer_available, 1.0D, 0.0D)",
+            "if(crew_shortage_flag, 0.8D, 0.0D)",
+            "if(reserve_crew_used, 0.5D, 0.0D)",
+            f"connection_risk_minutes / {max(1.0, settings.high_connection_risk_minutes)}D",
+            "if(crew_disruption_flag, 0.7D, 0.0D)",
         ),
         "aircraft_health": (
-            F.col("source_maintenance_risk_score"),
-            F.col("maintenance_risk_score"),
-            F.when(F.col("optional_maintenance_analytics_used"), one - F.col("aircraft_health_score")).otherwise(zero),
+            "source_maintenance_risk_score",
+            "maintenance_risk_score",
+            "if(optional_maintenance_analytics_used, 1.0D - aircraft_health_score, 0.0D)",
         ),
         "passenger_pressure": (
-            F.col("latest_booking_load_factor") / max(0.01, settings.high_load_factor),
-            F.col("forecast_load_factor") / max(0.01, settings.high_load_factor),
-            F.col("demand_uncertainty_width") / F.greatest(one, F.col("seat_capacity")),
+            f"latest_booking_load_factor / {max(0.01, settings.high_load_factor)}D",
+            f"forecast_load_factor / {max(0.01, settings.high_load_factor)}D",
+            "demand_uncertainty_width / greatest(1.0D, seat_capacity)",
         ),
         "network_reactionary": (
-            F.col("reactionary_delay_minutes") / max(1.0, settings.high_reactionary_minutes),
-            F.col("prior_route_delay_pressure"),
-            F.col("same_day_route_disruption_count") / 4.0,
+            f"reactionary_delay_minutes / {max(1.0, settings.high_reactionary_minutes)}D",
+            "prior_route_delay_pressure",
+            "same_day_route_disruption_count / 4.0D",
         ),
     }
-    return {name: clamp01(F.greatest(*parts)) for name, parts in signals.items()}
+    return {name: f"least(1.0D, greatest(0.0D, {', '.join(parts)}))" for name, parts in signals.items()}
 
 
 def disruption_components(features: DataFrame, settings: DisruptionSettings = DEFAULTS) -> DataFrame:
     """Add ``<component>_component_score`` columns."""
-    return features.withColumns({f"{n}_component_score": c for n, c in component_columns(settings).items()})
+    return features.selectExpr(
+        "*", *[f"{sql} AS {name}_component_score" for name, sql in component_sql(settings).items()]
+    )
+
+
+def _weighted(parts: Mapping[str, str], weights: Mapping[str, float]) -> str:
+    total = " + ".join(f"{parts[name]} * {float(weight)}D" for name, weight in weights.items())
+    return f"least(1.0D, greatest(0.0D, {total}))"
 
 
 def disruption_severity(features: DataFrame, settings: DisruptionSettings = DEFAULTS) -> DataFrame:
     """Add component, forward, retrospective and severity scores, bands, driver and review columns."""
-    df = disruption_components(features, settings)
-    components = {name: F.col(f"{name}_component_score") for name in COMPONENT_LABELS}
-    pressure = F.col("prior_route_delay_pressure")
+    names = {name: f"{name}_component_score" for name in COMPONENT_LABELS}
     forward = {
-        **components,
-        "delay": F.greatest(F.col("predicted_delay_probability"), pressure),
-        "network_reactionary": pressure,
+        **names,
+        "delay": "greatest(predicted_delay_probability, prior_route_delay_pressure)",
+        "network_reactionary": "prior_route_delay_pressure",
     }
-    df = df.withColumns(
-        {
-            "_forward": clamp01(dot(forward, settings.weights)),
-            "_retro": clamp01(dot(components, settings.weights)),
-            "contributing_factors": array_rank(components, COMPONENT_LABELS),
-        }
-    )
-    df = df.withColumn(
-        "_severity",
-        clamp01(
-            F.greatest(
-                F.col("_forward") if settings.use_forward else F.lit(0.0),
-                F.col("_retro") if settings.use_retrospective else F.lit(0.0),
-            )
-        ),
+    scored = disruption_components(features, settings).selectExpr(
+        "*", f"{_weighted(forward, settings.weights)} AS _forward", f"{_weighted(names, settings.weights)} AS _retro"
     )
+    used = [n for n, on in (("_forward", settings.use_forward), ("_retro", settings.use_retrospective)) if on]
     severity = F.col("_severity")
-    return df.withColumns(
-        {
-            "forward_disruption_risk_score": F.round("_forward", 6),
-            "retrospective_disruption_score": F.round("_retro", 6),
-            "disruption_severity_score": F.round(severity, 6),
-            "disruption_risk_band": band_case(severity, settings.risk_bands),
-            "recovery_priority": band_case(severity, settings.priorities),
-            "primary_disruption_driver": F.coalesce(F.get("contributing_factors", F.lit(0)), F.lit(NO_DRIVER)),
-            "recommended_review_action": band_threshold(severity, ACTIONS, DEFAULT_ACTION),
-            "human_review_required": severity >= settings.review_at,
-        }
-    ).drop("_forward", "_retro", "_severity")
+    return (
+        scored.withColumn("_severity", F.expr(f"least(1.0D, greatest(0.0D, 0.0D, {', '.join(used)}))" if used else "0.0D"))
+        .withColumn("contributing_factors", array_rank({n: F.col(c) for n, c in names.items()}, COMPONENT_LABELS))
+        .withColumns(
+            {
+                "forward_disruption_risk_score": round6("_forward"),
+                "retrospective_disruption_score": round6("_retro"),
+                "disruption_severity_score": round6(severity),
+                "disruption_risk_band": band_case(severity, settings.risk_bands),
+                "recovery_priority": band_case(severity, settings.priorities),
+                "primary_disruption_driver": F.coalesce(F.get("contributing_factors", F.lit(0)), F.lit(NO_DRIVER)),
+                "recommended_review_action": band_threshold(severity, ACTIONS, DEFAULT_ACTION),
+                "human_review_required": severity >= settings.review_at,
+            }
+        )
+        .drop("_forward", "_retro", "_severity")
+    )
 
 
 def disruption_alerts(scores: DataFrame, run_id: str, settings: DisruptionSettings = DEFAULTS) -> DataFrame:
@@ -398,35 +381,57 @@ def severe_or_high() -> Column:
     return count_when(F.col("disruption_risk_band").isin("high", "severe"))
 
 
-def _with_driver(df: DataFrame, key: str, aggregates: list[Column]) -> DataFrame:
-    """One shuffle per group table: counts per (key, driver) give the dominant driver and roll up to the key."""
-    summary = df.groupBy(key).agg(
-        *aggregates, highest_by_order("recovery_priority", PRIORITY_ORDER).alias("review_priority")
+def group_rollup(scores: DataFrame, key: str, measures: Mapping[str, tuple[str, Column]]) -> DataFrame:
+    """Per key: the measures, the dominant driver (ties to the smallest name) and the highest review priority.
+
+    The scores are read once: partial results per (key, driver) are merged to the key, so finding the most frequent
+    driver costs no second pass. Kinds: count (of true), sum, max, avg.
+    """
+    first: list[Column] = [F.count(F.lit(1)).alias("_n")]
+    second: list[Column] = []
+    for name, (kind, expr) in measures.items():
+        if kind == "count":
+            first.append(count_when(expr).alias(f"_{name}"))
+            second.append(F.sum(f"_{name}").alias(name))
+        elif kind == "avg":
+            first += [F.sum(expr).alias(f"_s_{name}"), F.count(expr).alias(f"_c_{name}")]
+            second.append(F.try_divide(F.sum(f"_s_{name}"), F.sum(f"_c_{name}")).alias(name))
+        else:
+            merge = F.sum if kind == "sum" else F.max
+            first.append(merge(expr).alias(f"_{name}"))
+            second.append(merge(f"_{name}").alias(name))
+    rank = F.struct(rank_of("recovery_priority", PRIORITY_ORDER).alias("r"), F.col("recovery_priority").alias("l"))
+    per_driver = scores.groupBy(key, "primary_disruption_driver").agg(*first, F.max(rank).alias("_p"))
+    driver = F.col("primary_disruption_driver")
+    return per_driver.groupBy(key).agg(
+        F.sum("_n").alias("flight_count"),
+        *second,
+        F.min_by(driver, F.struct(-F.col("_n"), driver)).alias("dominant_disruption_driver"),
+        F.max("_p")["l"].alias("review_priority"),
     )
-    driver = dominant_value(df, [key], "primary_disruption_driver", "dominant_disruption_driver")
-    return summary.join(driver, key)
 
 
-def _score_stats() -> list[Column]:
-    return [
-        F.count(F.lit(1)).alias("flight_count"),
-        F.avg("disruption_severity_score").alias("average_disruption_score"),
-        F.max("disruption_severity_score").alias("maximum_disruption_score"),
-    ]
+def _score_stats() -> dict[str, tuple[str, Column]]:
+    return {
+        "average_disruption_score": ("avg", F.col("disruption_severity_score")),
+        "maximum_disruption_score": ("max", F.col("disruption_severity_score")),
+    }
+
+
+def _high() -> dict[str, tuple[str, Column]]:
+    return {"severe_or_high_count": ("count", F.col("disruption_risk_band").isin("high", "severe"))}
+
+
+def _cancellations() -> dict[str, tuple[str, Column]]:
+    return {
+        "cancellation_count": ("count", F.col("cancelled_flag")),
+        "diversion_count": ("count", F.col("diverted_flag")),
+    }
 
 
 def route_summary(scores: DataFrame) -> DataFrame:
-    return _with_driver(
-        scores,
-        "route_id",
-        [
-            *_score_stats(),
-            severe_or_high().alias("severe_or_high_count"),
-            count_when(F.col("cancelled_flag")).alias("cancellation_count"),
-            count_when(F.col("diverted_flag")).alias("diversion_count"),
-            F.avg("departure_delay_minutes").alias("average_delay_minutes"),
-        ],
-    )
+    delay = {"average_delay_minutes": ("avg", F.col("departure_delay_minutes"))}
+    return group_rollup(scores, "route_id", {**_score_stats(), **_high(), **_cancellations(), **delay})
 
 
 def both_ends(df: DataFrame) -> DataFrame:
@@ -435,52 +440,37 @@ def both_ends(df: DataFrame) -> DataFrame:
         F.struct(F.lit("dep").alias("end"), F.col("origin_airport").alias("airport_code")),
         F.struct(F.lit("arr").alias("end"), F.col("destination_airport").alias("airport_code")),
     )
-    return df.withColumn("_end", F.explode(ends)).select("*", "_end.end", "_end.airport_code").drop("_end")
+    return df.select("*", F.inline(ends))
 
 
 def airport_summary(scores: DataFrame) -> DataFrame:
     """Per airport; a flight counts at its origin and at its destination."""
-    return _with_driver(
-        both_ends(scores),
-        "airport_code",
-        [
-            count_when(F.col("end") == "dep").alias("departure_flight_count"),
-            count_when(F.col("end") == "arr").alias("arrival_flight_count"),
-            F.avg("disruption_severity_score").alias("average_disruption_score"),
-            F.max("disruption_severity_score").alias("maximum_disruption_score"),
-            F.sum(F.col("origin_weather_event_count") + F.col("destination_weather_event_count")).alias(
-                "weather_event_count"
-            ),
-            F.sum("airport_event_count").alias("airport_event_count"),
-            severe_or_high().alias("severe_or_high_count"),
-        ],
-    )
+    measures = {
+        "departure_flight_count": ("count", F.col("end") == "dep"),
+        "arrival_flight_count": ("count", F.col("end") == "arr"),
+        **_score_stats(),
+        "weather_event_count": (
+            "sum",
+            F.col("origin_weather_event_count") + F.col("destination_weather_event_count"),
+        ),
+        "airport_event_count": ("sum", F.col("airport_event_count")),
+        **_high(),
+    }
+    return group_rollup(both_ends(scores), "airport_code", measures).drop("flight_count")
 
 
 def aircraft_disruption_summary(scores: DataFrame) -> DataFrame:
-    return _with_driver(
-        scores,
-        "aircraft_id",
-        [
-            *_score_stats(),
-            F.max("aircraft_type").alias("aircraft_type"),
-            count_when(F.col("aircraft_health_component_score") > 0).alias("maintenance_related_count"),
-            count_when(F.col("network_reactionary_component_score") > 0).alias("reactionary_delay_count"),
-        ],
-    )
+    measures = {
+        **_score_stats(),
+        "aircraft_type": ("max", F.col("aircraft_type")),
+        "maintenance_related_count": ("count", F.col("aircraft_health_component_score") > 0),
+        "reactionary_delay_count": ("count", F.col("network_reactionary_component_score") > 0),
+    }
+    return group_rollup(scores, "aircraft_id", measures)
 
 
 def daily_summary(scores: DataFrame, alerts: DataFrame) -> DataFrame:
-    days = _with_driver(
-        scores,
-        "operating_date",
-        [
-            *_score_stats(),
-            severe_or_high().alias("severe_or_high_count"),
-            count_when(F.col("cancelled_flag")).alias("cancellation_count"),
-            count_when(F.col("diverted_flag")).alias("diversion_count"),
-        ],
-    )
+    days = group_rollup(scores, "operating_date", {**_score_stats(), **_high(), **_cancellations()})
     per_day = alerts.groupBy("operating_date").agg(F.count(F.lit(1)).alias("alert_count"))
     return days.join(per_day, "operating_date", "left").na.fill(0, ["alert_count"])
 

@@ -8,7 +8,7 @@ the overlap, a busy airport is spread over its blocks, and the result is exact t
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,53 +21,50 @@ BLOCK_SIZES = (
     *[MINUTE * 4**i for i in range(10)],
 )
 
+# Whole multiple of every block size that keeps all moments after the year 1500 positive, so division truncates down.
+SHIFT = BLOCK_SIZES[-1] * 1000
+NO_PARENT = 2**60
+
 MERGE = {"count": F.sum, "sum": F.sum, "max": F.max, "min": F.min}
 
 
-def _floor_div(value: Column, size: Column) -> Column:
-    return F.call_function("div", value - F.pmod(value, size), size)
+def _moment(ts: str) -> Column:
+    return F.unix_micros(ts) + F.lit(SHIFT)
 
 
 def _steps(low: Column, high: Column) -> Column:
     return F.when(high > low, F.sequence(low, high - 1)).otherwise(F.array().cast("array<bigint>"))
 
 
+def _levels() -> Column:
+    """Every block size with its parent's size and how many fit into the parent."""
+    rows = []
+    for i, size in enumerate(BLOCK_SIZES):
+        parent = BLOCK_SIZES[i + 1] if i + 1 < len(BLOCK_SIZES) else NO_PARENT
+        ratio = max(1, parent // size)
+        rows.append(f"struct({i} AS _level, {size}L AS _size, {parent}L AS _parent, {ratio}L AS _ratio)")
+    return F.expr(f"array({', '.join(rows)})")
+
+
 def _block_ranges(events: DataFrame, start: str, end: str) -> DataFrame:
-    """Per event and block size, the aligned blocks it fills that no larger block covers."""
-    levels = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("level"),
-                F.lit(size).cast("bigint").alias("size"),
-                F.lit(BLOCK_SIZES[i + 1] if i + 1 < len(BLOCK_SIZES) else 0).cast("bigint").alias("parent"),
-            )
-            for i, size in enumerate(BLOCK_SIZES)
-        ]
-    )
-    placed = (
-        events.filter(F.col(start) <= F.col(end))
-        .withColumns({"_s": F.unix_micros(start), "_e": F.unix_micros(end) + 1})
-        .withColumn("_lv", F.explode(levels))
-    )
-    size, parent = F.col("_lv.size"), F.col("_lv.parent")
-    ratio = F.when(parent > 0, F.call_function("div", parent, size)).otherwise(F.lit(1))
-    safe_parent = F.when(parent > 0, parent).otherwise(size)
-    bounded = placed.withColumns(
+    """Per event and block size, the aligned blocks it fills that no larger block covers: [lo, cut_lo) and [cut_hi, hi)."""
+    placed = events.filter(F.col(start) <= F.col(end)).withColumns({"_s": _moment(start), "_e": _moment(end) + 1})
+    per_level = placed.select("*", F.inline(_levels()))
+    bounded = per_level.withColumns(
         {
-            "_level": F.col("_lv.level"),
-            "_lo": _floor_div(F.col("_s") + size - 1, size),
-            "_hi": _floor_div(F.col("_e"), size),
-            "_plo": F.when(parent > 0, _floor_div(F.col("_s") + safe_parent - 1, safe_parent) * ratio),
-            "_phi": F.when(parent > 0, _floor_div(F.col("_e"), safe_parent) * ratio),
+            "_lo": F.expr("(_s + _size - 1) div _size"),
+            "_hi": F.expr("_e div _size"),
+            "_plo": F.expr("((_s + _parent - 1) div _parent) * _ratio"),
+            "_phi": F.expr("(_e div _parent) * _ratio"),
         }
     )
-    covered = F.coalesce(F.col("_phi") > F.col("_plo"), F.lit(False))
-    return bounded.withColumns(
+    covered = F.col("_phi") > F.col("_plo")
+    return bounded.filter(F.col("_hi") > F.col("_lo")).withColumns(
         {
-            "_cut_lo": F.when(covered, F.least(F.col("_plo"), F.col("_hi"))).otherwise(F.col("_hi")),
+            "_cut_lo": F.when(covered, F.col("_plo")).otherwise(F.col("_hi")),
             "_cut_hi": F.when(covered, F.col("_phi")).otherwise(F.col("_hi")),
         }
-    ).filter((F.col("_cut_lo") > F.col("_lo")) | (F.col("_hi") > F.col("_cut_hi")))
+    )
 
 
 def interval_exposure(
@@ -116,17 +113,17 @@ def interval_exposure(
         .agg(*[MERGE[kind](f"_m_{name}").alias(f"_m_{name}") for name, (kind, _) in measures.items()])
     )
     # At most one entry per block size, so this value has a fixed bound.
-    used = ranges.select("_level").agg(F.array_sort(F.collect_set("_level")).alias("levels"))
-    size_of = F.array(*[F.lit(size).cast("bigint") for size in BLOCK_SIZES])
+    used = ranges.filter((F.col("_cut_lo") > F.col("_lo")) | (F.col("_hi") > F.col("_cut_hi"))).agg(F.array_sort(F.collect_set("_level")).alias("levels"))
+    size_of = F.expr(f"array({', '.join(f'{size}L' for size in BLOCK_SIZES)})")
     stabs = (
         points.select(
             F.col(point_id).alias("_point"),
-            F.unix_micros(point_ts).alias("_t"),
+            _moment(point_ts).alias("_t"),
             *[F.col(column).alias(f"_side_{side}") for side, column in sides.items()],
         )
         .withColumn("_key", F.explode(F.array_distinct(F.array(*[F.col(f"_side_{side}") for side in sides]))))
         .withColumn("_level", F.explode(used.scalar()))
-        .withColumn("_block", _floor_div(F.col("_t"), F.element_at(size_of, F.col("_level") + 1)))
+        .withColumn("_block", F.call_function("div", F.col("_t"), F.element_at(size_of, F.col("_level") + 1)))
         .filter(F.col("_key").isNotNull() & F.col("_t").isNotNull())
     )
     hits = stabs.join(blocks, ["_key", "_level", "_block"])
@@ -183,5 +180,3 @@ def airport_event_exposure(points: DataFrame, events: DataFrame, *, at: str, poi
         },
     )
 
-
-SIDES: Sequence[str] = ("origin_airport", "destination_airport")

@@ -7,10 +7,11 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from contrail.session import apply_runtime_settings
+from contrail.session import apply_runtime_settings, materialize
 
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -221,9 +222,31 @@ class Tables:
         self.spark = apply_runtime_settings(spark)
         self.folder = folder
         self._views: dict[str, DataFrame] = {}
+        self._base: dict[str, DataFrame] = {}
+
+    def written_stage(self, name: str, build: Callable[[Tables], DataFrame]) -> DataFrame:
+        """A named intermediate table, written once to the shared folder because several consumers read it."""
+        return self.stage(f"{name}_written", lambda t: materialize(build(t), name))
+
+    @classmethod
+    def of(cls, spark: SparkSession, folder: str) -> Tables:
+        """The tables of a folder, analysed once per session; plans are shared, data is read by every query."""
+        known = spark.__dict__.setdefault("_contrail_tables", {})
+        if folder not in known:
+            known[folder] = cls(spark, folder)
+        apply_runtime_settings(spark)
+        return known[folder]
+
+    def stage(self, name: str, build: Callable[[Tables], DataFrame]) -> DataFrame:
+        """A named intermediate plan, built once."""
+        if name not in self._views:
+            self._views[name] = build(self)
+        return self._views[name]
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(os.path.join(self.folder, f"{name}.parquet"))
+        if name not in self._base:
+            self._base[name] = self.spark.read.parquet(os.path.join(self.folder, f"{name}.parquet"))
+        return self._base[name]
 
     def sql(self, statement: str, extra: dict[str, str] | None = None) -> DataFrame:
         text = with_views(statement, extra)

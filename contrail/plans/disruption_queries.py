@@ -18,7 +18,7 @@ RUN_ID = "disruption-run"
 
 def r6(column, alias: str | None = None):
     name = alias or column
-    return F.round(F.col(column) if isinstance(column, str) else column, 6).alias(name)
+    return X.round6(column).alias(name)
 
 
 sql_part(
@@ -68,7 +68,7 @@ def flights_with_delay(t: Tables) -> DataFrame:
     return flights.join(t.delay_history.select("flight_id", "departure_delay_minutes"), "flight_id", "left")
 
 
-@query("prior_pressure", "SELECT flight_id, round(prior_route_delay_pressure, 6) AS prior_route_delay_pressure FROM pressure")
+@query("prior_pressure", "SELECT flight_id, round(1e-10 + prior_route_delay_pressure, 6) AS prior_route_delay_pressure FROM pressure")
 def prior_pressure(t: Tables) -> DataFrame:
     return H.prior_pressure(flights_with_delay(t)).select("flight_id", r6("prior_route_delay_pressure"))
 
@@ -187,7 +187,7 @@ sql_part(
 )
 sql_part(
     "scores",
-    """SELECT s.*, greatest(fwd, retro) AS sev, round(greatest(fwd, retro), 6) AS score,
+    """SELECT s.*, greatest(fwd, retro) AS sev, round(1e-10 + greatest(fwd, retro), 6) AS score,
               CASE WHEN greatest(fwd, retro) <= 0.3 THEN 'low' WHEN greatest(fwd, retro) <= 0.6 THEN 'medium' WHEN greatest(fwd, retro) <= 0.8 THEN 'high' ELSE 'severe' END AS band,
               CASE WHEN greatest(fwd, retro) <= 0.3 THEN 'monitor' WHEN greatest(fwd, retro) <= 0.6 THEN 'review' WHEN greatest(fwd, retro) <= 0.8 THEN 'prioritise' ELSE 'urgent_review' END AS priority,
               CASE WHEN greatest(fwd, retro) <= 0.3 THEN 0 WHEN greatest(fwd, retro) <= 0.6 THEN 1 WHEN greatest(fwd, retro) <= 0.8 THEN 2 ELSE 3 END AS priority_rank,
@@ -206,6 +206,10 @@ def predictions(t: Tables) -> DataFrame:
 
 
 def features(t: Tables) -> DataFrame:
+    return t.stage("disruption_features", build_features)
+
+
+def build_features(t: Tables) -> DataFrame:
     return D.disruption_features(
         t.flight_schedule,
         t.delay_history,
@@ -220,7 +224,12 @@ def features(t: Tables) -> DataFrame:
 
 
 def scores(t: Tables) -> DataFrame:
-    return D.disruption_severity(features(t))
+    return t.stage("scores", lambda t: D.disruption_severity(features(t)))
+
+
+def stored_scores(t: Tables) -> DataFrame:
+    """The score table as its consumers read it."""
+    return t.written_stage("scores", scores)
 
 
 def flag(name: str):
@@ -229,8 +238,8 @@ def flag(name: str):
 
 @query(
     "disruption_features",
-    """SELECT flight_id, route_id, dep_delay AS departure_delay_minutes, arr_delay AS arrival_delay_minutes, reactionary AS reactionary_delay_minutes, round(pressure, 6) AS prior_route_delay_pressure, same_day AS same_day_route_disruption_count,
-              round(load, 6) AS latest_booking_load_factor, round(source_risk, 6) AS source_maintenance_risk_score, round(impact, 6) AS max_weather_impact_score, ow AS origin_weather_event_count, dw AS destination_weather_event_count,
+    """SELECT flight_id, route_id, dep_delay AS departure_delay_minutes, arr_delay AS arrival_delay_minutes, reactionary AS reactionary_delay_minutes, round(1e-10 + pressure, 6) AS prior_route_delay_pressure, same_day AS same_day_route_disruption_count,
+              round(1e-10 + load, 6) AS latest_booking_load_factor, round(1e-10 + source_risk, 6) AS source_maintenance_risk_score, round(1e-10 + impact, 6) AS max_weather_impact_score, ow AS origin_weather_event_count, dw AS destination_weather_event_count,
               ae AS airport_event_count, cast(ae_sev AS double) AS maximum_airport_event_severity, cast(ae_red AS double) AS maximum_capacity_reduction_percent, cast(ae_delay AS double) AS estimated_airport_event_delay, prob AS predicted_delay_probability,
               CASE WHEN outcome THEN 'yes' ELSE 'no' END AS delay_outcome_available, CASE WHEN severe THEN 'yes' ELSE 'no' END AS severe_weather_flag, CASE WHEN shortage THEN 'yes' ELSE 'no' END AS crew_shortage_flag,
               CASE WHEN source_risk > 0.6 THEN 'yes' ELSE 'no' END AS aircraft_disruption_flag, CASE WHEN load > 0.9 THEN 'yes' ELSE 'no' END AS passenger_pressure_flag, CASE WHEN reactionary > 0 OR pressure > 0.5 THEN 'yes' ELSE 'no' END AS network_reactionary_flag,
@@ -255,8 +264,8 @@ def disruption_features(t: Tables) -> DataFrame:
 
 @query(
     "disruption_components",
-    """SELECT flight_id, round(c_delay, 6) AS delay_component_score, round(c_weather, 6) AS weather_component_score, round(c_airport, 6) AS airport_events_component_score, round(c_crew, 6) AS crew_component_score,
-              round(c_health, 6) AS aircraft_health_component_score, round(c_load, 6) AS passenger_pressure_component_score, round(c_network, 6) AS network_reactionary_component_score FROM components""",
+    """SELECT flight_id, round(1e-10 + c_delay, 6) AS delay_component_score, round(1e-10 + c_weather, 6) AS weather_component_score, round(1e-10 + c_airport, 6) AS airport_events_component_score, round(1e-10 + c_crew, 6) AS crew_component_score,
+              round(1e-10 + c_health, 6) AS aircraft_health_component_score, round(1e-10 + c_load, 6) AS passenger_pressure_component_score, round(1e-10 + c_network, 6) AS network_reactionary_component_score FROM components""",
 )
 def disruption_components(t: Tables) -> DataFrame:
     return D.disruption_components(features(t)).select(
@@ -266,7 +275,7 @@ def disruption_components(t: Tables) -> DataFrame:
 
 @query(
     "forward_retrospective_score",
-    """SELECT flight_id, round(fwd, 6) AS forward_disruption_risk_score, round(retro, 6) AS retrospective_disruption_score FROM severities""",
+    """SELECT flight_id, round(1e-10 + fwd, 6) AS forward_disruption_risk_score, round(1e-10 + retro, 6) AS retrospective_disruption_score FROM severities""",
 )
 def forward_retrospective_score(t: Tables) -> DataFrame:
     return scores(t).select("flight_id", "forward_disruption_risk_score", "retrospective_disruption_score")
@@ -298,7 +307,7 @@ def disruption_severity(t: Tables) -> DataFrame:
 )
 def array_rank(t: Tables) -> DataFrame:
     return (
-        scores(t)
+        stored_scores(t)
         .groupBy(F.array_join("contributing_factors", "|").alias("contributing_factors"), "primary_disruption_driver")
         .agg(F.count(F.lit(1)).alias("flights"))
     )
@@ -315,10 +324,10 @@ def band_case(t: Tables) -> DataFrame:
     )
 
 
-@query("clamp01", "SELECT l_linenumber AS line, round(avg(least(1.0e0, greatest(0.0e0, l_quantity / 40 - 0.2e0))), 6) AS bounded FROM lineitem GROUP BY l_linenumber")
+@query("clamp01", "SELECT l_linenumber AS line, round(1e-10 + avg(least(1.0e0, greatest(0.0e0, l_quantity / 40 - 0.2e0))), 6) AS bounded FROM lineitem GROUP BY l_linenumber")
 def clamp01(t: Tables) -> DataFrame:
     value = X.clamp01(F.col("l_quantity") / 40 - 0.2)
-    return t.base("lineitem").groupBy(F.col("l_linenumber").alias("line")).agg(F.round(F.avg(value), 6).alias("bounded"))
+    return t.base("lineitem").groupBy(F.col("l_linenumber").alias("line")).agg(X.round6(F.avg(value)).alias("bounded"))
 
 
 SQL_ALERTS = """SELECT concat('DISR-', upper(substr(sha256(concat_ws('|', 'disruption-run', flight_id, band, priority)), 1, 12))) AS alert_id, flight_id, cast(operating_date AS varchar) AS operating_date, score AS disruption_severity_score, band AS disruption_risk_band, factors_text AS contributing_factors, dep_delay AS departure_delay_minutes
@@ -327,7 +336,7 @@ sql_part("alerts", SQL_ALERTS)
 
 
 def alerts(t: Tables) -> DataFrame:
-    return D.disruption_alerts(scores(t), RUN_ID)
+    return D.disruption_alerts(stored_scores(t), RUN_ID)
 
 
 @query("disruption_alerts", "SELECT * FROM alerts")
@@ -346,7 +355,7 @@ def disruption_alerts(t: Tables) -> DataFrame:
 @query("topk_global", "SELECT flight_id, score AS disruption_severity_score FROM scores ORDER BY score DESC, flight_id LIMIT 50")
 def topk_global(t: Tables) -> DataFrame:
     order = [F.col("disruption_severity_score").desc(), F.col("flight_id")]
-    return P.topk_global(scores(t), order, 50).select("flight_id", "disruption_severity_score")
+    return P.topk_global(stored_scores(t), order, 50).select("flight_id", "disruption_severity_score")
 
 
 def driver_sql(source: str, key: str) -> str:
@@ -354,7 +363,7 @@ def driver_sql(source: str, key: str) -> str:
 
 
 PRIORITY_SQL = "CASE max(priority_rank) WHEN 0 THEN 'monitor' WHEN 1 THEN 'review' WHEN 2 THEN 'prioritise' ELSE 'urgent_review' END AS review_priority"
-STATS_SQL = "count(*) AS flight_count, round(avg(score), 6) AS average_disruption_score, max(score) AS maximum_disruption_score"
+STATS_SQL = "count(*) AS flight_count, round(1e-10 + avg(score), 6) AS average_disruption_score, max(score) AS maximum_disruption_score"
 HIGH_SQL = "count(*) FILTER (band IN ('high', 'severe')) AS severe_or_high_count"
 
 
@@ -371,7 +380,7 @@ sql_part(
 
 
 def tidy(df: DataFrame, rounded: tuple[str, ...] = ("average_disruption_score",)) -> DataFrame:
-    out = df.withColumns({c: F.round(c, 6) for c in rounded})
+    out = df.withColumns({c: X.round6(c) for c in rounded})
     if "operating_date" in out.columns:
         out = out.withColumn("operating_date", F.col("operating_date").cast("string"))
     return out
@@ -382,11 +391,11 @@ def tidy(df: DataFrame, rounded: tuple[str, ...] = ("average_disruption_score",)
     summary_sql(
         "scores",
         "route_id",
-        f"{STATS_SQL}, {HIGH_SQL}, count(*) FILTER (cancelled) AS cancellation_count, count(*) FILTER (diverted) AS diversion_count, round(avg(dep_delay), 6) AS average_delay_minutes",
+        f"{STATS_SQL}, {HIGH_SQL}, count(*) FILTER (cancelled) AS cancellation_count, count(*) FILTER (diverted) AS diversion_count, round(1e-10 + avg(dep_delay), 6) AS average_delay_minutes",
     ),
 )
 def route_summary(t: Tables) -> DataFrame:
-    return tidy(D.route_summary(scores(t)), ("average_disruption_score", "average_delay_minutes"))
+    return tidy(D.route_summary(stored_scores(t)), ("average_disruption_score", "average_delay_minutes"))
 
 
 @query(
@@ -394,11 +403,11 @@ def route_summary(t: Tables) -> DataFrame:
     summary_sql(
         "end_scores",
         "airport_code",
-        f"count(*) FILTER (e = 'dep') AS departure_flight_count, count(*) FILTER (e = 'arr') AS arrival_flight_count, round(avg(score), 6) AS average_disruption_score, max(score) AS maximum_disruption_score, sum(ow + dw) AS weather_event_count, sum(ae) AS airport_event_count, {HIGH_SQL}",
+        f"count(*) FILTER (e = 'dep') AS departure_flight_count, count(*) FILTER (e = 'arr') AS arrival_flight_count, round(1e-10 + avg(score), 6) AS average_disruption_score, max(score) AS maximum_disruption_score, sum(ow + dw) AS weather_event_count, sum(ae) AS airport_event_count, {HIGH_SQL}",
     ),
 )
 def airport_summary(t: Tables) -> DataFrame:
-    return tidy(D.airport_summary(scores(t)))
+    return tidy(D.airport_summary(stored_scores(t)))
 
 
 @query(
@@ -410,7 +419,7 @@ def airport_summary(t: Tables) -> DataFrame:
     ),
 )
 def aircraft_disruption_summary(t: Tables) -> DataFrame:
-    return tidy(D.aircraft_disruption_summary(scores(t)))
+    return tidy(D.aircraft_disruption_summary(stored_scores(t)))
 
 
 @query(
@@ -419,18 +428,18 @@ def aircraft_disruption_summary(t: Tables) -> DataFrame:
         LEFT JOIN (SELECT operating_date, count(*) AS n FROM alerts GROUP BY operating_date) a ON a.operating_date = s.operating_date""",
 )
 def daily_summary(t: Tables) -> DataFrame:
-    return tidy(D.daily_summary(scores(t), alerts(t)))
+    return tidy(D.daily_summary(stored_scores(t), alerts(t)))
 
 
 @query("dominant_value", driver_sql("scores", "route_id").strip("()"))
 def dominant_value(t: Tables) -> DataFrame:
-    return P.dominant_value(scores(t), ["route_id"], "primary_disruption_driver", "driver")
+    return P.dominant_value(stored_scores(t), ["route_id"], "primary_disruption_driver", "driver")
 
 
 @query("highest_by_order", f"SELECT aircraft_id, {PRIORITY_SQL} FROM scores GROUP BY aircraft_id")
 def highest_by_order(t: Tables) -> DataFrame:
     return (
-        scores(t)
+        stored_scores(t)
         .groupBy("aircraft_id")
         .agg(X.highest_by_order("recovery_priority", D.PRIORITY_ORDER).alias("review_priority"))
     )
@@ -438,7 +447,7 @@ def highest_by_order(t: Tables) -> DataFrame:
 
 @query("label_distribution", "SELECT band AS value, count(*) AS row_count FROM scores GROUP BY band")
 def label_distribution(t: Tables) -> DataFrame:
-    return D.label_distribution(scores(t), "disruption_risk_band")
+    return D.label_distribution(stored_scores(t), "disruption_risk_band")
 
 
 COMPONENT_SQL = {
@@ -455,12 +464,12 @@ COMPONENT_SQL = {
 @query(
     "component_summary",
     " UNION ALL ".join(
-        f"SELECT '{n}' AS component, round(avg({c}), 6) AS average, round(max({c}), 6) AS maximum FROM components"
+        f"SELECT '{n}' AS component, round(1e-10 + avg({c}), 6) AS average, round(1e-10 + max({c}), 6) AS maximum FROM components"
         for n, c in COMPONENT_SQL.items()
     ),
 )
 def component_summary(t: Tables) -> DataFrame:
-    table = D.component_summary(scores(t), {n: f"{n}_component_score" for n in D.COMPONENT_LABELS})
+    table = D.component_summary(stored_scores(t), {n: f"{n}_component_score" for n in D.COMPONENT_LABELS})
     return table.select("component", r6("average"), r6("maximum"))
 
 
@@ -468,10 +477,10 @@ def component_summary(t: Tables) -> DataFrame:
     "domain_metrics",
     """SELECT 'volume' AS metric_category, 'flight_count' AS metric_name, cast(count(*) AS double) AS metric_value FROM scores
        UNION ALL SELECT 'alerts', 'alert_count', cast(count(*) AS double) FROM alerts
-       UNION ALL SELECT 'risk', 'high_or_severe_rate', round(count(*) FILTER (band IN ('high', 'severe')) / count(*), 6) FROM scores""",
+       UNION ALL SELECT 'risk', 'high_or_severe_rate', round(1e-10 + count(*) FILTER (band IN ('high', 'severe')) / count(*), 6) FROM scores""",
 )
 def domain_metrics(t: Tables) -> DataFrame:
-    scored = scores(t)
+    scored = stored_scores(t)
     metrics = D.disruption_metrics(scored, D.disruption_alerts(scored, RUN_ID))
     return metrics.select("metric_category", "metric_name", r6("metric_value"))
 

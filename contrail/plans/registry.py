@@ -40,7 +40,7 @@ def sql_part(name: str, body: str) -> None:
 
 def runner(item: NamedQuery) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return item.plan(Tables(spark, folder))
+        return item.plan(Tables.of(spark, folder))
 
     return run
 

@@ -21,7 +21,11 @@ ROW_KEYS = {"flight_schedule": "flight_n"}
 def typed_tables(t: Tables) -> dict[str, DataFrame]:
     """The seven airline tables with their source row number."""
     return {
-        name: getattr(t, name).withColumnRenamed(ROW_KEYS.get(name, "row_key"), "row_number") for name in C.CONTRACTS
+        name: t.stage(
+            f"typed_{name}",
+            lambda t, name=name: getattr(t, name).withColumnRenamed(ROW_KEYS.get(name, "row_key"), "row_number"),
+        )
+        for name in C.CONTRACTS
     }
 
 
@@ -39,6 +43,10 @@ def short(findings: DataFrame) -> DataFrame:
 
 
 def all_findings(t: Tables) -> DataFrame:
+    return t.stage("findings", build_findings)
+
+
+def build_findings(t: Tables) -> DataFrame:
     tables = typed_tables(t)
     return union_all(
         [

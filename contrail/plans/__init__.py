@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("validation_queries", "disruption_queries", "model_queries", "maintenance_queries")
+MODULES = (
+    "validation_queries",
+    "disruption_queries",
+    "model_queries",
+    "maintenance_queries",
+    "monitoring_queries",
+)
 
 
 def load_all() -> None:

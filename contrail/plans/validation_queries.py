@@ -46,6 +46,11 @@ def all_findings(t: Tables) -> DataFrame:
     return t.stage("findings", build_findings)
 
 
+def stored_findings(t: Tables) -> DataFrame:
+    """The findings table as its consumers read it."""
+    return t.written_stage("findings", all_findings)
+
+
 def build_findings(t: Tables) -> DataFrame:
     tables = typed_tables(t)
     return union_all(
@@ -562,14 +567,19 @@ def manifest_checks(t: Tables) -> DataFrame:
     return found.select("dataset", "rule_id", "severity", "observed_value")
 
 
+@query("row_rules", "SELECT dataset, rule_id, severity, count(*) AS finding_count FROM all_severities GROUP BY ALL")
+def row_rules(t: Tables) -> DataFrame:
+    return all_findings(t).groupBy("dataset", "rule_id", "severity").agg(F.count(F.lit(1)).alias("finding_count"))
+
+
 @query("severity_counts", "SELECT severity, (SELECT count(*) FROM all_severities a WHERE a.severity = v.severity) AS finding_count FROM (VALUES ('info'), ('warning'), ('error'), ('fatal')) AS v(severity)")
 def severity_counts(t: Tables) -> DataFrame:
-    return Q.severity_counts(all_findings(t))
+    return Q.severity_counts(stored_findings(t))
 
 
 @query("overall_status", "SELECT CASE WHEN count(*) FILTER (severity = 'error') > 0 THEN 'failed' ELSE 'passed' END AS overall_status FROM all_severities")
 def overall_status(t: Tables) -> DataFrame:
-    return Q.overall_status(Q.severity_counts(all_findings(t)))
+    return Q.overall_status(Q.severity_counts(stored_findings(t)))
 
 
 @query(
@@ -579,7 +589,7 @@ def overall_status(t: Tables) -> DataFrame:
 )
 def split_valid_quarantined(t: Tables) -> DataFrame:
     valid, bad = Q.split_valid_quarantined(
-        typed_tables(t)["passenger_demand"], all_findings(t), "passenger_demand"
+        typed_tables(t)["passenger_demand"], stored_findings(t), "passenger_demand"
     )
     return bad.select(F.lit("quarantined").alias("outcome"), "row_number").unionByName(
         valid.select(F.lit("valid").alias("outcome"), "row_number")
@@ -594,7 +604,7 @@ def split_valid_quarantined(t: Tables) -> DataFrame:
        GROUP BY ALL HAVING bool_or(severity = 'error')""",
 )
 def write_quarantine(t: Tables) -> DataFrame:
-    findings = all_findings(t)
+    findings = stored_findings(t)
     _, bad = Q.split_valid_quarantined(typed_tables(t)["delay_history"], findings, "delay_history")
     records = Q.quarantine_records(bad, findings, C.DELAY_HISTORY)
     return records.select(
@@ -624,7 +634,7 @@ sql_part(
        UNION ALL SELECT dataset, 'conformity', 'warning_count', warnings, n, 'passed' FROM dataset_quality""",
 )
 def quality_metrics(t: Tables) -> DataFrame:
-    metrics = Q.quality_metrics(Q.source_counts(typed_tables(t)), all_findings(t))
+    metrics = Q.quality_metrics(Q.source_counts(typed_tables(t)), stored_findings(t))
     return metrics.select("dataset", "quality_dimension", "metric_name", "metric_value", "denominator", "status")
 
 
@@ -633,7 +643,7 @@ def quality_metrics(t: Tables) -> DataFrame:
     """SELECT dataset, count(*) FILTER (severity = 'warning') AS warning_count, count(*) FILTER (severity = 'error') AS error_count, string_agg(DISTINCT rule_id, '|' ORDER BY rule_id) AS rules_failed FROM all_severities GROUP BY dataset""",
 )
 def rule_summary(t: Tables) -> DataFrame:
-    return Q.rule_summary(all_findings(t))
+    return Q.rule_summary(stored_findings(t))
 
 
 @query(

@@ -10,6 +10,7 @@ MODULES = (
     "model_queries",
     "maintenance_queries",
     "monitoring_queries",
+    "star_queries",
 )
 
 

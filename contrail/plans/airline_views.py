@@ -8,6 +8,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -188,8 +189,13 @@ VIEWS: dict[str, str] = {
 }
 
 
+@lru_cache(maxsize=None)
+def _words(sql: str) -> frozenset[str]:
+    return frozenset(re.findall(r"\w+", sql))
+
+
 def _mentions(name: str, sql: str) -> bool:
-    return re.search(rf"\b{name}\b", sql) is not None
+    return name in _words(sql)
 
 
 def needed_views(sql: str, views: dict[str, str]) -> list[str]:

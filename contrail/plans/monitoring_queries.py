@@ -18,6 +18,7 @@ from contrail.plans import model_queries as MM
 from contrail.plans import validation_queries as VQ
 from contrail.plans.airline_views import Tables
 from contrail.plans.registry import query, sql_part
+from contrail.sources import readers as R
 
 RUN_ID = "monitoring-run"
 
@@ -81,8 +82,8 @@ def metrics(t: Tables) -> DataFrame:
 def build_metrics(t: Tables) -> DataFrame:
     tables = VQ.typed_tables(t)
     counts, findings = Q.source_counts(tables), VQ.stored_findings(t)
-    # The check compares each parquet folder with itself here; a producer's manifest takes its place in use.
-    verified = F.lit(True)
+    declared = t.written_stage("declared_fingerprint", lambda t: R.content_fingerprint(t.base("orders")))
+    verified = R.verify_table(t.base("orders"), declared, ["o_orderkey"]).select("accepted").scalar()
     scores, health = DQ.stored_scores(t), MQ.stored_health(t)
     return MON.extract_metrics(
         [
@@ -98,7 +99,9 @@ def build_metrics(t: Tables) -> DataFrame:
 
 def stored_metrics(t: Tables) -> DataFrame:
     """The monitoring metrics as checks, drift and facts read them."""
-    return t.written_stage("monitoring_metrics", metrics)
+    return t.written_stage(
+        "monitoring_metrics", lambda t: metrics(t).withColumn("metric_value", round6("metric_value"))
+    )
 
 
 @query("extract_metrics", "SELECT * FROM mon_metrics")
@@ -328,14 +331,51 @@ def ranked(t: Tables) -> DataFrame:
     return E.retrieve_evidence(requests(t), stored_evidence(t).filter("entity_type <> 'monitoring_rule'"), 5)
 
 
-@query("retrieve_evidence")
+sql_part(
+    "evidence_keys",
+    "\nUNION ".join(
+        f"SELECT evidence_id, '{key}' AS f, {value} AS v FROM evidence_rows WHERE {value} IS NOT NULL"
+        for key in E.FILTERS
+        for value in ("entity_id", "o", "d", *([key] if key != "airport_code" else []))
+    ),
+)
+sql_part(
+    "request_keys",
+    "\nUNION ALL ".join(f"SELECT request_id, '{key}' AS f, {key} AS v FROM requests WHERE {key} <> ''" for key in E.FILTERS),
+)
+sql_part(
+    "intent_domains",
+    "SELECT * FROM (VALUES "
+    + ", ".join(f"('{i}', '{d}', {30 - n})" for i, ds in E.INTENT_PRIORITY.items() for n, d in enumerate(ds))
+    + ") AS v(intent, source_domain, points)",
+)
+RETRIEVE_SQL = """SELECT request_id, rank, evidence_id, round(1e-10 + score, 6) AS score, matched_filters FROM (
+  SELECT *, cast(row_number() OVER (PARTITION BY request_id ORDER BY score DESC, coalesce(ts, ''), evidence_id) AS int) AS rank FROM (
+    SELECT m.request_id, m.evidence_id, e.ts, string_agg(concat('filter:', m.f), '|' ORDER BY m.f) AS matched_filters,
+           100 * count(*) + coalesce(max(d.points), 0) + max(CASE WHEN r.intent IN ('route_risk_brief', 'delay_investigation') AND entity_type = 'route' OR r.intent = 'flight_risk_brief' AND entity_type = 'flight' THEN 20 ELSE 0 END)
+           + 4 * max(CASE severity WHEN 'severe' THEN 5 WHEN 'high' THEN 4 WHEN 'urgent_review' THEN 4 WHEN 'warning' THEN 3 WHEN 'medium' THEN 2 WHEN 'watch' THEN 2 WHEN 'advisory' THEN 2 WHEN 'low' THEN 1 ELSE 0 END)
+           + 10 * max(CASE WHEN metric_value <= 1 THEN metric_value ELSE least(metric_value / 100, 1) END) + 1 AS score
+    FROM request_keys m JOIN evidence_keys k ON k.f = m.f AND k.v = m.v JOIN requests r ON r.request_id = m.request_id JOIN evidence_rows e ON e.evidence_id = k.evidence_id
+    LEFT JOIN intent_domains d ON d.intent = r.intent AND d.source_domain = e.source_domain
+    GROUP BY m.request_id, m.evidence_id, e.ts)) WHERE rank <= 5"""
+RETRIEVE_SQL = RETRIEVE_SQL.replace("m.evidence_id", "k.evidence_id")
+sql_part("ranked_rows", RETRIEVE_SQL)
+
+
+@query("retrieve_evidence", "SELECT * FROM ranked_rows")
 def retrieve_evidence(t: Tables) -> DataFrame:
     return ranked(t).select(
         "request_id", "rank", "evidence_id", r6("score"), F.array_join("matched_filters", "|").alias("matched_filters")
     )
 
 
-@query("response_assembly")
+@query(
+    "response_assembly",
+    """SELECT r.request_id, CASE r.intent """
+    + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in E.INTENT_TITLES.items())
+    + """ END AS response_title, cast(CASE WHEN x.n IS NULL THEN 3 ELSE 3 + x.n END AS int) AS section_count, coalesce(refs, '') AS refs
+       FROM requests r LEFT JOIN (SELECT request_id, count(*) AS n, string_agg(evidence_id, '|' ORDER BY rank) AS refs FROM ranked_rows GROUP BY request_id) x ON x.request_id = r.request_id""",
+)
 def response_assembly(t: Tables) -> DataFrame:
     made = briefs(t)
     return made.select(

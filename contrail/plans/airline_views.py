@@ -94,7 +94,7 @@ VIEWS: dict[str, str] = {
         FROM flight_core""",
     "passenger_demand": """
         SELECT concat('FL-', replace(cast(operating_date AS string), '-', ''), '-', lpad(cast(n AS string), 12, '0')) AS flight_id,
-               ((l_orderkey * 8 + l_linenumber) * 2000000 + l_partkey) * 100000 + l_suppkey AS row_key,
+               (((l_orderkey * 8 + l_linenumber) * 262144 + l_partkey) * 16384 + l_suppkey) * 64 + cast(l_quantity AS bigint) AS row_key,
                operating_date - cast(l_partkey % 61 + CASE WHEN l_suppkey % 89 = 0 THEN 1 ELSE 0 END AS int) AS observation_date,
                cast(l_partkey % 61 AS bigint) AS days_before_departure,
                concat('A', lpad(cast(o AS string), 2, '0'), '-A', lpad(cast(CASE WHEN n % 191 = 0 OR l_partkey % 101 = 0 THEN (d + 1) % 25 ELSE d END AS string), 2, '0')) AS route_id,
@@ -111,7 +111,7 @@ VIEWS: dict[str, str] = {
                l_tax AS fare_flex
         FROM lineitem JOIN flight_core ON l_orderkey = n""",
     "weather_core": """
-        SELECT ((l_orderkey * 8 + l_linenumber) * 2000000 + l_partkey) * 100000 + l_suppkey AS row_key,
+        SELECT (((l_orderkey * 8 + l_linenumber) * 262144 + l_partkey) * 16384 + l_suppkey) * 64 + cast(l_quantity AS bigint) AS row_key,
                (s_nationkey + l_linenumber) % CASE WHEN l_partkey % 389 = 0 THEN 29 ELSE 25 END AS airport_n,
                cast(l_shipdate AS timestamp) + ((l_suppkey * 7 + l_partkey) % 1440) * interval '1' minute AS event_start_utc,
                l_partkey, l_suppkey, l_linenumber, l_orderkey, l_quantity, l_discount
@@ -131,7 +131,7 @@ VIEWS: dict[str, str] = {
         FROM weather_core""",
     "airport_events": """
         SELECT concat('AE-', cast(l_orderkey AS string), '-', cast(l_linenumber AS string)) AS airport_event_id,
-               ((l_orderkey * 8 + l_linenumber) * 2000000 + l_partkey) * 100000 + l_suppkey AS row_key,
+               (((l_orderkey * 8 + l_linenumber) * 262144 + l_partkey) * 16384 + l_suppkey) * 64 + cast(l_quantity AS bigint) AS row_key,
                concat('A', lpad(cast(s_nationkey AS string), 2, '0')) AS airport_code,
                cast(l_shipdate AS timestamp) + (l_partkey % 1440) * interval '1' minute AS event_start_utc,
                cast(l_shipdate AS timestamp) + (l_partkey % 1440 + 60 * (1 + l_linenumber % 5)) * interval '1' minute AS event_end_utc,

@@ -85,7 +85,7 @@ RAW_CONTRACT = C.DatasetContract(
 sql_part(
     "raw_rows",
     """
-    SELECT ((l_orderkey * 8 + l_linenumber) * 2000000 + l_partkey) * 100000 + l_suppkey AS row_number,
+    SELECT (((l_orderkey * 8 + l_linenumber) * 262144 + l_partkey) * 16384 + l_suppkey) * 64 + cast(l_quantity AS bigint) AS row_number,
            CASE WHEN l_partkey % 71 = 0 THEN '' ELSE concat(' P', cast(l_partkey AS string), ' ') END AS code,
            l_returnflag AS segment,
            CASE l_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN '  ' WHEN 2 THEN NULL ELSE ' late ' END AS note,

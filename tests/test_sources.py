@@ -45,7 +45,7 @@ def test_jsonl_scan_skips_blanks_and_marks_bad_lines(spark, tmp_path):
 
 
 def test_writers_order_columns(spark, tmp_path):
-    df = spark.createDataFrame([(2, 1)], "b int, a int")
+    df = spark.createDataFrame([(2, 1)], "b int, a int").coalesce(1)
     W.write_rows(df, str(tmp_path / "rows"))
     assert spark.read.parquet(str(tmp_path / "rows")).columns == ["a", "b"]
     W.write_jsonl(df, str(tmp_path / "lines"))
@@ -55,7 +55,7 @@ def test_writers_order_columns(spark, tmp_path):
 
 def test_processed_table_has_contract_order(spark, tmp_path):
     contract = C.DatasetContract("s", "S", "csv", ("k",), (C.text("k"), C.whole("v")))
-    df = spark.createDataFrame([(1, "x", 9)], "v int, k string, row_number int")
+    df = spark.createDataFrame([(1, "x", 9)], "v int, k string, row_number int").coalesce(1)
     W.write_processed(df, str(tmp_path / "out"), contract, fmt="csv")
     assert next((tmp_path / "out").glob("*.csv")).read_text().splitlines() == ["k,v", "x,1"]
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from contrail.llm import token_counts
+from contrail.llm import simhash_dedup, token_counts
 from contrail.llm.shared import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,5 +20,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", token_counts.over_limit(counts.n_tokens))
 
 
-QUERIES: dict[str, Query] = {"op3_token_counts": op3_token_counts}
+def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.simhash_components(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {
+    "op3_token_counts": op3_token_counts,
+    "op8_simhash_dedup": op8_simhash_dedup,
+}
 ORACLES: dict[str, str] = {}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -69,3 +70,35 @@ def map_texts(
 def broadcast_if_small(df: DataFrame, rows: int, most: int) -> DataFrame:
     """Hint a broadcast only when the counted rows stay under the bound; else the join is left to shuffle."""
     return F.broadcast(df) if rows <= most else df
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
+    """Whole groups of equal keys, in order, from batches sorted by those keys; holds one group and one batch."""
+    kept: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if kept is not None:
+            table = pa.concat_tables([kept, table]).combine_chunks()
+        if table.num_rows == 0:
+            continue
+        changed = np.zeros(table.num_rows, dtype=bool)
+        for k in keys:
+            values = table.column(k).to_numpy()
+            changed[1:] |= values[1:] != values[:-1]
+        starts = [0, *np.flatnonzero(changed).tolist()]
+        for a, b in zip(starts, starts[1:], strict=False):
+            yield table.slice(a, b - a)
+        kept = table.slice(starts[-1])
+    if kept is not None:
+        yield kept
+
+
+def local_components(near: np.ndarray) -> np.ndarray:
+    """Smallest index reachable from each index of a symmetric boolean matrix."""
+    label = np.arange(len(near))
+    while True:
+        lower = np.minimum(label, np.where(near, label[None, :], len(near)).min(axis=1))
+        lower = lower[lower]
+        if (lower == label).all():
+            return label
+        label = lower

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from contrail.llm import simhash_dedup, token_counts
+from contrail.llm import pii, simhash_dedup, token_counts
 from contrail.llm.shared import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,8 +24,13 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_components(read_table(spark, sf_dir, "documents"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op3_token_counts": op3_token_counts,
     "op8_simhash_dedup": op8_simhash_dedup,
+    "op9_personal_data": op9_personal_data,
 }
 ORACLES: dict[str, str] = {}

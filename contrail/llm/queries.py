@@ -6,13 +6,31 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from contrail.llm import pii, simhash_dedup, token_counts, warc
+from contrail.llm import decontaminate, language_id, pii, simhash_dedup, token_counts, warc
 from contrail.llm.shared import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (host prior: their source) and pages (declared language, address and host of the URL), each whole."""
+    documents, pages = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "pages")
+    model = language_id.fit(documents)
+    of_documents = language_id.languages_of(documents, model, "doc_id", documents.text, documents.source)
+    of_pages = language_id.languages_of(
+        pages,
+        model,
+        "page_id",
+        language_id.visible_text(pages.html),
+        language_id.host_of(pages.url),
+        language_id.declared_language(pages.html),
+        language_id.address_language(pages.url, model.languages),
+    )
+    return of_documents.unionByName(of_pages, allowMissingColumns=True)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.token_counts(
         read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")
@@ -24,6 +42,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    best = F.max("score").alias("score"), F.max_by("end_word", "score").alias("end_word")
+    return found.groupBy("doc_id", "item_id").agg(*best)
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_components(read_table(spark, sf_dir, "documents"))
 
@@ -33,8 +57,10 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_language_id": op2_language_id,
     "op3_token_counts": op3_token_counts,
     "op5_warc": op5_warc,
+    "op6_decontaminate": op6_decontaminate,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_personal_data": op9_personal_data,
 }

@@ -102,3 +102,28 @@ def local_components(near: np.ndarray) -> np.ndarray:
         if (lower == label).all():
             return label
         label = lower
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables made of whole groups of equal keys with the first row of each group, from batches sorted by those keys."""
+    kept: pa.Table | None = None
+
+    def begins(table: pa.Table) -> np.ndarray:
+        changed = np.zeros(table.num_rows, dtype=bool)
+        changed[:1] = True
+        for k in keys:
+            values = table.column(k).to_numpy()
+            changed[1:] |= values[1:] != values[:-1]
+        return np.flatnonzero(changed)
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if kept is not None:
+            table = pa.concat_tables([kept, table]).combine_chunks()
+        if table.num_rows:
+            starts = begins(table)
+            if len(starts) > 1:
+                yield table.slice(0, starts[-1]), starts[:-1]
+            kept = table.slice(starts[-1])
+    if kept is not None:
+        yield kept, np.zeros(1, dtype=np.int64)

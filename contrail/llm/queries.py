@@ -8,12 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contrail.llm import decontaminate, embedding_dedup, language_id, mixing, pii, simhash_dedup, token_counts, warc
+from contrail.llm import decontaminate, embedding_dedup, language_id, mixing, pii, quality_crf, simhash_dedup, token_counts, warc
 from contrail.llm.shared import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    chain = quality_crf.fit(documents, read_table(spark, sf_dir, "labels"))
+    return quality_crf.judged(quality_crf.quality_scores(documents, chain))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents (host prior: their source) and pages (declared language, address and host of the URL), each whole."""
     documents, pages = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "pages")
@@ -65,6 +71,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_quality": op1_quality,
     "op2_language_id": op2_language_id,
     "op3_token_counts": op3_token_counts,
     "op5_warc": op5_warc,

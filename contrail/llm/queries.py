@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contrail.llm import decontaminate, embedding_dedup, language_id, mixing, pii, quality_crf, simhash_dedup, token_counts, warc
+from contrail.llm import decontaminate, embedding_dedup, language_id, license_scan, mixing, pii, quality_crf, simhash_dedup, token_counts, warc
 from contrail.llm.shared import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", token_counts.over_limit(counts.n_tokens))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licenses_of(read_table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages"))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_language_id": op2_language_id,
     "op3_token_counts": op3_token_counts,
+    "op4_license_scan": op4_license_scan,
     "op5_warc": op5_warc,
     "op6_decontaminate": op6_decontaminate,
     "op7_mixing": op7_mixing,

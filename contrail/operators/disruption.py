@@ -469,10 +469,10 @@ def aircraft_disruption_summary(scores: DataFrame) -> DataFrame:
     return group_rollup(scores, "aircraft_id", measures)
 
 
-def daily_summary(scores: DataFrame, alerts: DataFrame) -> DataFrame:
-    days = group_rollup(scores, "operating_date", {**_score_stats(), **_high(), **_cancellations()})
-    per_day = alerts.groupBy("operating_date").agg(F.count(F.lit(1)).alias("alert_count"))
-    return days.join(per_day, "operating_date", "left").na.fill(0, ["alert_count"])
+def daily_summary(scores: DataFrame) -> DataFrame:
+    """Per day; alert_count is the number of flights for review, not of those that fit an alert table."""
+    review = {"alert_count": ("count", F.col("human_review_required"))}
+    return group_rollup(scores, "operating_date", {**_score_stats(), **_high(), **_cancellations(), **review})
 
 
 def component_summary(scores: DataFrame, columns: Mapping[str, str]) -> DataFrame:
@@ -511,9 +511,11 @@ def metric_rows(row: DataFrame, metrics: list[tuple[str, str, Column, Column, Co
     return row.select(F.explode(entries).alias("_m")).select("_m.*")
 
 
-def disruption_metrics(scores: DataFrame, alerts: DataFrame) -> DataFrame:
-    row = scores.agg(F.count(F.lit(1)).alias("n"), severe_or_high().alias("bad")).withColumn(
-        "alerts", alerts.agg(F.count(F.lit(1))).scalar()
+def disruption_metrics(scores: DataFrame) -> DataFrame:
+    row = scores.agg(
+        F.count(F.lit(1)).alias("n"),
+        severe_or_high().alias("bad"),
+        count_when(F.col("human_review_required")).alias("alerts"),
     )
     n, bad, found = F.col("n"), F.col("bad"), F.col("alerts")
     return metric_rows(

@@ -186,14 +186,15 @@ def delay_monitor_metrics(predictions: DataFrame, threshold: float = 0.5, pr_tie
     )
 
 
-def maintenance_monitor_metrics(scores: DataFrame, alerts: DataFrame) -> DataFrame:
+def maintenance_monitor_metrics(scores: DataFrame) -> DataFrame:
     row = scores.agg(
         F.count(F.lit(1)).alias("n"),
         F.count_distinct("aircraft_id").alias("aircraft"),
         count_when(F.col("risk_band").isin("high", "critical")).alias("high"),
         F.max("maintenance_risk_score").alias("top"),
         count_when(F.col("human_review_required")).alias("review"),
-    ).withColumn("alerts", alerts.agg(F.count(F.lit(1))).scalar())
+        count_when(F.col("alert_category") != "none").alias("alerts"),
+    )
     n, high = F.col("n"), F.col("high")
     return domain_metric_rows(
         row,
@@ -209,7 +210,7 @@ def maintenance_monitor_metrics(scores: DataFrame, alerts: DataFrame) -> DataFra
     )
 
 
-def disruption_monitor_metrics(scores: DataFrame, alerts: DataFrame) -> DataFrame:
+def disruption_monitor_metrics(scores: DataFrame) -> DataFrame:
     band = F.col("disruption_risk_band")
     row = scores.agg(
         F.count(F.lit(1)).alias("n"),
@@ -218,7 +219,8 @@ def disruption_monitor_metrics(scores: DataFrame, alerts: DataFrame) -> DataFram
         count_when(F.col("recovery_priority") == "urgent_review").alias("urgent"),
         F.avg("disruption_severity_score").alias("mean"),
         F.max("disruption_severity_score").alias("top"),
-    ).withColumn("alerts", alerts.agg(F.count(F.lit(1))).scalar())
+        count_when(F.col("human_review_required")).alias("alerts"),
+    )
     n, bad, severe = F.col("n"), F.col("bad"), F.col("severe")
     return domain_metric_rows(
         row,

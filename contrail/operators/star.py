@@ -25,15 +25,40 @@ REQUIRED_TABLES = (
     "kpi_disruption_summary kpi_data_quality_summary kpi_monitoring_summary route_performance_summary "
     "airport_performance_summary aircraft_performance_summary daily_operations_summary"
 ).split()
+DIMENSIONS = tuple(t for t in REQUIRED_TABLES if t.startswith("dim_"))
 PRIMARY_KEYS = {
     "dim_date": ("date",),
     "dim_airport": ("airport_code",),
     "dim_route": ("route_id",),
     "dim_aircraft": ("aircraft_id",),
+    "dim_service_type": ("service_type",),
+    "dim_risk_band": ("risk_band",),
+    "dim_disruption_driver": ("primary_disruption_driver",),
     "fact_flight_operations": ("flight_id",),
     "fact_disruption_score": ("flight_id",),
+    "fact_maintenance_risk": ("flight_id",),
+    "fact_delay_prediction": ("flight_id",),
+    "fact_monitoring_metric": ("monitoring_domain", "metric_name"),
+    "fact_monitoring_alert": ("monitoring_alert_id",),
+    "fact_assistant_response": ("assistant_run_id", "section_order"),
 }
-REFERENCES = (("route", "route_id", "dim_route"), ("aircraft", "aircraft_id", "dim_aircraft"))
+# Name, fact, its column, dimension, the dimension's column.
+REFERENCES = (
+    ("route", "fact_flight_operations", "route_id", "dim_route", "route_id"),
+    ("aircraft", "fact_flight_operations", "aircraft_id", "dim_aircraft", "aircraft_id"),
+    ("origin", "fact_flight_operations", "origin_airport", "dim_airport", "airport_code"),
+    ("destination", "fact_flight_operations", "destination_airport", "dim_airport", "airport_code"),
+    ("date", "fact_flight_operations", "operating_date", "dim_date", "date"),
+    ("score-route", "fact_disruption_score", "route_id", "dim_route", "route_id"),
+    ("score-date", "fact_disruption_score", "operating_date", "dim_date", "date"),
+    ("score-band", "fact_disruption_score", "disruption_risk_band", "dim_risk_band", "risk_band"),
+    ("score-driver", "fact_disruption_score", "primary_disruption_driver", "dim_disruption_driver", "primary_disruption_driver"),
+    ("delay-route", "fact_delay_prediction", "route_id", "dim_route", "route_id"),
+    ("delay-date", "fact_delay_prediction", "operating_date", "dim_date", "date"),
+    ("forecast-route", "fact_passenger_forecast", "route_id", "dim_route", "route_id"),
+    ("forecast-date", "fact_passenger_forecast", "operating_date", "dim_date", "date"),
+    ("risk-aircraft", "fact_maintenance_risk", "aircraft_id", "dim_aircraft", "aircraft_id"),
+)
 
 
 @dataclass(frozen=True)
@@ -53,11 +78,10 @@ DEFAULTS = KpiThresholds()
 # ---------------------------------------------------------------- dimensions
 
 
-def dim_date(spark: SparkSession, start: str, end: str) -> DataFrame:
-    """One row per day, Monday being day one of the week."""
-    days = spark.range(1).select(
-        F.explode(F.sequence(F.to_date(F.lit(start)), F.to_date(F.lit(end)))).alias("date")
-    )
+def dim_date(dated: DataFrame, column: str = "operating_date") -> DataFrame:
+    """One row per day from the first to the last date in the column, Monday being day one of the week."""
+    range_ = dated.agg(F.to_date(F.min(column)).alias("first"), F.to_date(F.max(column)).alias("last"))
+    days = range_.select(F.explode(F.sequence("first", "last")).alias("date"))
     return days.select(
         "date",
         F.year("date").alias("year"),
@@ -275,7 +299,7 @@ def fact_monitoring_alert(alerts: DataFrame) -> DataFrame:
 
 
 def fact_assistant_response(briefs: DataFrame, guardrails: DataFrame | None = None) -> DataFrame:
-    """One row per response section in order, with the response's guardrail status."""
+    """One row per response section in order, with the response's guardrail status; null when no guardrails ran."""
     rows = briefs.select(
         F.col("request_id").alias("assistant_run_id"), "intent", F.posexplode("sections").alias("section_order", "_s")
     ).select(
@@ -286,7 +310,7 @@ def fact_assistant_response(briefs: DataFrame, guardrails: DataFrame | None = No
         F.col("_s.content").alias("content"),
     )
     if guardrails is None:
-        return rows.withColumn("guardrail_status", F.lit("passed"))
+        return rows.withColumn("guardrail_status", F.lit(None).cast("string"))
     status = guardrails.groupBy(F.col("response_id").alias("assistant_run_id")).agg(
         F.when(F.bool_or(F.col("status") == "failed"), "failed").otherwise("passed").alias("guardrail_status")
     )
@@ -688,12 +712,11 @@ def star_quality_checks(tables: Mapping[str, DataFrame], dictionary: DataFrame |
         if table in tables:
             repeated = tables[table].groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
             checks.append(_bad_rows_check(f"PK-{table}", repeated))
-    flights = tables.get("fact_flight_operations")
-    if flights is not None:
-        for name, key, dim in REFERENCES:
-            if dim in tables:
-                known = tables[dim].select(key).distinct()
-                checks.append(_bad_rows_check(f"FK-{name}", flights.join(known, key, "left_anti")))
+    for name, fact, column, dim, key in REFERENCES:
+        if fact in tables and dim in tables:
+            known = tables[dim].select(F.col(key).alias("_known")).distinct()
+            rows = tables[fact].select(column).where(F.col(column).isNotNull())
+            checks.append(_bad_rows_check(f"FK-{name}", rows.join(known, F.col(column) == F.col("_known"), "left_anti")))
     broken = []
     for table in tables.values():
         numbers = [f.name for f in table.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
@@ -718,27 +741,39 @@ def star_quality_checks(tables: Mapping[str, DataFrame], dictionary: DataFrame |
     return union_all(checks)
 
 
-def source_domain(table: str) -> str:
-    for part, domain in (
-        ("monitoring", "monitoring"),
-        ("disruption", "disruption_scoring"),
-        ("maintenance", "maintenance_analytics"),
-        ("forecast", "passenger_forecasting"),
-        ("assistant", "genai_assistant"),
-    ):
-        if part in table:
-            return domain
-    return "validation"
+# What each table is made from; tables not listed come from the validated source tables.
+TABLE_SOURCES = {
+    "fact_monitoring_metric": "monitoring",
+    "fact_monitoring_alert": "monitoring",
+    "kpi_monitoring_summary": "monitoring",
+    "fact_disruption_score": "disruption_scoring",
+    "kpi_disruption_summary": "disruption_scoring",
+    "dim_disruption_driver": "disruption_scoring",
+    "fact_maintenance_risk": "maintenance_analytics",
+    "kpi_maintenance_summary": "maintenance_analytics",
+    "fact_passenger_forecast": "passenger_forecasting",
+    "fact_assistant_response": "genai_assistant",
+}
+# What the columns of facts, KPI tables and summaries are for; columns not listed are attributes.
+RELATIONSHIP_KEYS = frozenset({"flight_id", "route_id", "aircraft_id", "assistant_run_id", "monitoring_alert_id"})
+MEASURE_INPUTS = frozenset(
+    {
+        "metric_name", "metric_value", "metric_text", "flight_count", "cancelled_flight_count", "high_disruption_count",
+        "departure_flight_count", "arrival_flight_count", "average_disruption_score", "disruption_severity_score",
+        "forward_disruption_risk_score", "retrospective_disruption_score", "weather_component_score",
+        "delay_component_score", "crew_component_score", "aircraft_health_component_score", "maintenance_risk_score",
+        "aircraft_health_score",
+    }
+)
 
 
-def field_role(table: str, field: str) -> str:
-    if table.startswith("dim_"):
-        return "dimension attribute"
-    if field.endswith(("_id", "_key")):
-        return "relationship key"
-    if field.startswith("metric_") or field.endswith(("_count", "_rate", "_score")):
-        return "measure input"
-    return "fact attribute"
+def column_roles(table: str, columns: Sequence[str]) -> dict[str, str]:
+    """The declared role of each column of a star table."""
+    if table in DIMENSIONS:
+        return dict.fromkeys(columns, "dimension attribute")
+    roles = dict.fromkeys(columns, "fact attribute")
+    roles |= {c: "relationship key" for c in columns if c in RELATIONSHIP_KEYS}
+    return roles | {c: "measure input" for c in columns if c in MEASURE_INPUTS}
 
 
 TYPE_NAMES = {"boolean": "boolean", "bigint": "integer", "int": "integer", "double": "number"}
@@ -749,6 +784,7 @@ def data_dictionary(tables: Mapping[str, DataFrame]) -> DataFrame:
     parts = []
     for name, df in sorted(tables.items()):
         scalar = [f for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+        roles = column_roles(name, df.columns)
         aggregates = [F.count(F.lit(1)).alias("_rows")]
         for i, f in enumerate(scalar):
             text = F.nullif(F.col(f.name).cast("string"), F.lit(""))
@@ -762,8 +798,8 @@ def data_dictionary(tables: Mapping[str, DataFrame]) -> DataFrame:
                 F.lit(name).alias("table_name"),
                 F.lit(f.name).alias("field_name"),
                 F.lit(TYPE_NAMES.get(f.dataType.simpleString(), "string")).alias("data_type"),
-                F.lit(source_domain(name)).alias("source_domain"),
-                F.lit(field_role(name, f.name)).alias("field_role"),
+                F.lit(TABLE_SOURCES.get(name, "validation")).alias("source_domain"),
+                F.lit(roles[f.name]).alias("field_role"),
                 F.coalesce(F.col(f"_e{i}"), F.lit("")).alias("example_value"),
                 F.col(f"_n{i}").alias("blank_count"),
                 F.col(f"_d{i}").alias("approximate_distinct"),

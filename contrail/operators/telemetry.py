@@ -414,9 +414,11 @@ def health_component_summary(scores: DataFrame) -> DataFrame:
     return component_summary(scores, {name: f"{name}_component_score" for name in WEIGHTS})
 
 
-def maintenance_metrics(scores: DataFrame, alerts: DataFrame) -> DataFrame:
-    row = scores.agg(F.count(F.lit(1)).alias("n"), count_when(F.col("risk_band") == "high").alias("high")).withColumn(
-        "alerts", alerts.agg(F.count(F.lit(1))).scalar()
+def maintenance_metrics(scores: DataFrame) -> DataFrame:
+    row = scores.agg(
+        F.count(F.lit(1)).alias("n"),
+        count_when(F.col("risk_band") == "high").alias("high"),
+        count_when(F.col("alert_category") != "none").alias("alerts"),
     )
     n, high, found = F.col("n"), F.col("high"), F.col("alerts")
     return metric_rows(

@@ -5,7 +5,6 @@ Each entry is one common table expression. ``with_views`` puts the entries a sta
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Callable
 from functools import lru_cache
@@ -19,8 +18,6 @@ BASE_TABLES = (
     "conversations"
 ).split()
 
-SPREAD_BYTES = 1_500_000
-
 VIEWS: dict[str, str] = {
     "flight_core": """
         SELECT o_orderkey AS n,
@@ -253,20 +250,9 @@ class Tables:
 
     def base(self, name: str) -> DataFrame:
         if name not in self._base:
-            path = os.path.join(self.folder, f"{name}.parquet")
-            self._base[name] = self._spread(self.spark.read.parquet(path), path)
+            self._base[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return self._base[name]
 
-    def _spread(self, df: DataFrame, path: str) -> DataFrame:
-        """Spread a table kept in a single local file of one row group, which one task would otherwise read and process.
-
-        Tables of many files or splits, as on a cluster, are left as they are.
-        """
-        cores = self.spark.sparkContext.defaultParallelism
-        if not os.path.isfile(path) or os.path.getsize(path) < SPREAD_BYTES or cores < 2:
-            return df
-        return df.repartition(cores, df.columns[0])
-
     def sql(self, statement: str, extra: dict[str, str] | None = None) -> DataFrame:
         text = with_views(statement, extra)
         for name in BASE_TABLES:

@@ -424,11 +424,14 @@ def aircraft_disruption_summary(t: Tables) -> DataFrame:
 
 @query(
     "daily_summary",
-    f"""SELECT s.*, coalesce(a.n, 0) AS alert_count FROM ({summary_sql("dated_scores", "operating_date", f"{STATS_SQL}, {HIGH_SQL}, count(*) FILTER (cancelled) AS cancellation_count, count(*) FILTER (diverted) AS diversion_count")}) s
-        LEFT JOIN (SELECT operating_date, count(*) AS n FROM alerts GROUP BY operating_date) a ON a.operating_date = s.operating_date""",
+    summary_sql(
+        "dated_scores",
+        "operating_date",
+        f"{STATS_SQL}, {HIGH_SQL}, count(*) FILTER (cancelled) AS cancellation_count, count(*) FILTER (diverted) AS diversion_count, count(*) FILTER (sev >= 0.25) AS alert_count",
+    ),
 )
 def daily_summary(t: Tables) -> DataFrame:
-    return tidy(D.daily_summary(stored_scores(t), alerts(t)))
+    return tidy(D.daily_summary(stored_scores(t)))
 
 
 @query("dominant_value", driver_sql("scores", "route_id").strip("()"))
@@ -476,13 +479,12 @@ def component_summary(t: Tables) -> DataFrame:
 @query(
     "domain_metrics",
     """SELECT 'volume' AS metric_category, 'flight_count' AS metric_name, cast(count(*) AS double) AS metric_value FROM scores
-       UNION ALL SELECT 'alerts', 'alert_count', cast(count(*) AS double) FROM alerts
+       UNION ALL SELECT 'alerts', 'alert_count', cast(count(*) FILTER (sev >= 0.25) AS double) FROM scores
        UNION ALL SELECT 'risk', 'high_or_severe_rate', round(1e-10 + count(*) FILTER (band IN ('high', 'severe')) / count(*), 6) FROM scores""",
 )
 def domain_metrics(t: Tables) -> DataFrame:
     scored = stored_scores(t)
-    metrics = D.disruption_metrics(scored, D.disruption_alerts(scored, RUN_ID))
-    return metrics.select("metric_category", "metric_name", r6("metric_value"))
+    return D.disruption_metrics(scored).select("metric_category", "metric_name", r6("metric_value"))
 
 
 @query(

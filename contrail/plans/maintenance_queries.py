@@ -336,7 +336,7 @@ def health_component_summary(t: Tables) -> DataFrame:
 @query(
     "maintenance_metrics",
     """SELECT 'telemetry_observation_count' AS metric_name, cast(count(*) AS double) AS metric_value FROM health_scores UNION ALL SELECT 'scored_observation_count', cast(count(*) AS double) FROM health_scores
-       UNION ALL SELECT 'alert_count', cast(count(*) AS double) FROM health_alerts UNION ALL SELECT 'high_risk_rate', round(1e-10 + count(*) FILTER (band = 'high') / count(*), 6) FROM health_scores""",
+       UNION ALL SELECT 'alert_count', cast(count(*) FILTER (category <> 'none') AS double) FROM health_scores UNION ALL SELECT 'high_risk_rate', round(1e-10 + count(*) FILTER (band = 'high') / count(*), 6) FROM health_scores""",
 )
 def maintenance_metrics(t: Tables) -> DataFrame:
-    return T.maintenance_metrics(stored_health(t), alerts(t)).select("metric_name", r6("metric_value"))
+    return T.maintenance_metrics(stored_health(t)).select("metric_name", r6("metric_value"))

@@ -61,12 +61,12 @@ DELAY_SQL = """SELECT 'delay_prediction' AS monitoring_domain, 'delay_prediction
   UNION ALL SELECT 'delay_prediction', 'delay_prediction_high_risk_rate', round(1e-10 + count(*) FILTER (band = 'high') / count(*), 6) FROM delay_scored"""
 MAINT_SQL = """SELECT 'maintenance_analytics' AS monitoring_domain, 'maintenance_observation_count' AS metric_name, cast(count(*) AS double) AS metric_value FROM health_scores
   UNION ALL SELECT 'maintenance_analytics', 'maintenance_aircraft_count', cast(count(DISTINCT aircraft_id) AS double) FROM health_scores
-  UNION ALL SELECT 'maintenance_analytics', 'maintenance_alert_count', cast(count(*) AS double) FROM health_alerts
+  UNION ALL SELECT 'maintenance_analytics', 'maintenance_alert_count', cast(count(*) FILTER (category <> 'none') AS double) FROM health_scores
   UNION ALL SELECT 'maintenance_analytics', 'maintenance_high_risk_rate', round(1e-10 + count(*) FILTER (band = 'high') / count(*), 6) FROM health_scores
   UNION ALL SELECT 'maintenance_analytics', 'maintenance_max_risk_score', max(risk) FROM health_scores
   UNION ALL SELECT 'maintenance_analytics', 'maintenance_human_review_count', cast(count(*) FILTER (category <> 'none') AS double) FROM health_scores"""
 DISR_SQL = """SELECT 'disruption_scoring' AS monitoring_domain, 'disruption_score_row_count' AS metric_name, cast(count(*) AS double) AS metric_value FROM scores
-  UNION ALL SELECT 'disruption_scoring', 'disruption_alert_count', cast(count(*) AS double) FROM alerts
+  UNION ALL SELECT 'disruption_scoring', 'disruption_alert_count', cast(count(*) FILTER (sev >= 0.25) AS double) FROM scores
   UNION ALL SELECT 'disruption_scoring', 'disruption_high_or_severe_rate', round(1e-10 + count(*) FILTER (band IN ('high', 'severe')) / count(*), 6) FROM scores
   UNION ALL SELECT 'disruption_scoring', 'disruption_severe_rate', round(1e-10 + count(*) FILTER (band = 'severe') / count(*), 6) FROM scores
   UNION ALL SELECT 'disruption_scoring', 'disruption_urgent_review_count', cast(count(*) FILTER (priority = 'urgent_review') AS double) FROM scores
@@ -91,8 +91,8 @@ def build_metrics(t: Tables) -> DataFrame:
             MON.validation_metrics(counts, findings, verified),
             MON.forecast_monitor_metrics(MM.stored_forecast(t)),
             MON.delay_monitor_metrics(MM.stored_delays(t)),
-            MON.maintenance_monitor_metrics(health, T.maintenance_alerts(health, MQ.RUN_ID, MQ.SETTINGS)),
-            MON.disruption_monitor_metrics(scores, D.disruption_alerts(scores, DQ.RUN_ID)),
+            MON.maintenance_monitor_metrics(health),
+            MON.disruption_monitor_metrics(scores),
         ]
     )
 

@@ -15,8 +15,6 @@ from contrail.plans import monitoring_queries as MO
 from contrail.plans.airline_views import Tables
 from contrail.plans.registry import query, sql_part
 
-DATE_START, DATE_END = "1995-01-01", "2001-12-31"
-
 
 def r6(name: str, column=None):
     return round6(name if column is None else column).alias(name)
@@ -39,12 +37,8 @@ def dated(df: DataFrame) -> DataFrame:
 )
 def dim_date(t: Tables) -> DataFrame:
     """The calendar days between the first and last order."""
-    limits = t.base("orders").agg(F.to_date(F.min("o_orderdate")).alias("a"), F.to_date(F.max("o_orderdate")).alias("b"))
-    days = S.dim_date(t.spark, DATE_START, DATE_END)
-    inside = days.withColumn("_l", limits.select(F.struct("a", "b")).scalar()).filter(
-        F.col("date").between(F.col("_l.a"), F.col("_l.b"))
-    )
-    return inside.drop("_l", "source_domain").withColumn("date", F.col("date").cast("string"))
+    days = S.dim_date(t.base("orders"), "o_orderdate").drop("source_domain")
+    return days.withColumn("date", F.col("date").cast("string"))
 
 
 @query(
@@ -446,7 +440,7 @@ def star_tables(t: Tables) -> dict[str, DataFrame]:
     return {
         **made,
         **S.kpi_tables(made),
-        "dim_date": S.dim_date(t.spark, DATE_START, DATE_END),
+        "dim_date": S.dim_date(t.flight_schedule),
         "dim_airport": S.dim_airport(t.flight_schedule),
         "dim_route": S.dim_route(t.flight_schedule),
         "dim_aircraft": S.dim_aircraft(t.flight_schedule, t.aircraft_health),
@@ -462,7 +456,8 @@ def star_tables(t: Tables) -> dict[str, DataFrame]:
 
 @query("star_quality_checks")
 def star_quality_checks(t: Tables) -> DataFrame:
-    return S.star_quality_checks(star_tables(t))
+    tables = star_tables(t)
+    return S.star_quality_checks(tables, S.data_dictionary(tables))
 
 
 @query(

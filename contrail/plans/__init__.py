@@ -6,6 +6,7 @@ from importlib import import_module
 
 MODULES = (
     "validation_queries",
+    "source_queries",
     "disruption_queries",
     "model_queries",
     "maintenance_queries",

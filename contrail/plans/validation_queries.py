@@ -664,23 +664,3 @@ def select_columns(t: Tables) -> DataFrame:
     return t.delay_history.withColumnRenamed("departure_delay_minutes", "delay_minutes").select(
         "flight_id", "delay_minutes", F.when(F.col("cancelled_flag"), "yes").otherwise("no").alias("cancelled")
     )
-
-
-# ---------------------------------------------------------------- fingerprints
-
-
-@query("content_fingerprint")
-def content_fingerprint(t: Tables) -> DataFrame:
-    return S.content_fingerprint(t.base("lineitem"))
-
-
-@query("verify_upstream_output")
-def verify_upstream_output(t: Tables) -> DataFrame:
-    orders = t.base("orders")
-    return S.verify_table(orders, S.content_fingerprint(orders), ["o_orderkey", "o_orderdate"])
-
-
-@query("verify_checksums")
-def verify_checksums(t: Tables) -> DataFrame:
-    files = S.file_checksums(t.spark, t.folder, "*.parquet")
-    return S.verify_checksums(files, files.select("file_name", F.col("sha256").alias("expected_sha256")))

@@ -50,9 +50,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path below the shared checkpoint folder that nothing else uses."""
+    return f"{ensure_checkpoint_dir(spark)}/contrail-{uuid.uuid4().hex}/{name}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table that several consumers read, into the shared checkpoint folder, and read it back."""
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/contrail-{uuid.uuid4().hex}/{name}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

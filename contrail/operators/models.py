@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contrail.functions.columns import band_case, round_half_even, safe_divide
@@ -100,6 +100,17 @@ def one_hot_schema(train: DataFrame, numeric: Sequence[str], categorical: Sequen
     return sorted(numeric) + [f"{name}={level}" for name, values in levels.items() for level in values]
 
 
+def one_hot_table(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
+    """The same order as a table (position, feature_name), whatever the number of levels; nothing reaches the driver."""
+    names = train.sparkSession.createDataFrame([(0, n, "") for n in sorted(numeric)], "kind int, feature string, level string")
+    for name in categorical:
+        level = F.col(name).cast("string").alias("level")
+        names = names.unionAll(train.where(F.col(name).isNotNull()).select(F.lit(1), F.lit(name), level).distinct())
+    order = Window.orderBy("kind", "feature", "level")  # as many rows as features
+    named = F.when(F.col("kind") == 0, F.col("feature")).otherwise(F.concat_ws("=", "feature", "level"))
+    return names.select((F.row_number().over(order) - 1).alias("position"), named.alias("feature_name"))
+
+
 def gram_matrix(
     train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], target: str
 ) -> tuple[list[str], np.ndarray, np.ndarray, float, int]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from contrail.functions.columns import delay_category, minutes_between
 from contrail.operators.findings import COLUMNS, Rule, record_identifier, rule_findings, table_findings, union_all
 from contrail.operators.picks import pick_last
-from contrail.operators.running import drop_ghosts, hour_bin, prefix_aggregates, with_lookback
+from contrail.operators.running import hour_bin, prefix_aggregates
 from contrail.sources.contracts import CONTRACTS, DatasetContract
 
 SENSORS = (
@@ -184,7 +184,7 @@ def schedule_rules(settings: RuleSettings = DEFAULTS) -> list[Rule]:
             "error",
             "origin_airport",
             F.col("origin_airport").eqNullSafe(F.col("destination_airport")),
-            "origin and destination differ",
+            "a flight leads to another airport than it leaves",
         ),
         Rule("FS-004", "error", "scheduled_arrival_utc", arr <= dep, "arrival follows departure"),
         Rule(
@@ -192,7 +192,7 @@ def schedule_rules(settings: RuleSettings = DEFAULTS) -> list[Rule]:
             "error",
             "origin_airport",
             ~(F.col("origin_known") & F.col("destination_known")),
-            "airport codes exist",
+            "both airports are in the airport list",
         ),
         Rule(
             "FS-006",
@@ -203,28 +203,28 @@ def schedule_rules(settings: RuleSettings = DEFAULTS) -> list[Rule]:
                 F.col("route_origin").eqNullSafe(F.col("origin_airport"))
                 & F.col("route_destination").eqNullSafe(F.col("destination_airport"))
             ),
-            "route agrees with origin/destination",
+            "the route's ends are the flight's ends",
         ),
         Rule(
             "FS-007",
             "error",
             "aircraft_type",
             F.col("aircraft_known") & ~F.col("fleet_type").eqNullSafe(F.col("aircraft_type")),
-            "aircraft type agrees with fleet",
+            "the type is the fleet's type for this aircraft",
         ),
         Rule(
             "FS-008",
             "error",
             "seat_capacity",
             F.col("aircraft_known") & (_n("seat_capacity") != F.col("fleet_capacity")),
-            "seat capacity agrees with fleet type",
+            "seats are as many as the type has",
         ),
         Rule(
             "FS-009",
             "warning",
             "scheduled_block_minutes",
             F.abs(minutes_between(dep, arr) - _n("scheduled_block_minutes")) > settings.timestamp_tolerance_minutes,
-            "block minutes agree with timestamps",
+            "block time is arrival less departure",
         ),
         *membership_rules(
             (
@@ -265,28 +265,28 @@ def demand_rules(settings: RuleSettings = DEFAULTS) -> list[Rule]:
             "error",
             "route_id",
             known & ~F.col("route_id").eqNullSafe(F.col("flight_route_id")),
-            "route agrees with linked flight",
+            "route is that of the flight",
         ),
         Rule(
             "PD-004",
             "error",
             "seat_capacity",
             known & ~F.col("seat_capacity").eqNullSafe(F.col("flight_seat_capacity")),
-            "capacity agrees with linked flight",
+            "seats are those of the flight",
         ),
         Rule(
             "PD-005",
             "error",
             "observation_date",
             F.col("observation_date") > departure_day,
-            "observation is not after departure",
+            "seen on the departure day or earlier",
         ),
         Rule(
             "PD-006",
             "error",
             "days_before_departure",
             F.datediff(departure_day, F.col("observation_date")) != F.col("days_before_departure"),
-            "days_before_departure agrees with dates",
+            "day count is departure day less observation day",
         ),
         Rule("PD-007", "error", "booked_passengers", booked > expected, "booked <= expected final passengers"),
         Rule(
@@ -294,21 +294,21 @@ def demand_rules(settings: RuleSettings = DEFAULTS) -> list[Rule]:
             "error",
             "expected_final_passengers",
             expected > F.floor(capacity * settings.overbooking_tolerance),
-            "controlled overbooking tolerance",
+            "expected passengers stay within the overbooking limit",
         ),
         Rule(
             "PD-009",
             "error",
             "load_factor",
             F.abs(_n("load_factor") - F.bround(expected / capacity, 4)) > 0.0001,
-            "load factor equals expected/capacity",
+            "load factor is expected passengers over seats",
         ),
         Rule(
             "PD-010",
             "warning",
             "booking_velocity",
             _n("booking_velocity") > settings.booking_velocity_max,
-            "booking velocity is below warning ceiling",
+            "bookings per day stay within the limit",
         ),
         *membership_rules((("REL-010", "flight_id", "flight_known"),)),
     ]
@@ -319,12 +319,9 @@ def curve_monotonic_check(
 ) -> DataFrame:
     """Observations booked materially below the one before them on the same flight's booking curve."""
     keyed = demand.withColumn("_closeness", -F.coalesce(F.col("days_before_departure"), F.lit(0)))
-    rows, chunk = with_lookback(
-        keyed, ["flight_id"], ["_closeness", row], ["booked_passengers"], 1, [F.col("_closeness")]
-    )
-    order = Window.partitionBy(*chunk).orderBy("_closeness", row)
-    earlier = rows.withColumn("previous_booked", F.lag(_n("booked_passengers")).over(order))
-    return drop_ghosts(earlier, chunk).drop("_closeness").filter(
+    order = Window.partitionBy("flight_id").orderBy("_closeness", row)  # a flight has few observations
+    earlier = keyed.withColumn("previous_booked", F.lag(_n("booked_passengers")).over(order))
+    return earlier.drop("_closeness").filter(
         F.col("previous_booked")
         > _n("booked_passengers") + _n("cancellations_to_date") + settings.booking_drop_allowance
     )
@@ -340,21 +337,21 @@ def weather_rules(settings: RuleSettings = DEFAULTS) -> list[Rule]:
             "error",
             "event_end_utc",
             F.col("event_end_utc") <= F.col("event_start_utc"),
-            "weather event end follows start",
+            "weather ends after it begins",
         ),
         Rule(
             "WE-006",
             "warning",
             "wind_gust_knots",
             _n("wind_gust_knots") + 2 < _n("wind_speed_knots"),
-            "gust is not materially below sustained wind",
+            "gusts are about as strong as the wind or stronger",
         ),
         Rule(
             "WE-008",
             "error",
             "temperature_c",
             ~_n("temperature_c").between(settings.temperature_min_c, settings.temperature_max_c),
-            "temperature remains within synthetic bounds",
+            "temperature lies in the expected range",
         ),
         *membership_rules((("REL-005", "airport_code", "airport_known"),)),
     ]
@@ -368,21 +365,21 @@ def airport_event_rules() -> list[Rule]:
             "error",
             "event_end_utc",
             F.col("event_end_utc") <= F.col("event_start_utc"),
-            "airport event end follows start",
+            "event ends after it begins",
         ),
         Rule(
             "AE-003",
             "warning",
             "severity",
             (_n("capacity_reduction_percent") < floor) | (_n("estimated_delay_minutes") < floor),
-            "severity broadly agrees with impact",
+            "severity and impact point the same way",
         ),
         Rule(
             "AE-004",
             "error",
             "operational_notes",
             ~F.coalesce(F.col("operational_notes"), F.lit("")).contains("Synthetic"),
-            "notes remain templated synthetic descriptions",
+            "notes follow the template",
         ),
         *membership_rules((("REL-006", "airport_code", "airport_known"),)),
     ]
@@ -418,7 +415,7 @@ def health_rules(settings: RuleSettings = DEFAULTS, sensors: Sequence[str] = SEN
                 "error",
                 sensor,
                 (_n(sensor) < bounds["low"] * 0.8) | (_n(sensor) > bounds["high"] * 1.15),
-                "sensor remains within configured hard bounds",
+                "reading lies in the sensor's range",
             )
         )
     return [
@@ -427,7 +424,7 @@ def health_rules(settings: RuleSettings = DEFAULTS, sensors: Sequence[str] = SEN
             "error",
             "aircraft_type",
             F.col("aircraft_known") & ~F.col("fleet_type").eqNullSafe(F.col("aircraft_type")),
-            "aircraft type agrees with fleet",
+            "the type is the fleet's type for this aircraft",
         ),
         Rule("AH-004", "error", "event_timestamp_utc", early | late, "telemetry is near linked flight"),
         Rule(
@@ -435,7 +432,7 @@ def health_rules(settings: RuleSettings = DEFAULTS, sensors: Sequence[str] = SEN
             "error",
             "aircraft_id",
             F.col("flight_known") & ts.isNotNull() & ~F.col("flight_aircraft_id").eqNullSafe(F.col("aircraft_id")),
-            "telemetry aircraft agrees with flight assignment",
+            "reading comes from the flight's aircraft",
         ),
         *out_of_range,
         Rule(
@@ -443,7 +440,7 @@ def health_rules(settings: RuleSettings = DEFAULTS, sensors: Sequence[str] = SEN
             "warning",
             "fault_code",
             (F.col("health_status") == "review") & _blank("fault_code") & (_n("maintenance_risk_score") >= 70),
-            "review states include supporting fault context",
+            "a status for review names its fault",
         ),
         *membership_rules((("REL-007", "aircraft_id", "aircraft_known"), ("REL-013", "flight_id", "flight_known"))),
     ]
@@ -462,21 +459,21 @@ def crew_rules() -> list[Rule]:
             "error",
             "duty_minutes",
             F.abs(F.floor(minutes_between(start, end)) - _n("duty_minutes")) > 1,
-            "duty minutes agree with timestamps",
+            "duty time is end less start",
         ),
         Rule(
             "CR-004",
             "error",
             "crew_disruption_reason",
             disrupted & _blank("crew_disruption_reason"),
-            "disruption reason is present when disrupted",
+            "a disruption has a reason",
         ),
         Rule(
             "CR-005",
             "warning",
             "crew_disruption_reason",
             ~disrupted & ~_blank("crew_disruption_reason"),
-            "reason is blank when not disrupted",
+            "without disruption there is no reason",
         ),
         *membership_rules((("REL-011", "flight_id", "flight_known"),)),
     ]
@@ -494,14 +491,14 @@ def delay_rules(settings: RuleSettings = DEFAULTS) -> list[Rule]:
             "error",
             "cancelled_flag",
             cancelled & (dep.isNotNull() | arr.isNotNull()),
-            "cancelled flights have no actual times",
+            "a cancelled flight never left",
         ),
         Rule(
             "DH-003",
             "error",
             "actual_departure_utc",
             ~cancelled & (dep.isNull() | arr.isNull()),
-            "non-cancelled flights have actual times",
+            "a flown flight has both actual times",
         ),
         Rule("DH-004", "error", "actual_arrival_utc", arr <= dep, "actual arrival follows actual departure"),
         Rule(
@@ -509,42 +506,42 @@ def delay_rules(settings: RuleSettings = DEFAULTS) -> list[Rule]:
             "error",
             "departure_delay_minutes",
             F.abs(observed - _n("departure_delay_minutes")) > 1,
-            "departure delay agrees with actual departure",
+            "delay is actual less scheduled departure",
         ),
         Rule(
             "DH-007",
             "error",
             "delay_category",
             ~delay_category(_n("departure_delay_minutes")).eqNullSafe(F.col("delay_category")),
-            "delay category agrees with delay minutes",
+            "category is the one of these minutes",
         ),
         Rule(
             "DH-008",
             "error",
             "diversion_airport",
             diverted & _blank("diversion_airport"),
-            "diverted flights have diversion airport",
+            "a diversion names its airport",
         ),
         Rule(
             "DH-009",
             "error",
             "diversion_airport",
             ~diverted & ~_blank("diversion_airport"),
-            "non-diverted flights do not have diversion airport",
+            "no diversion, no diversion airport",
         ),
         Rule(
             "DH-010",
             "error",
             "departure_delay_minutes",
             observed < -settings.early_departure_allowance_minutes,
-            "early operation within configured allowance",
+            "no earlier than the limit allows",
         ),
         Rule(
             "DH-011",
             "error",
             "diversion_airport",
             ~_blank("diversion_airport") & ~F.col("diversion_known"),
-            "diversion airport is valid",
+            "diversion airport is in the airport list",
         ),
         *membership_rules((("REL-012", "flight_id", "flight_known"),)),
     ]
@@ -588,7 +585,7 @@ def business_findings(
                     "warning",
                     "booked_passengers",
                     F.lit(True),
-                    "booking curve does not materially decrease",
+                    "bookings never fall by more than cancellations and the allowance",
                 )
             ],
         ),
@@ -646,7 +643,7 @@ def coverage_findings(tables: Mapping[str, DataFrame], legacy: bool = False) ->
                 "integrity",
                 F.concat(F.lit("Missing required record for flight "), F.col("flight_id"), F.lit(".")),
                 F.col("flight_id"),
-                "every flight has required linked records",
+                "no flight lacks its record",
             )
         )
     found = union_all(parts)

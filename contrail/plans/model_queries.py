@@ -220,10 +220,15 @@ def model_linear(t: Tables) -> DataFrame:
     return linear_forecast(t).select("flight_id", "partition", r6("raw_prediction"), "forecast_passengers")
 
 
-@query("one_hot_schema")
+@query(
+    "one_hot_schema",
+    """SELECT cast(row_number() OVER (ORDER BY kind, feature, level) - 1 AS int) AS position, CASE WHEN kind = 0 THEN feature ELSE concat(feature, '=', level) END AS feature_name FROM (
+         SELECT 0 AS kind, feature, '' AS level FROM (VALUES ('booked_passengers'), ('booking_velocity'), ('cancellations_to_date'), ('day_of_week'), ('days_before_departure'), ('fare_discount'), ('fare_flex'), ('fare_standard'), ('group_booking_count'), ('historical_route_load_factor'), ('historical_route_mean'), ('historical_route_observations'), ('month'), ('seat_capacity'), ('weekend_flag')) AS v(feature)
+         UNION SELECT 1, 'demand_segment', demand_segment FROM demand_split WHERE part = 'train' AND demand_segment IS NOT NULL
+         UNION SELECT 1, 'route_id', route_id FROM demand_split WHERE part = 'train' AND route_id IS NOT NULL)""",
+)
 def one_hot_schema(t: Tables) -> DataFrame:
-    names = ML.one_hot_schema(train_part(t), MF.DEMAND_NUMERIC, MF.DEMAND_CATEGORICAL)
-    return t.spark.createDataFrame(list(enumerate(names)), "position int, feature_name string")
+    return ML.one_hot_table(train_part(t), MF.DEMAND_NUMERIC, MF.DEMAND_CATEGORICAL)
 
 
 @query(

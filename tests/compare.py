@@ -49,6 +49,9 @@ def difference(name: str, spark, con, folder: str) -> str | None:
         return f"rows {len(ours)} vs {len(theirs)}"
     if len(ours) == 0:
         return "no rows"
+    for c in ours.columns:  # whole numbers with nulls
+        if str(ours[c].dtype) == "float64" and str(theirs[c].dtype) == "Int64":
+            theirs[c] = theirs[c].astype("float64")
     kinds = {c: (str(ours[c].dtype), str(theirs[c].dtype)) for c in ours.columns}
     odd = {c: k for c, k in kinds.items() if k[0] != k[1]}
     a, b = canonical(ours), canonical(theirs)

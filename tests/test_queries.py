@@ -1,29 +1,14 @@
-"""Named queries against their SQL. Set CONTRAIL_ALL_QUERIES=1 to compare every one."""
+"""Every named query against its SQL."""
 
 from __future__ import annotations
 
-import os
-
 import pytest
 
 import __spark_entry__ as entry
 from tests.compare import connect, difference
 
 FOLDER = "/root/testdata/sf0.001"
-CORE = (
-    "row_rules_flight_schedule",
-    "overlap_check",
-    "pk_duplicates",
-    "interval_join",
-    "prior_mean",
-    "asof_latest",
-    "curve_areas_by_route",
-    "rolling_telemetry",
-    "route_summary",
-    "guardrail_checks",
-    "dim_aircraft",
-)
-NAMES = list(entry.queries()) if os.environ.get("CONTRAIL_ALL_QUERIES") else list(CORE)
+NAMES = list(entry.queries())
 
 
 @pytest.fixture(scope="module")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contrail.llm.shared import TEXT_ROWS, arrow_rows, broadcast_if_small, written
+from contrail.llm.shared import TEXT_ROWS, arrow_rows, broadcast_if_small, marks, without, written
 
 SEED = 4
 SEGMENT = 8
@@ -209,10 +209,8 @@ def _block_matches(texts: DataFrame, block: ItemBlock) -> DataFrame:
     )
 
 
-def marks(text: Column) -> list[Column]:
-    """Two independent 64-bit hashes that stand for a text."""
-    whole = F.coalesce(text.cast("string"), F.lit(""))
-    return [F.xxhash64(whole).alias("mark"), F.xxhash64(F.lit(1), whole).alias("mark2")]
+def whole(text: Column) -> Column:
+    return F.coalesce(text.cast("string"), F.lit(""))
 
 
 def matches(
@@ -227,7 +225,7 @@ def matches(
 ) -> DataFrame:
     """(key, item key, score, end_word, mark, mark2), the best of each key, text and item with at least the score."""
     spark = df.sparkSession
-    texts = df.select(df[key].alias("own_key"), *marks(df[text]), df[text].cast("string").alias("text"))
+    texts = df.select(df[key].alias("own_key"), *marks(whole(df[text])), df[text].cast("string").alias("text"))
     items = benchmark.select(benchmark[item_key].alias("item_key"), benchmark[item_text].cast("string").alias("text")).where(
         "text IS NOT NULL"
     )
@@ -260,7 +258,4 @@ def matches(
 def clean_rows(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `df` whose text matches no item, decided by the text alone."""
     found = written(matches(df, benchmark, key, text).select("mark", "mark2").distinct(), "contaminated")
-    columns = df.columns
-    rows = df.select(F.struct(*[df[c] for c in columns]).alias("own_row"), *marks(df[text]))
-    kept = rows.join(broadcast_if_small(found, found.count(), BROADCAST_ROWS), ["mark", "mark2"], "left_anti")
-    return kept.select(*[F.col("own_row").getField(c).alias(c) for c in columns])
+    return without(df, found, [whole(df[text])], BROADCAST_ROWS)

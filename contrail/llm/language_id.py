@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contrail.llm.shared import TEXT_ROWS, arrow_rows, broadcast_if_small, fresh, map_texts, written
+from contrail.llm.shared import TEXT_ROWS, arrow_rows, broadcast_if_small, map_texts, marks, without, written
 
 BITS = 16
 TRAIN_ROWS = 20_000
@@ -265,9 +265,14 @@ def languages_of(
 
 
 def with_known_language(df: DataFrame, text: str = "text", lang: str = "lang", host: str = "source") -> DataFrame:
-    """The rows of `df` whose language is accepted; the model is fitted on their own labels, which are no evidence."""
-    columns = df.columns
+    """The rows of `df` whose language is accepted; the model is fitted on their own labels, which are no evidence.
+
+    A decision follows from text and host alone, so rejected rows are taken out by marks of both and no text is stored.
+    """
     model = fit(df, text, lang)
-    name = fresh(columns, "language_logs")
-    rows = written(with_text_evidence(df, model, columns, text, name), "evidence")
-    return fused(rows, model, name, host, None, None).where("language_of.accepted").select(*columns)
+    values = [F.coalesce(df[text].cast("string"), F.lit("")), F.coalesce(df[host].cast("string"), F.lit(""))]
+    narrow = df.select(*marks(*values), values[1].alias("own_host"), values[0].alias("own_text"))
+    evidence = with_text_evidence(narrow, model, ["mark", "mark2", "own_host"], "own_text", "logs_of_text")
+    judged = fused(written(evidence, "evidence"), model, "logs_of_text", "own_host", None, None)
+    gone = written(judged.where("NOT language_of.accepted").select("mark", "mark2").distinct(), "rejected")
+    return without(df, gone, values, BROADCAST_ROWS)

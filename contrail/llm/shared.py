@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
@@ -67,6 +67,19 @@ def map_texts(
     return narrow.mapInArrow(run, schema)
 
 
+def marks(*values: Column) -> list[Column]:
+    """Two independent 64-bit hashes, `mark` and `mark2`, that stand for the given values of a row."""
+    return [F.xxhash64(*values).alias("mark"), F.xxhash64(F.lit(1), *values).alias("mark2")]
+
+
+def without(df: DataFrame, gone: DataFrame, values: Sequence[Column], most: int) -> DataFrame:
+    """The rows of `df` whose marks of `values` are not in the stored table `gone`; columns as in `df`."""
+    columns = df.columns
+    rows = df.select(F.struct(*[df[c] for c in columns]).alias("own_row"), *marks(*values))
+    kept = rows.join(broadcast_if_small(gone, gone.count(), most), ["mark", "mark2"], "left_anti")
+    return kept.select(*[F.col("own_row").getField(c).alias(c) for c in columns])
+
+
 def broadcast_if_small(df: DataFrame, rows: int, most: int) -> DataFrame:
     """Hint a broadcast only when the counted rows stay under the bound; else the join is left to shuffle."""
     return F.broadcast(df) if rows <= most else df

@@ -26,7 +26,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contrail.llm.components import connected_components
-from contrail.llm.shared import TEXT_ROWS, VECTOR_ROWS, arrow_rows, broadcast_if_small, map_texts, runs, local_components, written
+from contrail.llm.shared import (
+    TEXT_ROWS,
+    VECTOR_ROWS,
+    arrow_rows,
+    broadcast_if_small,
+    local_components,
+    map_texts,
+    marks,
+    runs,
+    without,
+    written,
+)
 
 MAX_BITS = 3
 SEGMENT = 32
@@ -171,24 +182,30 @@ def simhash_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
 
 
 def one_of_each_group(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `df`, one of each group of near copies: the smallest key, null keys last, of repeated rows any one."""
-    columns = df.columns
-    rows = written(
-        fingerprints(df.select(*columns), columns, text, "simhash_value").withColumn(
-            "simhash_row", F.monotonically_increasing_id()
-        ),
-        "marked",
-    )
-    narrow = rows.select(F.col("simhash_row"), F.col("simhash_value").alias("value"), F.col(key).alias("own_key"))
-    grouped = written(
-        narrow.join(components(narrow, "value", "own_key").drop("component_id"), "value").select(
-            "simhash_row", "group", F.struct(F.isnull("own_key").alias("last"), "own_key", "simhash_row").alias("order")
-        ),
-        "ordered",
-    )
-    stays = grouped.groupBy("group").agg(F.min("order").alias("first"))
-    gone = written(
-        grouped.join(stays, "group").where(F.col("order") != F.col("first")).select("simhash_row"), "dropped"
+    """The rows of `df`, one of each group of near copies: the smallest key, null keys last, of repeated rows any one.
+
+    Rows go by marks of key and text; only survivors that are repeated are grouped with their texts.
+    """
+    values = [df[key], F.coalesce(df[text].cast("string"), F.lit(""))]
+    named = df.select(df[key].alias("own_key"), *marks(*values), values[1].alias("own_text"))
+    narrow = written(fingerprints(named, ["own_key", "mark", "mark2"], "own_text", "value"), "fingerprints")
+    order = F.struct(F.isnull("own_key").alias("last"), "own_key", "mark", "mark2")
+    firsts = narrow.groupBy("value").agg(F.min(order).alias("first"))
+    classes = written(firsts.join(components(narrow, "value", "own_key"), "value").select("value", "group", "first"), "classes")
+    stays = written(classes.groupBy("group").agg(F.min("first").alias("stays")), "stays")
+    survivors = written(classes.join(stays, "group").select("value", "stays"), "survivors")
+    judged = narrow.join(survivors, "value").select("mark", "mark2", (order != F.col("stays")).alias("goes"))
+    gone = written(judged.where("goes").select("mark", "mark2").distinct(), "dropped")
+    repeated = written(
+        judged.where("NOT goes").groupBy("mark", "mark2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeated"
     )
-    kept = rows.join(broadcast_if_small(gone, gone.count(), BROADCAST_ROWS), "simhash_row", "left_anti")
-    return kept.select(*columns)
+    kept = without(df, gone, values, BROADCAST_ROWS)
+    again = repeated.count()
+    if not again:
+        return kept
+    values = [kept[key], F.coalesce(kept[text].cast("string"), F.lit(""))]
+    rows = kept.select(F.struct(*[kept[c] for c in kept.columns]).alias("own_row"), *marks(*values))
+    some = rows.join(broadcast_if_small(repeated, again, BROADCAST_ROWS), ["mark", "mark2"], "left_semi")
+    one = some.groupBy("mark", "mark2").agg(F.first("own_row").alias("own_row"))
+    single = without(kept, repeated, values, BROADCAST_ROWS)
+    return single.unionAll(one.select(*[F.col("own_row").getField(c).alias(c) for c in kept.columns]))

@@ -86,4 +86,37 @@ QUERIES: dict[str, Query] = {
     "op9_personal_data": op9_personal_data,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
-ORACLES: dict[str, str] = {}
+# The SQL that expresses a query whole; the others are compared with brute force in the tests.
+ORACLES: dict[str, str] = {
+    "op5_warc": """
+        WITH hashed AS (
+            SELECT page_id, encode(coalesce(html, '')) AS body, sha1(coalesce(html, '')) AS hex FROM pages
+        ), grouped AS (
+            SELECT *, min(page_id) OVER (PARTITION BY hex) AS first FROM hashed
+        ), coded AS (
+            SELECT *, list_transform(range(8), lambda i: cast('0x' || substr(hex, 5 * i + 1, 5) AS bigint)) AS parts FROM grouped
+        )
+        SELECT page_id, cast(octet_length(body) AS bigint) AS payload_bytes,
+               array_to_string(list_transform(parts, lambda p:
+                   substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', p // 32768 + 1, 1)
+                   || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', p // 1024 % 32 + 1, 1)
+                   || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', p // 32 % 32 + 1, 1)
+                   || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', p % 32 + 1, 1)), '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM coded""",
+    "op10_embedding_dedup": """
+        WITH RECURSIVE sound AS (
+            SELECT vec_id, cast(embedding AS double[]) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), links AS (
+            SELECT a.vec_id AS u, b.vec_id AS v FROM sound a JOIN sound b
+            ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95
+        ), reached(u, v) AS (
+            SELECT vec_id, vec_id FROM embeddings UNION SELECT r.u, l.v FROM reached r JOIN links l ON l.u = r.v
+        ), least AS (SELECT u, min(v) AS component_id FROM reached GROUP BY u),
+        counted AS (SELECT u, count(*) AS n_links FROM links GROUP BY u)
+        SELECT e.vec_id, coalesce(n_links, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+        FROM embeddings e JOIN least ON least.u = e.vec_id LEFT JOIN counted ON counted.u = e.vec_id""",
+}

@@ -7,7 +7,8 @@ such a window shares a band with probability CHANCE at least. Each band orders t
 
 A window's minimum is one of its shingles. A text without any of the templates' minima can share no band with them, so its
 windows are not built; this changes no result. Candidate windows join the table of band values, and the share of the
-template's shingles in the window decides.
+template's shingles in the window decides. Of templates that begin at the same word the one found most fully is reported,
+so that a license is not taken for another version of itself.
 
 Only column expressions are used, and nothing but candidates is shuffled.
 
@@ -21,7 +22,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window as Frame
 from pyspark.sql import functions as F
 
 
@@ -77,11 +78,21 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(r"[\p{L}\p{N}]++"), F.lit(0))
 
 
-def shingle_hashes(words: str) -> str:
-    """SQL: hash of every five neighbouring words of an array column of word hashes."""
-    five = ", ".join(f"{words}[i + {k}]" for k in range(SHINGLE))
-    return f"""CASE WHEN size({words}) >= {SHINGLE} THEN transform(sequence(0, size({words}) - {SHINGLE}), i -> xxhash64({five}))
-        ELSE CAST(array() AS array<bigint>) END"""
+def shingle_hashes(text: Column) -> Column:
+    """Hash of every five neighbouring words of a text.
+
+    The word hashes are bound to a variable (a one-element array), so that they are made once however the expression is
+    moved: a filter on the result is evaluated below the projection that names it.
+    """
+    words = F.transform(words_of(text), lambda w: F.xxhash64(w))
+
+    def shingles(w: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(w) - SHINGLE)
+        return F.when(
+            F.size(w) >= SHINGLE, F.transform(places, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]))
+        ).otherwise(F.array().cast("array<bigint>"))
+
+    return F.get(F.transform(F.array(words), shingles), F.lit(0))
 
 
 def mask(band: int) -> int:
@@ -126,8 +137,8 @@ def windows_for(templates: dict[int, frozenset[int]]) -> list[Window]:
 def template_shingles(spark: SparkSession, templates: Sequence[tuple[str, str]]) -> dict[int, frozenset[int]]:
     """Shingle hashes of each template, by its place in the given list."""
     rows = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(templates)], "template int, text string")
-    hashed = rows.withColumn("w", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)))
-    found = {r["template"]: frozenset(r["h"]) for r in hashed.select("template", F.expr(shingle_hashes("w")).alias("h")).collect()}
+    hashed = rows.select("template", shingle_hashes(F.col("text")).alias("h"))
+    found = {r["template"]: frozenset(r["h"]) for r in hashed.collect()}
     if short := [templates[i][1] for i, h in found.items() if not h]:
         raise ValueError(f"templates of under {SHINGLE} words: {short}")
     return found
@@ -166,12 +177,9 @@ def license_matches(
         "template int, license string, template_shingles array<long>",
     )
     minima = [v ^ mask(b) for w in windows for b, v, _ in w.minima]
-    words = F.transform(words_of(df[text]), lambda w: F.xxhash64(w))
-    hashed = (
-        df.select(df[key].alias("own_key"), F.xxhash64(df[text].cast("string")).alias("mark"), words.alias("w"))
-        .select("own_key", "mark", F.expr(shingle_hashes("w")).alias("h"))
-        .where(f"arrays_overlap(h, array({_listed(minima)}))")
-    )
+    hashed = df.select(
+        df[key].alias("own_key"), F.xxhash64(df[text].cast("string")).alias("mark"), shingle_hashes(df[text]).alias("h")
+    ).where(f"arrays_overlap(h, array({_listed(minima)}))")
     parts = ", ".join(f"coalesce({_candidates(n, w)}, array())" for n, w in enumerate(windows))
     found = (
         hashed.select("own_key", "mark", F.explode(F.expr(f"concat({parts})")).alias("c"))
@@ -183,9 +191,11 @@ def license_matches(
         .where(F.col("containment") >= CONTAINMENT)
         .withColumn("at_word", F.col("at") + F.array_position("shingles", _first_of("shingles", "shared")) - 1)
     )
+    here = Frame.partitionBy("own_key", "mark", "at_word")  # as many rows as templates and windows that meet here
+    fullest = found.withColumn("most", F.max("containment").over(here)).where(F.col("containment") == F.col("most"))
     best = F.min(F.struct((-F.col("containment")).alias("less"), "at_word"))
     return (
-        found.groupBy("own_key", "mark", "license", "template")
+        fullest.groupBy("own_key", "mark", "license", "template")
         .agg(best.alias("best"))
         .select(
             F.col("own_key").alias(key), "license", "template", (-F.col("best.less")).alias("containment"), F.col("best.at_word"), "mark"

@@ -14,17 +14,25 @@ def shingles(text):
 
 
 def brute(text, templates):
-    """{template: best containment over all windows of its group} by trying every window."""
+    """{template: best containment over all windows of its group} by trying every window.
+
+    A template only counts where none that begins at the same word is found more fully.
+    """
     kinds = {i: frozenset(shingles(t)) for i, (_, t) in enumerate(templates)}
     fake = {i: frozenset(hash(s) for s in k) for i, k in kinds.items()}
-    doc, found = shingles(text), {}
+    doc, found, places = shingles(text), {}, {}
     for w in L.windows_for(fake):
         for at in range(0, max(1, len(doc)), w.stride):
             part = set(doc[at : at + w.length])
             for t in w.templates:
                 c = len(part & kinds[t]) / len(kinds[t])
                 if c >= L.CONTAINMENT:
-                    found[t] = max(c, found.get(t, 0))
+                    first = next(k for k in range(at, at + w.length) if doc[k] in kinds[t])
+                    places.setdefault(first, set()).add((c, t))
+    for seen in places.values():
+        for c, t in seen:
+            if c == max(seen)[0]:
+                found[t] = max(c, found.get(t, 0))
     return found
 
 

@@ -36,8 +36,8 @@ def canonical(df: pd.DataFrame) -> pd.DataFrame:
     return out.sort_values(list(out.columns)).reset_index(drop=True)
 
 
-def difference(name: str, spark, con, folder: str) -> str | None:
-    """None when both agree, otherwise what differs."""
+def difference(name: str, spark, con, folder: str, empty: bool = False) -> str | None:
+    """None when both agree, otherwise what differs; no rows on either side only agree when `empty` is allowed."""
     ours = entry.queries()[name](spark, folder).toPandas()
     sql = entry.oracle_sql().get(name)
     if sql is None:
@@ -48,7 +48,7 @@ def difference(name: str, spark, con, folder: str) -> str | None:
     if len(ours) != len(theirs):
         return f"rows {len(ours)} vs {len(theirs)}"
     if len(ours) == 0:
-        return "no rows"
+        return None if empty else "no rows"
     for c in ours.columns:  # whole numbers with nulls
         if str(ours[c].dtype) == "float64" and str(theirs[c].dtype) == "Int64":
             theirs[c] = theirs[c].astype("float64")

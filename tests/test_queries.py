@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
 import __spark_entry__ as entry
 from tests.compare import connect, difference
 
 FOLDER = "/root/testdata/sf0.001"
-NAMES = list(entry.queries())
+NAMES = [n for n in entry.queries() if not re.match(r"op\d+_|pipeline$", n)]  # those have tests of their own
+MAY_BE_EMPTY = {"filter_min_group_size"}  # no group is large enough at this scale
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +21,7 @@ def con():
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_equals_sql(spark, con, name):
-    assert difference(name, spark, con, FOLDER) is None
+    assert difference(name, spark, con, FOLDER, name in MAY_BE_EMPTY) is None
 
 
 def test_entry_is_lazy_and_stable(spark):

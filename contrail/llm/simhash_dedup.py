@@ -48,8 +48,8 @@ PIECE = 1 << 20
 BROADCAST_ROWS = 500_000
 
 
-def _words(text: str) -> Iterator[list[bytes]]:
-    """Words of a text in blocks of about a megabyte, each block led by the last two words before it."""
+def words_in_pieces(text: str, shingle: int = SHINGLE) -> Iterator[list[bytes]]:
+    """Words of a text in blocks of about a megabyte, each block led by the last words before it, one less than a shingle has."""
     raw = text.encode().lower()
     if len(raw) <= PIECE:
         yield raw.split()
@@ -63,14 +63,14 @@ def _words(text: str) -> Iterator[list[bytes]]:
         words = raw[begin:end].split()
         if words:
             yield tail + words
-            tail = (tail + words)[-(SHINGLE - 1) :]
+            tail = (tail + words)[-(shingle - 1) :]
         begin = end
 
 
 def fingerprint(text: str) -> int:
     """Signed 64-bit fingerprint: a bit is set when over half of the shingle hashes have it."""
     ones, n, short = np.zeros(64, dtype=np.int64), 0, []
-    for words in _words(text):
+    for words in words_in_pieces(text):
         short = words
         hashes = np.fromiter(
             (xxhash.xxh64_intdigest(b" ".join(s), SEED) for s in zip(words, words[1:], words[2:], strict=False)),
@@ -191,7 +191,19 @@ def one_of_each_group(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     narrow = written(fingerprints(named, ["own_key", "mark", "mark2"], "own_text", "value"), "fingerprints")
     order = F.struct(F.isnull("own_key").alias("last"), "own_key", "mark", "mark2")
     firsts = narrow.groupBy("value").agg(F.min(order).alias("first"))
-    classes = written(firsts.join(components(narrow, "value", "own_key"), "value").select("value", "group", "first"), "classes")
+    classes = firsts.join(components(narrow, "value", "own_key"), "value").select("value", "group", "first")
+    return only_firsts(df, narrow, classes, key, text)
+
+
+def only_firsts(df: DataFrame, narrow: DataFrame, classes: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of `df` that are the first of their group.
+
+    `narrow` has own_key, the marks of key and text, and the value of each row; `classes` has value, group and first, the
+    order of the first row with that value.
+    """
+    values = [df[key], F.coalesce(df[text].cast("string"), F.lit(""))]
+    order = F.struct(F.isnull("own_key").alias("last"), "own_key", "mark", "mark2")
+    classes = written(classes, "classes")
     stays = written(classes.groupBy("group").agg(F.min("first").alias("stays")), "stays")
     survivors = written(classes.join(stays, "group").select("value", "stays"), "survivors")
     judged = narrow.join(survivors, "value").select("mark", "mark2", (order != F.col("stays")).alias("goes"))

@@ -1,7 +1,8 @@
 """Language of a text by Bayesian fusion of four kinds of evidence.
 
-Text: character-trigram likelihoods from a hashed model, fitted on a bounded sample of labelled rows (TRAIN_ROWS); each
-character lies in three trigrams, so log likelihoods count a third. A uniform background model stands for "no language".
+Text: character-trigram likelihoods from a hashed model, fitted on a bounded sample of each language's labelled texts
+(TRAIN_ROWS of every language, copies counted once, so no language leaves the model as the table grows); each character
+lies in three trigrams, so log likelihoods count a third. A uniform background model stands for "no language".
 Declared language and address (country suffix or a language folder) each multiply in a reliability. Host priors come from
 grouped aggregation of the evidence so far over all rows, smoothed along host, domain, suffix and whole table; a row's own
 share is taken out of its host first, so nothing counts twice.
@@ -21,7 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,14 +78,43 @@ def trigram_buckets(text: str) -> np.ndarray:
     return np.concatenate(found) if found else np.empty(0, dtype=np.uint32)
 
 
+def _sampled(labelled: DataFrame, train_rows: int) -> tuple[DataFrame, tuple[str, ...]]:
+    """The first `train_rows` distinct texts of each language in the order of a hash, each once, and the languages.
+
+    The hash is cut into 4,096 ranges, so only the range where a language reaches its number is put in order.
+    """
+    hashes = written(
+        labelled.groupBy("lang", F.xxhash64("text").alias("o")).agg(F.count(F.lit(1)).alias("n")).withColumn("range", F.shiftright("o", 52)),
+        "text_hashes",
+    )
+    modelled = hashes.groupBy("lang").agg(F.sum("n").alias("n")).where((F.col("n") >= LEAST_ROWS) & (F.col("lang") != UNDETERMINED))
+    earlier = Window.partitionBy("lang").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = (
+        hashes.groupBy("lang", "range").agg(F.count(F.lit(1)).alias("c"))
+        .withColumn("before", F.coalesce(F.sum("c").over(earlier), F.lit(0)))
+        .where((F.col("before") < train_rows) & (F.col("before") + F.col("c") >= train_rows))
+    )
+    place = F.row_number().over(Window.partitionBy("lang", "range").orderBy("o"))
+    last = (
+        hashes.join(F.broadcast(ranges.select("lang", "range", "before")), ["lang", "range"])  # a row for each language at most
+        .withColumn("place", place + F.col("before"))
+        .where(F.col("place") == train_rows)
+        .select("lang", F.col("o").alias("last"))
+    )
+    limits = written(modelled.join(last, "lang", "left").select("lang", "last"), "limits")
+    languages = tuple(sorted(r["lang"] for r in limits.select("lang").collect()))
+    rows = labelled.withColumn("o", F.xxhash64("text")).join(F.broadcast(limits), "lang")  # as many rows as languages
+    once = rows.where("last IS NULL OR o <= last").groupBy("lang", "o").agg(F.first("text").alias("text"))
+    return once.select("text", "lang"), languages
+
+
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", train_rows: int = TRAIN_ROWS) -> LanguageModel:
-    """Trigram model from at most about `train_rows` labelled rows, taken in the order of a hash of the text."""
+    """Trigram model of every language with LEAST_ROWS labelled rows, from at most `train_rows` distinct texts of each."""
     labelled = df.select(
         df[text].cast("string").alias("text"), F.lower(df[lang].cast("string")).alias("lang")
     ).where("text IS NOT NULL AND lang IS NOT NULL")
-    order = F.xxhash64("text")
-    last = labelled.select(order.alias("o")).orderBy("o").limit(train_rows).agg(F.max("o")).first()[0]
-    if last is None:
+    sample, languages = _sampled(labelled, train_rows)
+    if not languages:
         return LanguageModel((), np.zeros((1 << BITS, 1), dtype=np.float32))
     arrow_rows(df.sparkSession, TEXT_ROWS)
 
@@ -94,25 +124,21 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", train_rows: int =
             for one in sorted(set(langs)):
                 own = [trigram_buckets(t) for t, k in zip(texts, langs, strict=True) if k == one]
                 buckets, n = np.unique(np.concatenate(own), return_counts=True)
-                buckets, n = np.append(buckets.astype(np.int32), -1), np.append(n, len(own))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([one] * len(n)), pa.array(buckets, pa.int32()), pa.array(n, pa.int64())], names=["lang", "bucket", "n"]
+                    [pa.array([one] * len(n)), pa.array(buckets.astype(np.int32), pa.int32()), pa.array(n, pa.int64())], names=["lang", "bucket", "n"]
                 )
 
     counted = (
-        labelled.where(order <= last)
-        .mapInArrow(count, "lang string, bucket int, n long")
+        sample.mapInArrow(count, "lang string, bucket int, n long")
         .groupBy("lang", "bucket")
         .agg(F.sum("n").alias("n"))
         .toArrow()
         .to_pydict()
     )
-    keys, buckets, n = np.array(counted["lang"], dtype=object), np.array(counted["bucket"]), np.array(counted["n"])
-    rows = {k: int(v) for k, v in zip(keys[buckets < 0], n[buckets < 0], strict=True)}
-    languages = tuple(sorted(k for k, v in rows.items() if v >= LEAST_ROWS and k != UNDETERMINED))
+    keys, buckets, n = np.array(counted["lang"], dtype=object), np.array(counted["bucket"], dtype=np.int64), np.array(counted["n"])
     table = np.full((1 << BITS, len(languages) + 1), -BITS * np.log(2.0))
     for i, one in enumerate(languages):
-        own = (keys == one) & (buckets >= 0)
+        own = keys == one
         seen = np.full(1 << BITS, SMOOTH)
         seen[buckets[own]] += n[own]
         table[:, i] = np.log(seen / seen.sum())

@@ -111,3 +111,19 @@ def test_stage_keeps_columns_and_rejects_what_is_no_language(spark, model):
     assert kept.count() == docs.count() and kept.where("doc_id > 9000 OR doc_id IS NULL").count() == 0
     assert L.with_known_language(docs.limit(0)).count() == 0
     assert L.with_known_language(docs.withColumn("lang", F.lit(None).cast("string"))).count() == 0
+
+
+def test_each_language_has_its_own_sample_and_copies_count_once(spark):
+    rng = np.random.default_rng(4)
+    text = lambda letters: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(30))
+    common = [(text("abcdefgh"), "en") for _ in range(600)]
+    rare = [(text("αβγδεζηθ"), "EL") for _ in range(L.LEAST_ROWS)]
+    few = [(text("бвгджзик"), "ru") for _ in range(L.LEAST_ROWS - 1)]
+    make = lambda rows: L.fit(spark.createDataFrame(rows, "text string, lang string"), train_rows=50)
+    once = make(common + rare + few)
+    assert once.languages == ("el", "en")
+    again = make(common + [common[0]] * 400 + rare + few)
+    assert again.languages == once.languages and np.array_equal(again.table, once.table)
+    hashed = spark.createDataFrame(common, "text string, lang string").select("text", F.xxhash64("text").alias("o")).orderBy("o").limit(50)
+    first = make([(r.text, "en") for r in hashed.collect()] + rare)
+    assert np.array_equal(first.table, once.table)

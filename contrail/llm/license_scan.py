@@ -19,6 +19,7 @@ with equal key and text are one row of the result; other columns are ignored; an
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -31,7 +32,7 @@ CONTAINMENT = 0.8
 CHANCE = 0.99
 GROWTH = 1.3
 MASKS = 64
-# Licenses and notices they are recognised by.
+# Licenses and notices they are recognised by. Wording that versions share stands for the family (LGPL, BSD).
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "This project is licensed under the terms of the MIT license."),
@@ -55,7 +56,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     (
-        "LGPL-3.0",
+        "LGPL",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General"
         " Public License as published by the Free Software Foundation",
     ),
@@ -65,14 +66,55 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     (
-        "BSD-3-Clause",
+        "BSD",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the"
         " following conditions are met",
     ),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    (
+        "GPL-2.0",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public"
+        " License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any"
+        " later version.",
+    ),
+    (
+        "LGPL-2.1",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General"
+        " Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your"
+        " option) any later version.",
+    ),
+    (
+        "LGPL-3.0",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General"
+        " Public License as published by the Free Software Foundation, either version 3 of the License, or (at your"
+        " option) any later version.",
+    ),
+    (
+        "AGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General"
+        " Public License as published by the Free Software Foundation, either version 3 of the License, or (at your"
+        " option) any later version.",
+    ),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    (
+        "BSD-2-Clause",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following"
+        " disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED"
+        " BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS",
+    ),
+    (
+        "BSD-3-Clause",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote"
+        " products derived from this software without specific prior written permission.",
+    ),
 )
 
+# Families by their shared wording, and the licenses that have it.
+FAMILIES = {"LGPL": ("LGPL-2.1", "LGPL-3.0"), "BSD": ("BSD-2-Clause", "BSD-3-Clause")}
+
 
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(r"[\p{L}\p{N}]++"), F.lit(0))
@@ -208,11 +250,28 @@ def _first_of(values: str, wanted: str) -> Column:
     return F.expr(f"filter({values}, x -> array_contains({wanted}, x))[0]")
 
 
+def _without_less_full(found: DataFrame, key: str, templates: Sequence[tuple[str, str]]) -> DataFrame:
+    """The found templates over whose place no other license is found more fully."""
+    words = F.array(*[F.lit(len(re.findall(r"[^\W_]+", t))) for _, t in templates])
+    here = Frame.partitionBy(key, "mark")  # as many rows as templates found in a text
+    rows = found.withColumn("own", F.struct("license", "containment", "at_word", F.get(words, F.col("template")).alias("words")))
+    fuller = """exists(others, o -> o.license <> own.license AND o.containment > own.containment
+        AND abs(o.at_word - own.at_word) < least(o.words, own.words))"""
+    return rows.withColumn("others", F.collect_set("own").over(here)).where(f"NOT {fuller}").drop("own", "others")
+
+
 def licenses_of(df: DataFrame, key: str = "doc_id", text: str = "text", templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """One row per key, text and license found: key, license, containment, at_word, n_templates, text_mark."""
-    found = license_matches(df, key, text, templates)
+    """One row per key, text and license found: key, license, containment, at_word, n_templates, text_mark.
+
+    A family is only reported for texts in which none of its licenses is found.
+    """
+    found = _without_less_full(license_matches(df, key, text, templates), key, templates)
     best = F.min(F.struct((-F.col("containment")).alias("less"), "at_word"))
     grouped = found.groupBy(key, "mark", "license").agg(best.alias("best"), F.count(F.lit(1)).alias("n_templates"))
+    here = Frame.partitionBy(key, "mark")  # as many rows as licenses found in a text
+    for family, members in FAMILIES.items():
+        told = F.max(F.col("license").isin(*members)).over(here)
+        grouped = grouped.withColumn("told", (F.col("license") == family) & told).where("NOT told").drop("told")
     return grouped.select(
         key, "license", (-F.col("best.less")).alias("containment"), F.col("best.at_word").alias("at_word"), "n_templates",
         F.col("mark").alias("text_mark"),

@@ -99,3 +99,37 @@ def test_odd_rows(spark):
     assert L.licenses_of(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         L.license_matches(df, templates=[("X", "four words are short")])
+
+
+def test_versions_that_share_wording_are_told_apart(spark):
+    gnu = (
+        "This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2}General Public"
+        " License as published by the Free Software Foundation{3} either version {4} of the License, or (at your option) any"
+        " later version."
+    )
+    opening = (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the"
+        " following conditions are met: "
+    )
+    clauses = (
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following"
+        " disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions"
+        " and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+    )
+    names = (
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote"
+        " products derived from this software without specific prior written permission. "
+    )
+    ends = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES'
+    notices = [
+        ("GPL-2.0", gnu.format("program", ";", "", ";", "2")), ("GPL-3.0", gnu.format("program", ":", "", ",", "3")),
+        ("LGPL-2.1", gnu.format("library", ";", "Lesser ", ";", "2.1")), ("LGPL-3.0", gnu.format("library", ":", "Lesser ", ",", "3")),
+        ("AGPL-3.0", gnu.format("program", ":", "Affero ", ",", "3")), ("LGPL", gnu.format("library", ";", "Lesser ", ".", "x").split(". either")[0]),
+        ("BSD-2-Clause", opening + clauses + ends), ("BSD-3-Clause", opening + clauses + names + ends), ("BSD", opening),
+        *((f"CC-{k.replace(' ', '-')}-4.0", f"Licensed under CC {k} 4.0.") for k in ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND")),
+    ]
+    rows = [(i * 20 + k, "filler " * k + text + " and so on" * 9) for i, (_, text) in enumerate(notices) for k in range(0, 20, 3)]
+    got: dict = {}
+    for r in L.licenses_of(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    assert {k: v for k, v in got.items() if v != {notices[k // 20][0]}} == {} and len(got) == len(rows)

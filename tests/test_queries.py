@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import re
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 
@@ -35,3 +40,18 @@ def test_entry_is_lazy_and_stable(spark):
 
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("pipeline_too", [False, True])
+def test_entry_imports_without_the_training_data_part(tmp_path, pipeline_too):
+    root = Path(entry.__file__).parent
+    without = shutil.ignore_patterns("llm", "__pycache__", *(["corpus_pipeline.py"] if pipeline_too else []))
+    shutil.copytree(root / "contrail", tmp_path / "contrail", ignore=without)
+    for name in ("__spark_entry__.py", *([] if pipeline_too else ["corpus_pipeline.py"])):
+        shutil.copy(root / name, tmp_path / name)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'route_summary' in q and 'pipeline' not in q; e.oracle_sql(); print(len(q))"
+    environment = {**os.environ, "PYTHONPATH": str(tmp_path), "PYTHONDONTWRITEBYTECODE": "1"}
+    found = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=environment, capture_output=True, text=True, timeout=120)
+    assert found.returncode == 0, found.stderr
+    others = [n for n in entry.queries() if not re.match(r"op\d+_|pipeline$", n)]
+    assert int(found.stdout) == len(others)

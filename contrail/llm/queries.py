@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contrail.llm import decontaminate, embedding_dedup, language_id, license_scan, mixing, pii, quality_crf, simhash_dedup, token_counts, warc
+from contrail.llm import (
+    decontaminate,
+    embedding_dedup,
+    filter_audit,
+    language_id,
+    license_scan,
+    mixing,
+    pii,
+    quality_crf,
+    simhash_dedup,
+    token_counts,
+    warc,
+)
 from contrail.llm.shared import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +86,10 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.vector_links(read_table(spark, sf_dir, "embeddings"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(spark, f"{sf_dir}/documents.parquet", read_table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_language_id": op2_language_id,
@@ -85,6 +101,7 @@ QUERIES: dict[str, Query] = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_personal_data": op9_personal_data,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op13_filter_audit": op13_filter_audit,
 }
 # The SQL that expresses a query whole; the others are compared with brute force in the tests.
 ORACLES: dict[str, str] = {
@@ -119,4 +136,48 @@ ORACLES: dict[str, str] = {
         counted AS (SELECT u, count(*) AS n_links FROM links GROUP BY u)
         SELECT e.vec_id, coalesce(n_links, 0) AS n_links, component_id, e.vec_id = component_id AS kept
         FROM embeddings e JOIN least ON least.u = e.vec_id LEFT JOIN counted ON counted.u = e.vec_id""",
+    "op13_filter_audit": r"""
+        WITH flags AS (
+            SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic
+            FROM labels GROUP BY doc_id
+        ), texts AS (
+            SELECT d.doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+                   coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+            FROM documents d LEFT JOIN flags USING (doc_id)
+        ), counted AS (
+            SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS least FROM texts
+        ), judged AS (
+            SELECT part, good, toxic, [
+                len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words),
+                100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t),
+                regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > least, false)] AS fails
+            FROM counted
+        ), failing AS (
+            SELECT part, good, toxic, list_filter(['A', 'B', 'C', 'D', 'E'], lambda f, i: fails[i]) AS failed, count(*) AS n
+            FROM judged GROUP BY ALL
+        ), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+        orders AS (
+            SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+            WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+        ), steps AS (
+            SELECT filter_order, cast(s AS integer) AS step, substr(filter_order, s, 1) AS own,
+                   string_split(substr(filter_order, 1, s - 1), '') AS earlier
+            FROM orders, range(1, 6) r(s)
+        ), applied AS (
+            SELECT part, filter_order, step, own, n, good, toxic, failed, list_contains(failed, own) AS fails,
+                   list_has_any(failed, earlier) AS gone
+            FROM failing, steps
+        ), totals AS (
+            SELECT part, filter_order, step, own,
+                   cast(coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0) AS bigint) AS kept,
+                   cast(coalesce(sum(n) FILTER (fails AND NOT gone), 0) AS bigint) AS removed,
+                   cast(coalesce(sum(n) FILTER (fails AND gone), 0) AS bigint) AS redundant,
+                   cast(coalesce(sum(n) FILTER (fails AND len(failed) = 1), 0) AS bigint) AS unique_fails,
+                   cast(coalesce(sum(n) FILTER (fails AND NOT gone AND good), 0) AS bigint) AS good_lost,
+                   cast(coalesce(sum(n) FILTER (fails AND NOT gone AND toxic), 0) AS bigint) AS toxic_lost
+            FROM applied GROUP BY ALL
+        )
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               cast(sum(removed) OVER (PARTITION BY part, own) AS bigint) AS shapley
+        FROM totals""",
 }

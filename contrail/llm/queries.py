@@ -12,6 +12,7 @@ from contrail.llm import (
     decontaminate,
     embedding_dedup,
     filter_audit,
+    hard_negatives,
     language_id,
     license_scan,
     mixing,
@@ -86,6 +87,13 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.vector_links(read_table(spark, sf_dir, "embeddings"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors: vec_id divisible by 100. Every seventh label is shifted by one class before anything is scored."""
+    vectors = read_table(spark, sf_dir, "embeddings")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors.withColumn("label", shifted), F.col("vec_id") % 100 == 0)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(spark, f"{sf_dir}/documents.parquet", read_table(spark, sf_dir, "labels"))
 
@@ -101,6 +109,7 @@ QUERIES: dict[str, Query] = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_personal_data": op9_personal_data,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_filter_audit": op13_filter_audit,
 }
 # The SQL that expresses a query whole; the others are compared with brute force in the tests.
@@ -136,6 +145,27 @@ ORACLES: dict[str, str] = {
         counted AS (SELECT u, count(*) AS n_links FROM links GROUP BY u)
         SELECT e.vec_id, coalesce(n_links, 0) AS n_links, component_id, e.vec_id = component_id AS kept
         FROM embeddings e JOIN least ON least.u = e.vec_id LEFT JOIN counted ON counted.u = e.vec_id""",
+    "op12_hard_negatives": """
+        WITH sound AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * cast(x AS double))) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT DISTINCT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+                   cast(list_dot_product(a.v, b.v) AS bigint) AS score
+            FROM sound a JOIN sound b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+        ), positives AS (
+            SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+        )
+        SELECT anchor_id, positive_id, cast(row_number() OVER best AS integer) AS rank, other_id AS negative_id,
+               positive_score, score AS negative_score
+        FROM positives JOIN scored USING (anchor_id)
+        WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+        WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)
+        QUALIFY row_number() OVER best <= 10""",
     "op13_filter_audit": r"""
         WITH flags AS (
             SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic

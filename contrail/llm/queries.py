@@ -20,6 +20,7 @@ from contrail.llm import (
     quality_crf,
     simhash_dedup,
     token_counts,
+    toxicity,
     warc,
 )
 from contrail.llm.shared import read_table
@@ -87,6 +88,10 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.vector_links(read_table(spark, sf_dir, "embeddings"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchors: vec_id divisible by 100. Every seventh label is shifted by one class before anything is scored."""
     vectors = read_table(spark, sf_dir, "embeddings")
@@ -109,6 +114,7 @@ QUERIES: dict[str, Query] = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_personal_data": op9_personal_data,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_toxicity": op11_toxicity,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_filter_audit": op13_filter_audit,
 }

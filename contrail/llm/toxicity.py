@@ -1,9 +1,9 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-The space has the terms whose presence tells the labels apart. They are chosen among the terms of a bounded sample of labelled
-texts one after another: each has the greatest likelihood ratio between examples of its label that no chosen term covers yet
-and all examples of the other label. (Over all terms, invented and rare words outweigh the telling ones in every cosine.)
-Their document frequencies are counted over the whole table.
+Terms are words and the beginnings of words. The space has the terms whose presence tells the labels apart, chosen from a
+bounded sample of labelled texts one after another: each has the greatest likelihood ratio between the examples of its label
+and those of the other, where an example counts half as much with each chosen term it holds. (Over all terms, rare words
+outweigh the telling ones in every cosine.) Their document frequencies are counted over the whole table.
 
 The index holds the examples' unit vectors term by term. Examples are numbered, and for each term and block of BLOCK numbers
 the greatest weight is kept. A text's bound for a block is the product of its weights with these; blocks are read in falling
@@ -45,10 +45,11 @@ SHOWN = 5
 TOXIC = 0.5
 PIECE = 1 << 20
 CACHED = 1 << 16
+BEGINNINGS = (4, 5, 6, 7)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def terms_of(text: str) -> Counter[str]:
+def words_of(text: str) -> Counter[str]:
     """Lower-case words of letters with their counts; long texts go in pieces."""
     found: Counter[str] = Counter()
     begin = 0
@@ -61,6 +62,22 @@ def terms_of(text: str) -> Counter[str]:
     return found
 
 
+def terms_of(word: str) -> list[str]:
+    """The word itself, and its beginnings marked with a star."""
+    return [word, *[word[:n] + "*" for n in BEGINNINGS if n < len(word)]]
+
+
+def term_counts(text: str, wanted: dict[str, int] | None = None) -> dict:
+    """Count of each term, or of each number that `wanted` gives to a term."""
+    found: Counter = Counter()
+    for word, n in words_of(text).items():
+        for term in terms_of(word):
+            name = term if wanted is None else wanted.get(term)
+            if name is not None:
+                found[name] += n
+    return found
+
+
 def held_out(key: Column) -> Column:
     """Rows that never train: crc32 of the key as text is divisible by 5."""
     return F.coalesce(F.crc32(key.cast("string")) % 5 == 0, F.lit(False))
@@ -81,7 +98,7 @@ def examples_of(df: DataFrame, labels: DataFrame, key: str, text: str, label: st
     arrow_rows(df.sparkSession, TEXT_ROWS)
     counted = map_texts(
         one, ["own_key", "label"], "own_text", [T.StructField("terms", T.MapType(T.StringType(), T.IntegerType()))],
-        lambda texts: [pa.array([list(terms_of(t or "").items()) for t in texts], pa.map_(pa.string(), pa.int32()))],
+        lambda texts: [pa.array([list(term_counts(t or "").items()) for t in texts], pa.map_(pa.string(), pa.int32()))],
     )
     return written(counted, "examples"), sizes
 
@@ -105,20 +122,22 @@ def _array_xlogx(x: np.ndarray | float) -> np.ndarray:
 
 def covering_terms(held: np.ndarray, labels: np.ndarray) -> list[int]:
     """Chosen columns of the examples x terms table `held`, for both labels."""
-    chosen: list[int] = []
+    chosen: set[int] = set()
     for y in (1, 0):
-        other = held[labels != y].sum(axis=0)
-        left, n_other = held[labels == y], int((labels != y).sum())
-        while len(left):
-            inside = left.sum(axis=0)
-            ratio = likelihood_ratio(inside, other, len(left), n_other, _array_xlogx)
-            ratio[(inside * n_other <= other * len(left)) | (inside < LEAST_EXAMPLES)] = 0
+        other, n_other = held[labels != y].sum(axis=0), int((labels != y).sum())
+        own, weight = held[labels == y].astype(np.float64), np.ones(int((labels == y).sum()))
+        enough = own.sum(axis=0) >= LEAST_EXAMPLES
+        while len(own):
+            inside, total = weight @ own, weight.sum()
+            ratio = likelihood_ratio(inside, other, total, n_other, _array_xlogx)
+            ratio[(inside * n_other <= other * total) | ~enough] = 0
             best = int(ratio.argmax())
             if ratio[best] < LEAST_RATIO:
                 break
-            chosen.append(best)
-            left = left[~left[:, best]]
-    return sorted(set(chosen))
+            chosen.add(best)
+            enough[best] = False
+            weight[own[:, best] > 0] /= 2
+    return sorted(chosen)
 
 
 def telling_terms(examples: DataFrame) -> list[str]:
@@ -154,23 +173,23 @@ class Index:
     def __init__(self, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_rows: int, n_terms: int) -> None:
         order = np.lexsort((rows, terms))
         self.rows, self.weights = rows[order], weights[order]
-        self.n_rows, self.blocks = n_rows, max(1, -(-n_rows // BLOCK))
+        self.block = BLOCK
         self.starts = np.searchsorted(terms[order], np.arange(n_terms + 1))
-        self.greatest = np.zeros((n_terms, self.blocks))
+        self.greatest = np.zeros((n_terms, max(1, -(-n_rows // BLOCK))))
         np.maximum.at(self.greatest, (terms[order], self.rows // BLOCK), self.weights)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(example numbers, cosines) of the k nearest examples that share a term, nearest first, then by number."""
+        """(example numbers, cosines) of the k nearest examples that share a term, nearest first; any of those tied for the last place."""
         bound = weights @ self.greatest[terms]
         found, cosines, last = np.empty(0, dtype=np.int64), np.empty(0), 0.0
         for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or bound[block] < last - 1e-12:
+            if bound[block] <= last + 1e-12:
                 break
-            first = block * BLOCK
-            score = np.zeros(BLOCK)
+            first = block * self.block
+            score = np.zeros(self.block)
             for t, w in zip(terms, weights, strict=True):
                 own = self.rows[self.starts[t] : self.starts[t + 1]]
-                a, b = np.searchsorted(own, [first, first + BLOCK])
+                a, b = np.searchsorted(own, [first, first + self.block])
                 score[own[a:b] - first] += w * self.weights[self.starts[t] + a : self.starts[t] + b]
             hit = np.flatnonzero(score > 0)
             hit = hit[hit + first != skip]
@@ -236,7 +255,7 @@ def term_vectors(df: DataFrame, keep: list[str], terms: tuple[str, ...], text: s
     def compute(texts: list[str | None]) -> list[pa.Array]:
         held, counts = [], []
         for t in texts:
-            own = sorted((numbers[w], n) for w, n in terms_of(t or "").items() if w in numbers)
+            own = sorted(term_counts(t or "", numbers).items())
             held.append([i for i, _ in own])
             counts.append([n for _, n in own])
         return [pa.array(held, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))]
@@ -255,16 +274,19 @@ def fitted(examples: DataFrame, sizes: dict[int, int], terms: list[str], vectors
     wanted = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
     kept = F.map_filter("terms", lambda term, _: F.array_contains(wanted, term))
     got = examples.select("own_key", "label", kept.alias("terms")).orderBy(F.xxhash64("own_key"), "own_key").toArrow()
-    labels = got.column("label").to_numpy().astype(np.int64)
+    labels, keys = got.column("label").to_numpy().astype(np.int64), got.column("own_key").to_numpy()
     numbers = {t: i for i, t in enumerate(terms)}
     of_row = [sorted((numbers[t], n) for t, n in own) for own in got.column("terms").to_pylist()]
+    # Like examples get neighbouring numbers, which makes the blocks' bounds tight.
+    order = sorted(range(len(of_row)), key=lambda i: sorted((-n * idf[t], t) for t, n in of_row[i]))
+    labels, keys, of_row = labels[order], keys[order], [of_row[i] for i in order]
     sampled = np.bincount(labels, minlength=2)
     weight = tuple(float(sizes.get(y, 0) / max(1, sampled[y])) for y in (0, 1))
     total = sum(w * n for w, n in zip(weight, sampled, strict=True))
     prior = weight[1] * sampled[1] / total if total else 0.5
     bare = Model(
         tuple(terms), idf, Index(*[np.empty(0, dtype=int)] * 2, np.empty(0), len(labels), len(terms)),
-        got.column("own_key").to_numpy(), labels, weight, min(max(prior, 1e-6), 1 - 1e-6), 1.0, 0.0,
+        keys, labels, weight, min(max(prior, 1e-6), 1 - 1e-6), 1.0, 0.0,
     )
     if not terms:
         return bare

@@ -65,28 +65,31 @@ def prior_rate(
 ) -> DataFrame:
     """Delay rate, mean delay and count over earlier rows, per dimension (name to key column).
 
-    Rows without history get rate 0.5, mean 0 and count 0.
+    Rows without history get rate 0.5, mean 0 and count 0. All dimensions go through one pass over narrow rows
+    (dimension, key, time, tie), folded back by the row's time and tie.
     """
-    for name, key in dimensions.items():
-        df = prefix_aggregates(
-            df,
-            [key],
-            [F.col(ts), F.col(tie)],
-            {
-                "_hits": ("sum", F.col(target)),
-                "_delay": ("sum", F.col(delay)),
-                f"{name}_count": ("count", F.lit(1)),
-            },
-            bins if bins is not None else [hour_bin(ts)],
-        )
-        n = F.col(f"{name}_count")
-        df = df.withColumns(
-            {
-                f"{name}_rate": F.when(n > 0, F.col("_hits") / n).otherwise(F.lit(0.5)),
-                f"{name}_mean_delay": F.when(n > 0, F.col("_delay") / n).otherwise(F.lit(0.0)),
-            }
-        ).drop("_hits", "_delay")
-    return df
+    own = F.explode(F.array(*[F.struct(F.lit(d).alias("_d"), F.col(k).cast("string").alias("_key")) for d, k in dimensions.items()]))
+    narrow = df.select(F.col(ts).alias("_at"), F.col(tie).alias("_tie"), F.col(target).alias("_y"), F.col(delay).alias("_m"), own.alias("_own"))
+    narrow = narrow.select("_at", "_tie", "_y", "_m", "_own._d", "_own._key")
+    at = F.col("_at")
+    counted = prefix_aggregates(
+        narrow,
+        ["_d", "_key"],
+        [at, F.col("_tie")],
+        {"_hits": ("sum", F.col("_y")), "_delay": ("sum", F.col("_m")), "_n": ("count", F.lit(1))},
+        bins if bins is not None else [day_bin(at)],
+    )
+    n, found = F.col("_n"), []
+    for name in dimensions:
+        mine = F.col("_d") == name
+        found += [
+            F.max(F.when(mine, n)).alias(f"{name}_count"),
+            F.max(F.when(mine, F.when(n > 0, F.col("_hits") / n).otherwise(F.lit(0.5)))).alias(f"{name}_rate"),
+            F.max(F.when(mine, F.when(n > 0, F.col("_delay") / n).otherwise(F.lit(0.0)))).alias(f"{name}_mean_delay"),
+        ]
+    folded = counted.groupBy("_at", "_tie").agg(*found)
+    same = F.col(ts).eqNullSafe(F.col("_at")) & F.col(tie).eqNullSafe(F.col("_tie"))
+    return df.join(folded, same, "left").drop("_at", "_tie")
 
 
 def prior_rate_strict(

@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from collections.abc import Sequence
 from typing import Any
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contrail.functions.columns import band_case, round_half_even, safe_divide
 from contrail.operators.ranks import nearest_rank, order_statistics
+from contrail.operators.running import row_positions
 
-MAX_FEATURES = 5000
-# Training constants and the overbooking cap.
-LINEAR_EPOCHS, LINEAR_RATE = 700, 0.0000008
+# The overbooking cap, bounds of probabilities and the delay bands.
 OVERBOOKING_CAP = 1.08
 PROBABILITY_FLOOR, PROBABILITY_CEILING = 0.000001, 0.999999
 DELAY_BANDS = ((0.0, 0.3, "low"), (0.3, 0.6, "medium"), (0.6, 1.0, "high"))
@@ -70,135 +67,18 @@ def estimate_delay_minutes(
     return out.withColumn("estimated_delay_minutes", F.round(estimate + 1e-10, 4)).drop("_route_delay")
 
 
-# ---------------------------------------------------------------- linear model
-
-
-@dataclass(frozen=True)
-class LinearModel:
-    """Coefficients by feature name; categorical levels are named ``feature=level``."""
-
-    numeric: tuple[str, ...]
-    categorical: tuple[str, ...]
-    coefficients: Mapping[str, float]
-    intercept: float
-
-
-def one_hot_levels(train: DataFrame, categorical: Sequence[str]) -> dict[str, list[str]]:
-    """Sorted levels of each categorical feature seen in training; more than ``MAX_FEATURES`` is an error."""
-    levels: dict[str, list[str]] = {}
-    for name in sorted(categorical):
-        found = train.select(name).filter(F.col(name).isNotNull()).distinct().limit(MAX_FEATURES + 1).collect()
-        if len(found) > MAX_FEATURES:
-            raise ValueError(f"{name} has more than {MAX_FEATURES} levels")
-        levels[name] = sorted(row[0] for row in found)
-    return levels
-
-
-def one_hot_schema(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> list[str]:
-    """Feature order: sorted numeric names, then ``name=level`` of the training rows."""
-    levels = one_hot_levels(train, categorical)
-    return sorted(numeric) + [f"{name}={level}" for name, values in levels.items() for level in values]
+# ---------------------------------------------------------------- feature order
 
 
 def one_hot_table(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
-    """The same order as a table (position, feature_name), whatever the number of levels; nothing reaches the driver."""
+    """Sorted numeric names, then ``name=level`` of the training rows, as a table (position, feature_name)."""
     names = train.sparkSession.createDataFrame([(0, n, "") for n in sorted(numeric)], "kind int, feature string, level string")
     for name in categorical:
         level = F.col(name).cast("string").alias("level")
         names = names.unionAll(train.where(F.col(name).isNotNull()).select(F.lit(1), F.lit(name), level).distinct())
-    order = Window.orderBy("kind", "feature", "level")  # as many rows as features
+    placed = row_positions(names, ["kind", "feature", "level"], "position")
     named = F.when(F.col("kind") == 0, F.col("feature")).otherwise(F.concat_ws("=", "feature", "level"))
-    return names.select((F.row_number().over(order) - 1).alias("position"), named.alias("feature_name"))
-
-
-def gram_matrix(
-    train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], target: str
-) -> tuple[list[str], np.ndarray, np.ndarray, float, int]:
-    """Feature names, X'X with a leading intercept, X'y, sum of y and row count.
-
-    All entries are grouped sums: numeric products in one aggregate row, one row per category level, and one row per
-    pair of levels. Only these sums (at most ``MAX_FEATURES`` squared numbers) reach the driver.
-    """
-    numeric, categorical = sorted(numeric), sorted(categorical)
-    levels = one_hot_levels(train, categorical)
-    names = [*numeric, *[f"{c}={v}" for c in categorical for v in levels[c]]]
-    if len(names) > MAX_FEATURES:
-        raise ValueError(f"{len(names)} features exceed {MAX_FEATURES}")
-    at = {name: i + 1 for i, name in enumerate(names)}
-    gram = np.zeros((len(names) + 1, len(names) + 1))
-    cross = np.zeros(len(names) + 1)
-    sums = [f"sum(cast({x} AS double)) AS s_{i}" for i, x in enumerate(numeric)]
-    with_y = [f"sum(cast({x} AS double) * {target}) AS y_{i}" for i, x in enumerate(numeric)]
-    products = [
-        f"sum(cast({x} AS double) * cast({numeric[j]} AS double)) AS p_{i}_{j}"
-        for i, x in enumerate(numeric)
-        for j in range(i, len(numeric))
-    ]
-    total = ["count(1) AS n", f"sum(cast({target} AS double)) AS y"]
-    row = train.selectExpr(*total, *sums, *with_y, *products).first()
-    assert row is not None
-    n, y_sum = int(row["n"]), float(row["y"] or 0.0)
-    gram[0, 0], cross[0] = n, y_sum
-    for i in range(len(numeric)):
-        gram[0, i + 1] = gram[i + 1, 0] = row[f"s_{i}"]
-        cross[i + 1] = row[f"y_{i}"]
-        for j in range(i, len(numeric)):
-            gram[i + 1, j + 1] = gram[j + 1, i + 1] = row[f"p_{i}_{j}"]
-    for c in categorical:
-        per_level = train.groupBy(c).agg(*[F.expr(e) for e in (*total, *sums)])
-        for r in per_level.collect():
-            if r[c] is None:
-                continue
-            k = at[f"{c}={r[c]}"]
-            gram[k, k] = gram[0, k] = gram[k, 0] = r["n"]
-            cross[k] = r["y"]
-            for i in range(len(numeric)):
-                gram[k, i + 1] = gram[i + 1, k] = r[f"s_{i}"]
-    for a, first in enumerate(categorical):
-        for second in categorical[a + 1 :]:
-            for r in train.groupBy(first, second).agg(F.count(F.lit(1)).alias("n")).collect():
-                if r[first] is None or r[second] is None:
-                    continue
-                i, j = at[f"{first}={r[first]}"], at[f"{second}={r[second]}"]
-                gram[i, j] = gram[j, i] = r["n"]
-    return names, gram, cross, y_sum, n
-
-
-def fit_linear(
-    train: DataFrame,
-    numeric: Sequence[str],
-    categorical: Sequence[str],
-    target: str = "target",
-    epochs: int = LINEAR_EPOCHS,
-    rate: float = LINEAR_RATE,
-) -> LinearModel:
-    """Batch gradient descent on squared error from the Gram matrix: one pass over the data for all epochs."""
-    names, gram, cross, y_sum, n = gram_matrix(train, numeric, categorical, target)
-    scale = np.maximum(1.0, np.sqrt(np.diag(gram) / n))
-    scale[0] = 1.0
-    scaled = gram / np.outer(scale, scale)
-    pull = cross / scale
-    weights = np.zeros(len(names) + 1)
-    weights[0] = y_sum / n
-    for _ in range(epochs):
-        weights -= rate * (scaled @ weights - pull) / n
-    final = np.round(weights / scale, 10)
-    return LinearModel(
-        tuple(sorted(numeric)), tuple(sorted(categorical)), dict(zip(names, final[1:].tolist(), strict=True)), float(final[0])
-    )
-
-
-def predict_linear(rows: DataFrame, model: LinearModel, name: str = "raw_prediction") -> DataFrame:
-    """Apply a linear model; levels not seen in training add nothing. Level tables are bounded by ``MAX_FEATURES``."""
-    terms = [f"{model.intercept!r}D", *[f"cast({x} AS double) * {model.coefficients[x]!r}D" for x in model.numeric]]
-    out = rows
-    for i, feature in enumerate(model.categorical):
-        prefix = f"{feature}="
-        pairs = [(k[len(prefix) :], v) for k, v in model.coefficients.items() if k.startswith(prefix)]
-        table = rows.sparkSession.createDataFrame(pairs, f"_level_{i} string, _coef_{i} double")
-        out = out.join(F.broadcast(table), F.col(feature) == F.col(f"_level_{i}"), "left").drop(f"_level_{i}")
-        terms.append(f"coalesce(_coef_{i}, 0.0D)")
-    return out.withColumn(name, F.expr(" + ".join(terms))).drop(*[f"_coef_{i}" for i in range(len(model.categorical))])
+    return placed.select(F.col("position").cast("int").alias("position"), named.alias("feature_name"))
 
 
 # ---------------------------------------------------------------- logistic model

@@ -1,17 +1,20 @@
 """Exact positions in a global order: quantiles by histogram refinement, and chronological splits.
 
 Neither sorts the table. Quantiles narrow a bracket around the wanted position with fixed-size histograms;
-splits count rows per time chunk and order only the rows of the chunks that hold a boundary.
+splits count rows per time chunk, find the boundary rows in their chunks and compare all other rows with them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from contrail.operators.running import BEFORE_ALL, prefix_aggregates
+from contrail.operators.running import BEFORE_ALL, prefix_aggregates, row_positions
+from contrail.session import materialize
 
 HISTOGRAM_BINS = 4096
 BRACKET = 0.001
@@ -147,6 +150,33 @@ def split_counts_guarded(
     return sizes
 
 
+def rows_at(df: DataFrame, order: Sequence[Column], bins: Sequence[Column], places: Sequence[int]) -> list[Column]:
+    """The order of the rows at the given places (from one) in a total order, as struct literals.
+
+    Chunk counts find the chunk of each place; only the narrow rows of those chunks are numbered, in pieces of bounded size.
+    """
+    names = [f"_s{i}" for i in range(len(bins))]
+    keys = [f"_o{i}" for i in range(len(order))]
+    narrow = df.select(*[F.coalesce(b.cast("bigint"), F.lit(BEFORE_ALL)).alias(n) for b, n in zip(bins, names, strict=True)],
+                       *[o.alias(k) for o, k in zip(order, keys, strict=True)])
+    counted = materialize(narrow.groupBy(*names).agg(F.count(F.lit(1)).alias("_c")), "chunks")
+    coarse = [F.col(n) for n in names[:-1]]
+    running = prefix_aggregates(counted, [], [F.col(n) for n in names], {"_start": ("sum", F.col("_c"))}, coarse)
+    found: dict[int, Row] = {}
+    for place in set(places):
+        chunk = running.where((F.col("_start") < place) & (F.col("_start") + F.col("_c") >= place)).first()
+        if chunk is None:
+            continue
+        own = narrow.where(reduce(and_, [F.col(n) == chunk[n] for n in names]))
+        placed = row_positions(own.select(*keys), keys, "_place")
+        found[place] = placed.where(F.col("_place") == place - chunk["_start"] - 1).drop("_place").first()
+    types = {f.name: f.dataType for f in narrow.schema.fields}
+    return [
+        F.lit(None) if found.get(place) is None else F.struct(*[F.lit(found[place][k]).cast(types[k]).alias(k) for k in keys])
+        for place in places
+    ]
+
+
 def chronological_split(
     df: DataFrame,
     order: Sequence[Column],
@@ -156,65 +186,14 @@ def chronological_split(
 ) -> DataFrame:
     """Label rows train, validation or test by their position in a total order.
 
-    ``bins`` are whole-number, order-preserving functions of the order, coarse to fine. Chunk counts find the chunks that hold
-    the two boundaries; only those chunks are sorted, all other rows are labelled by comparing their chunk.
+    ``bins`` are whole-number, order-preserving functions of the order, coarse to fine. The rows at the two boundaries are found
+    first; every row is then labelled by comparing its order with theirs, without a sort or a shuffle of the table.
     """
-    bin_names = [f"_s{i}" for i in range(len(bins))]
-    prepared = df.withColumns(
-        {n: F.coalesce(b.cast("bigint"), F.lit(BEFORE_ALL)) for n, b in zip(bin_names, bins, strict=True)}
-    )
-    counted = prepared.groupBy(*bin_names).agg(F.count(F.lit(1)).alias("_c"))
-    running = prefix_aggregates(
-        counted,
-        [],
-        [F.col(b) for b in bin_names],
-        {"_start": ("sum", F.col("_c"))},
-        [F.col(b) for b in bin_names[:-1]],
-    )
-    total = counted.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("n"))
-    chunk = F.struct(*bin_names)
-    n = F.col("_n")
-    first, second = sizes(n)
-    located = (
-        running.withColumn("_n", total.scalar())
-        .withColumns({"_r1": first, "_r2": second, "_chunk": chunk})
-        .withColumns(
-            {
-                "_in1": (F.col("_start") < F.col("_r1")) & (F.col("_start") + F.col("_c") >= F.col("_r1")),
-                "_in2": (F.col("_start") < F.col("_r2")) & (F.col("_start") + F.col("_c") >= F.col("_r2")),
-            }
-        )
-    )
-    bounds = located.agg(
-        F.struct(
-            F.max(F.when(F.col("_in1"), F.col("_chunk"))).alias("b1"),
-            F.max(F.when(F.col("_in2"), F.col("_chunk"))).alias("b2"),
-            F.max(F.when(F.col("_in1"), F.col("_start"))).alias("o1"),
-            F.max(F.when(F.col("_in2"), F.col("_start"))).alias("o2"),
-            F.max("_r1").alias("r1"),
-            F.max("_r2").alias("r2"),
-        ).alias("bounds")
-    )
-    marked = prepared.withColumn("_w", bounds.scalar())
-    b1, b2 = F.col("_w.b1"), F.col("_w.b2")
-    on_edge = (chunk == b1) | (chunk == b2)
-    clear = marked.filter(~on_edge).withColumn(
-        name, F.when(chunk < b1, "train").when(chunk < b2, "validation").otherwise("test")
-    )
-    position = F.row_number().over(Window.partitionBy(*bin_names).orderBy(*order))
-    offset = F.when(chunk == b1, F.col("_w.o1")).otherwise(F.col("_w.o2"))
-    edge = (
-        marked.filter(on_edge)
-        .withColumn("_pos", position + offset)
-        .withColumn(
-            name,
-            F.when(F.col("_pos") <= F.col("_w.r1"), "train")
-            .when(F.col("_pos") <= F.col("_w.r2"), "validation")
-            .otherwise("test"),
-        )
-        .drop("_pos")
-    )
-    return clear.unionByName(edge).drop("_w", *bin_names)
+    first, second = sizes(F.col("n"))
+    ends = df.agg(F.count(F.lit(1)).alias("n")).select(first.alias("train"), second.alias("until")).first()
+    last_train, last_validation = rows_at(df, order, bins, [int(ends["train"]), int(ends["until"])])
+    own = F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)])
+    return df.withColumn(name, F.when(own <= last_train, "train").when(own <= last_validation, "validation").otherwise("test"))
 
 
 def split_boundaries(df: DataFrame, when: str, part: str = "partition") -> DataFrame:

@@ -3,7 +3,9 @@
 A plain window partitioned by a key sorts every row of that key in one task, so one busy key stalls the job.
 Here rows are cut into chunks by order-preserving bins (for example day, then hour). Chunks are pre-aggregated
 before the shuffle, the small chunk table is scanned in order, and each row adds what happened earlier in its
-own chunk. The largest sort is one chunk, and results equal those of the plain window.
+own chunk. Chunks of more than CHUNK_ROWS rows (one day may hold most of a table) are cut further at positions of the
+order itself, found by range partitioning and refined until each piece is small. The largest sort is one piece, and
+results equal those of the plain window.
 """
 
 from __future__ import annotations
@@ -13,7 +15,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from contrail.session import materialize
+
 BEFORE_ALL = -(2**62)
+CHUNK_ROWS = 1_000_000
 KINDS = ("sum", "count", "max", "min", "last")
 
 
@@ -79,6 +84,49 @@ def _key_columns(keys: Sequence[Column | str]) -> dict[str, Column]:
     return {f"_k{i}": F.coalesce(c.cast("string"), F.lit("")) for i, c in enumerate(columns)}
 
 
+def _ranged(df: DataFrame, order: Sequence[Column], rows: int, name: str) -> DataFrame:
+    """The stored rows with a piece number that follows the order and pieces of at most CHUNK_ROWS rows.
+
+    Bounds come from a sample and aim at half of that; should a piece turn out larger, all are cut again at half their size.
+    Only rows that tie in the whole order can stay together beyond it.
+    """
+    pieces, before = -(-2 * rows // CHUNK_ROWS), rows + 1
+    while True:
+        piece = F.spark_partition_id().cast("bigint")
+        stored = materialize(df.repartitionByRange(pieces, *order).withColumn(name, piece), "ranged")
+        largest = stored.groupBy(name).count().agg(F.max("count")).first()[0] or 0
+        if largest <= CHUNK_ROWS or largest >= before:
+            return stored
+        pieces, before = 2 * pieces, largest
+
+
+def row_positions(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
+    """Add each row's place in a total order, from zero; no task sorts more than CHUNK_ROWS rows."""
+    by = [F.col(c) if isinstance(c, str) else c for c in order]
+    rows = df.count()
+    if rows <= CHUNK_ROWS:
+        return df.withColumn(name, (F.row_number().over(Window.orderBy(*by)) - 1).cast("bigint"))
+    pieces = _ranged(df, by, rows, "_piece")
+    counted = pieces.groupBy("_piece").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as pieces
+    offsets = counted.select("_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    own = F.row_number().over(Window.partitionBy("_piece").orderBy(*by)) - 1
+    return pieces.join(F.broadcast(offsets), "_piece").withColumn(name, (own + F.col("_offset")).cast("bigint")).drop("_piece", "_offset")
+
+
+def _cut_crowded(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bins: Sequence[str], name: str) -> tuple[DataFrame, list[str]]:
+    """Rows with chunk columns fine enough that no chunk has more than CHUNK_ROWS rows: `bins`, and `name` where that is not so."""
+    by = [*keys, *bins]
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CHUNK_ROWS)
+    total = sizes.agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("chunks")).first()
+    if total is None or not total["n"]:
+        return df, list(bins)
+    crowded = F.broadcast(materialize(sizes.drop("_n"), "crowded"))  # at most rows / CHUNK_ROWS rows
+    cut = _ranged(df.join(crowded, by, "left_semi"), [*[F.col(c) for c in by], *order], total["n"], name)
+    rest = df.join(crowded, by, "left_anti").withColumn(name, F.lit(0).cast("bigint"))
+    return rest.unionByName(cut), [*bins, name]
+
+
 def prefix_aggregates(
     df: DataFrame,
     keys: Sequence[Column | str],
@@ -102,6 +150,7 @@ def prefix_aggregates(
         }
     )
     kinds = {name: kind for name, (kind, _) in measures.items()}
+    prepared, bin_names = _cut_crowded(prepared, list(added), list(order), bin_names, "_piece")
     result = _scan(prepared, list(added), list(order), bin_names, kinds, value_names)
     return result.drop(*added, *bin_names, *value_names.values())
 
@@ -168,6 +217,7 @@ def with_lookback(
     added = _key_columns(keys)
     key_names, bin_names = list(added), _names("_b", len(bins))
     prepared = df.withColumns({**added, **_bin_columns(bin_names, bins)})
+    prepared, bin_names = _cut_crowded(prepared, key_names, [F.col(c) for c in order], bin_names, "_piece")
     chunk = [*key_names, *bin_names]
     carried = list(dict.fromkeys([*order, *columns]))
     newest_first = Window.partitionBy(*chunk).orderBy(*[F.col(c).desc() for c in order])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from contrail.functions import columns as X
 from contrail.functions.columns import round6
+from contrail.operators import least_squares as LS
 from contrail.operators import metrics as M
 from contrail.operators import model_features as MF
 from contrail.operators import models as ML
@@ -189,9 +190,9 @@ def mean_forecast(t: Tables) -> DataFrame:
 
 def linear_forecast(t: Tables) -> DataFrame:
     train = train_part(t).na.fill(0.0, ["historical_route_mean", "historical_route_load_factor"])
-    model = ML.fit_linear(train, MF.DEMAND_NUMERIC, MF.DEMAND_CATEGORICAL)
+    model = LS.fit_linear(train, MF.DEMAND_NUMERIC, MF.DEMAND_CATEGORICAL)
     rows = split_demand(t).na.fill(0.0, ["historical_route_mean", "historical_route_load_factor"])
-    return ML.capacity_clamp(ML.predict_linear(rows, model))
+    return ML.capacity_clamp(LS.predict_linear(rows, model))
 
 
 @query("route_mean", "SELECT route_id, round(1e-10 + route_mean, 6) AS route_mean FROM route_means")

@@ -15,6 +15,7 @@ from contrail.functions import columns as X
 from contrail.operators import disruption as D
 from contrail.operators import evidence as E
 from contrail.operators import history as H
+from contrail.operators import least_squares as LS
 from contrail.operators import metrics as M
 from contrail.operators import models as ML
 from contrail.operators import monitoring as MON
@@ -202,6 +203,46 @@ def test_nearest_rank_on_four_values(spark):
     assert rows(ML.residual_quantiles(df, F.col("x"), (0.8,))) == [{"level": "80", "width": 4.0}]
 
 
+@pytest.mark.parametrize("limit", [20, 1_000_000])
+def test_one_day_of_one_key_may_hold_most_rows(spark, monkeypatch, limit):
+    """90 % of the rows on one day of one key: every operator over days equals the plain window, in pieces of at most `limit` rows."""
+    monkeypatch.setattr(RN, "CHUNK_ROWS", limit)
+    rng = random.Random(9)
+    data = [("busy", 5, f"id{i:04d}", rng.randint(0, 9)) for i in range(360)]
+    data += [(rng.choice(["busy", "calm"]), rng.randint(0, 9), f"id{i:04d}", rng.randint(0, 9)) for i in range(360, 400)]
+    rng.shuffle(data)
+    df = spark.createDataFrame(data, "key string, day int, id string, v int")
+    order = [F.col("day"), F.col("id")]
+    plain = Window.partitionBy("key").orderBy("day", "id").rowsBetween(Window.unboundedPreceding, -1)
+    measures = {"s": ("sum", F.col("v")), "n": ("count", F.lit(1)), "l": ("last", F.col("v")), "m": ("max", F.col("v"))}
+    got = RN.prefix_aggregates(df, ["key"], order, measures, [F.col("day")])
+    want = df.select("id", F.coalesce(F.sum("v").over(plain), F.lit(0)), F.count("v").over(plain), F.last("v").over(plain), F.max("v").over(plain))
+    assert sorted(map(tuple, got.select("id", "s", "n", "l", "m").collect())) == sorted(map(tuple, want.collect()))
+    back, chunk = RN.with_lookback(df, ["key"], ["day", "id"], ["v"], 3, [F.col("day")])
+    mine = RN.drop_ghosts(back.withColumn("r", F.sum("v").over(Window.partitionBy(*chunk).orderBy("day", "id").rowsBetween(-3, -1))), chunk)
+    short = Window.partitionBy("key").orderBy("day", "id").rowsBetween(-3, -1)
+    assert sorted(map(tuple, mine.select("id", "r").collect()), key=str) == sorted(map(tuple, df.select("id", F.sum("v").over(short)).collect()), key=str)
+    if limit == 20:
+        assert back.groupBy(*chunk).count().agg(F.max("count")).first()[0] <= 20 + 3
+    split = K.chronological_split(df, order, [F.col("day")], K.split_counts_simple(0.7, 0.15, 2))
+    ranked = sorted(data, key=lambda r: (r[1], r[2]))
+    want_parts = {r[2]: "train" if i < 280 else "validation" if i < 340 else "test" for i, r in enumerate(ranked)}
+    assert {r.id: r.partition for r in split.collect()} == want_parts
+    placed = RN.row_positions(df, ["day", "id"], "place")
+    assert {r.id: r.place for r in placed.collect()} == {r[2]: i for i, r in enumerate(ranked)}
+
+
+def test_most_scores_in_one_bin(spark, monkeypatch):
+    """Scores crowded below 0.001 are spread over pieces and give the same areas."""
+    rng = random.Random(2)
+    pairs = [(f"i{i:04d}", rng.random() / 1000 if i % 10 else rng.random(), int(rng.random() < 0.3)) for i in range(1500)]
+    df = spark.createDataFrame(pairs, "id string, probability double, target int")
+    want = M.curve_areas(df).first()
+    monkeypatch.setattr(RN, "CHUNK_ROWS", 100)
+    got = M.curve_areas(df).first()
+    assert got["roc_auc"] == pytest.approx(want["roc_auc"], abs=1e-12) and got["pr_auc"] == pytest.approx(want["pr_auc"], abs=1e-12)
+
+
 @pytest.mark.parametrize("n", [3, 4, 10, 57])
 def test_chronological_split_matches_sorted_list(spark, n):
     data = [(f"f{i:03d}", dt.date(2024, 1, 1) + dt.timedelta(days=(i * 7) % 5)) for i in range(n)]
@@ -370,7 +411,8 @@ def test_positives_first_area_matches_row_walk(spark):
 def test_linear_model_equals_stepwise_gradient_descent(spark):
     data = [(float(i), "a" if i % 3 else "b", 10.0 + 2 * i) for i in range(12)]
     df = spark.createDataFrame(data, "x double, c string, target double")
-    model = ML.fit_linear(df, ["x"], ["c"], epochs=50, rate=0.01)
+    model = LS.fit_linear(df, ["x"], ["c"], epochs=50, rate=0.01)
+    fitted = {r["feature"]: r["coefficient"] for r in model.coefficients.collect()}
     matrix = [[r[0], float(r[1] == "a"), float(r[1] == "b")] for r in data]
     n = len(data)
     scale = [max(1.0, math.sqrt(sum(r[j] ** 2 for r in matrix) / n)) for j in range(3)]
@@ -385,13 +427,39 @@ def test_linear_model_equals_stepwise_gradient_descent(spark):
             w - 0.01 * sum(e * m[j] / scale[j] for e, m in zip(errors, matrix, strict=True)) / n
             for j, w in enumerate(weights)
         ]
-    assert model.intercept == pytest.approx(bias, abs=1e-9)
+    assert fitted[LS.INTERCEPT] == pytest.approx(bias, abs=1e-9)
     for j, name in enumerate(("x", "c=a", "c=b")):
-        assert model.coefficients[name] == pytest.approx(weights[j] / scale[j], abs=1e-9)
+        assert fitted[name] == pytest.approx(weights[j] / scale[j], abs=1e-9)
     unseen = spark.createDataFrame([(1.0, "zzz")], "x double, c string")
-    assert ML.predict_linear(unseen, model).first()["raw_prediction"] == pytest.approx(
-        model.intercept + model.coefficients["x"]
-    )
+    assert LS.predict_linear(unseen, model).first()["raw_prediction"] == pytest.approx(fitted[LS.INTERCEPT] + fitted["x"])
+
+
+def test_linear_model_with_very_many_levels(spark):
+    """50,000 levels: with one row each, a level's weight follows from its own residual in every step."""
+    n = 50_000
+    df = spark.range(n).select(F.concat(F.lit("r"), "id").alias("c"), (F.col("id") % 7).cast("double").alias("target"))
+    model = LS.fit_linear(df, [], ["c"], epochs=3, rate=0.5)
+    assert model.coefficients.count() == n + 1
+    bias, weight, mean = sum(i % 7 for i in range(n)) / n, 0.0, sum(i % 7 for i in range(n)) / n
+    for _ in range(3):  # the level of row 3; the mean error stays zero up to the weights' own mean
+        weight, bias = weight - 0.5 * (bias + weight - 3) / n, bias - 0.5 * (bias - mean)
+    got = {r["feature"]: r["coefficient"] for r in model.coefficients.where("feature IN ('c=r3', '(intercept)')").collect()}
+    assert got["c=r3"] == pytest.approx(weight, abs=1e-8) and got[LS.INTERCEPT] == pytest.approx(bias, abs=1e-4)
+    assert LS.predict_linear(df, model).count() == n
+
+
+@pytest.mark.parametrize("rate", [0.05, 0.4])
+def test_descent_in_stretches_equals_single_steps(spark, rate):
+    rng = random.Random(5)
+    a = [[rng.uniform(-1, 1) for _ in range(4)] for _ in range(6)]
+    m = [[sum(r[i] * r[j] for r in a) / 6 for j in range(4)] for i in range(4)]
+    pull, x = [1.0, -2.0, 0.5, 0.0], [0.0, 1.0, 0.0, 3.0]
+    table = spark.createDataFrame([(str(i), str(j), m[i][j]) for i in range(4) for j in range(4)], "i string, j string, v double")
+    vector = lambda v: spark.createDataFrame([(str(i), y) for i, y in enumerate(v)], "i string, x double")
+    got = {r["i"]: r["x"] for r in LS.descended(table, vector(pull), vector(x), 37, rate).collect()}
+    for _ in range(37):
+        x = [x[i] - rate * (sum(m[i][j] * x[j] for j in range(4)) - pull[i]) for i in range(4)]
+    assert [got[str(i)] for i in range(4)] == pytest.approx(x, abs=1e-10)
 
 
 def test_unseen_route_falls_back_to_global_mean(spark):

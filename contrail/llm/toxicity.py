@@ -6,8 +6,8 @@ and those of the other, where an example counts half as much with each chosen te
 outweigh the telling ones in every cosine.) Their document frequencies are counted over the whole table.
 
 The index holds the examples' unit vectors term by term. Examples are numbered, and for each term and block of BLOCK numbers
-the greatest weight is kept. A text's bound for a block is the product of its weights with these; blocks are read in falling
-order of bounds until the next one stays below the k-th best cosine, so the k nearest examples are exact. Neighbours vote with
+the greatest weight is kept. A text's bound for a block is the product of its weights with these; the SEEDS blocks with the
+greatest bounds are read first, then those whose bound beats the k-th best cosine found, so the k nearest examples are exact. Neighbours vote with
 1 / (SHARPNESS + 1 - cosine), corrected for unequal sampling of the labels; a logistic curve through the examples' own
 votes, each without itself, turns votes into chances. The nearest examples are returned as evidence.
 
@@ -38,6 +38,7 @@ CANDIDATES = 2048
 LEAST_RATIO = 25.0
 LEAST_EXAMPLES = 4
 BLOCK = 64
+SEEDS = 4
 NEIGHBOURS = 25
 SHARPNESS = 0.05
 DOUBT = 0.5
@@ -172,32 +173,36 @@ class Index:
 
     def __init__(self, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_rows: int, n_terms: int) -> None:
         order = np.lexsort((rows, terms))
-        self.rows, self.weights = rows[order], weights[order]
-        self.block = BLOCK
-        self.starts = np.searchsorted(terms[order], np.arange(n_terms + 1))
-        self.greatest = np.zeros((n_terms, max(1, -(-n_rows // BLOCK))))
-        np.maximum.at(self.greatest, (terms[order], self.rows // BLOCK), self.weights)
+        terms, self.rows, self.weights = terms[order], rows[order], weights[order]
+        self.n_rows, self.blocks = n_rows, max(1, -(-n_rows // BLOCK))
+        self.block_of = self.rows // BLOCK
+        self.greatest = np.zeros((n_terms, self.blocks))
+        np.maximum.at(self.greatest, (terms, self.block_of), self.weights)
+        ends = np.arange(n_terms * self.blocks + 1)
+        self.starts = np.searchsorted(terms * self.blocks + self.block_of, ends)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(example numbers, cosines) of the k nearest examples that share a term, nearest first; any of those tied for the last place."""
         bound = weights @ self.greatest[terms]
-        found, cosines, last = np.empty(0, dtype=np.int64), np.empty(0), 0.0
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= last + 1e-12:
-                break
-            first = block * self.block
-            score = np.zeros(self.block)
+        best = np.argsort(-bound, kind="stable")[:SEEDS]
+        score = np.zeros(self.n_rows)
+        for t, w in zip(terms, weights, strict=True):
+            for block in best:
+                a, b = self.starts[t * self.blocks + block], self.starts[t * self.blocks + block + 1]
+                score[self.rows[a:b]] += w * self.weights[a:b]
+        wanted = k + (skip >= 0)
+        last = np.partition(score, -wanted)[-wanted] if len(score) >= wanted else 0.0
+        open_ = bound > last + 1e-12
+        open_[best] = False
+        if open_.any():  # the other blocks whose bound beats the k-th best so far
             for t, w in zip(terms, weights, strict=True):
-                own = self.rows[self.starts[t] : self.starts[t + 1]]
-                a, b = np.searchsorted(own, [first, first + self.block])
-                score[own[a:b] - first] += w * self.weights[self.starts[t] + a : self.starts[t] + b]
-            hit = np.flatnonzero(score > 0)
-            hit = hit[hit + first != skip]
-            found, cosines = np.concatenate([found, hit + first]), np.concatenate([cosines, score[hit]])
-            order = np.lexsort((found, -cosines.round(12)))[:k]
-            found, cosines = found[order], cosines[order]
-            last = cosines[-1] if len(found) == k else 0.0
-        return found, np.minimum(cosines, 1.0)
+                a, b = self.starts[t * self.blocks], self.starts[(t + 1) * self.blocks]
+                pick = open_[self.block_of[a:b]]
+                score[self.rows[a:b][pick]] += w * self.weights[a:b][pick]
+        hit = np.flatnonzero(score >= max(last, 1e-300))
+        hit = hit[hit != skip]
+        hit = hit[np.lexsort((hit, -score[hit].round(12)))[:k]]
+        return hit, np.minimum(score[hit], 1.0)
 
 
 @dataclass(frozen=True)

@@ -7,7 +7,8 @@ outweigh the telling ones in every cosine.) Their document frequencies are count
 
 The index holds the examples' unit vectors term by term. Examples are numbered, and for each term and block of BLOCK numbers
 the greatest weight is kept. A text's bound for a block is the product of its weights with these; the SEEDS blocks with the
-greatest bounds are read first, then those whose bound beats the k-th best cosine found, so the k nearest examples are exact. Neighbours vote with
+greatest bounds are read first, then those whose bound reaches the k-th best cosine found, so the k nearest examples and all that
+tie with the last are exact. Neighbours vote with
 1 / (SHARPNESS + 1 - cosine), corrected for unequal sampling of the labels; a logistic curve through the examples' own
 votes, each without itself, turns votes into chances. The nearest examples are returned as evidence.
 
@@ -182,7 +183,7 @@ class Index:
         self.starts = np.searchsorted(terms * self.blocks + self.block_of, ends)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(example numbers, cosines) of the k nearest examples that share a term, nearest first; any of those tied for the last place."""
+        """(example numbers, cosines) of the k nearest examples that share a term and all that tie with the last, nearest first."""
         bound = weights @ self.greatest[terms]
         best = np.argsort(-bound, kind="stable")[:SEEDS]
         score = np.zeros(self.n_rows)
@@ -192,16 +193,18 @@ class Index:
                 score[self.rows[a:b]] += w * self.weights[a:b]
         wanted = k + (skip >= 0)
         last = np.partition(score, -wanted)[-wanted] if len(score) >= wanted else 0.0
-        open_ = bound > last + 1e-12
+        open_ = (bound > 0) & (bound >= last - 1e-12)
         open_[best] = False
-        if open_.any():  # the other blocks whose bound beats the k-th best so far
+        if open_.any():  # the other blocks whose bound reaches the k-th best so far
             for t, w in zip(terms, weights, strict=True):
                 a, b = self.starts[t * self.blocks], self.starts[(t + 1) * self.blocks]
                 pick = open_[self.block_of[a:b]]
                 score[self.rows[a:b][pick]] += w * self.weights[a:b][pick]
-        hit = np.flatnonzero(score >= max(last, 1e-300))
-        hit = hit[hit != skip]
-        hit = hit[np.lexsort((hit, -score[hit].round(12)))[:k]]
+        if 0 <= skip:
+            score[skip] = 0
+        last = np.partition(score, -k)[-k] if len(score) >= k else 0.0
+        hit = np.flatnonzero((score > 0) & (score >= last - 1e-12))
+        hit = hit[np.lexsort((hit, -score[hit].round(12)))]
         return hit, np.minimum(score[hit], 1.0)
 
 

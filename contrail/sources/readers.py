@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import urlsplit
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from contrail.session import materialize
 from contrail.sources.contracts import DatasetContract
 
+LEAVES = 1024
+
 
 class SourceError(ValueError):
     """A source file that cannot be read at all."""
 
 
 def scan_csv(spark: SparkSession, path: str, contract: DatasetContract, multi_line: bool = False) -> DataFrame:
-    """Header CSV as text columns with an opaque, unique ``row_number``.
+    """Header CSV as text columns with the ``row_number`` of each record in its source; the header is row 1.
 
     Quoted line breaks need ``multi_line``; it reads each file whole in one task, so leave it off for splittable input.
     """
@@ -26,7 +30,7 @@ def scan_csv(spark: SparkSession, path: str, contract: DatasetContract, multi_li
     schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
     reader = spark.read.option("header", True).option("multiLine", multi_line).option("mode", "PERMISSIVE")
     rows = reader.option("escape", '"').option("nullValue", "\x00").option("emptyValue", "").schema(schema).csv(path)
-    return with_row_number(rows)
+    return with_row_number(rows, start=2)
 
 
 def csv_header(spark: SparkSession, path: str) -> list[str]:
@@ -58,9 +62,20 @@ def jsonl_columns(lines: DataFrame, contract: DatasetContract) -> DataFrame:
     )
 
 
-def with_row_number(df: DataFrame, name: str = "row_number") -> DataFrame:
-    """Unique row key that needs no shuffle and no second read: increasing within a partition, not consecutive."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+def with_row_number(scan: DataFrame, name: str = "row_number", start: int = 1) -> DataFrame:
+    """Rows of a file scan with their place in the source, whatever the partitioning.
+
+    A source of several files is numbered on from file to file in the order of their paths. Rows are counted for each block of
+    a file that one task reads, a running sum over these blocks (a row each) gives every block its first number, and
+    within a block numbers follow the reader. ``scan`` must be a reader's own frame: the file and block of a row are taken from it.
+    """
+    at = {"_file": "_metadata.file_path", "_block": "_metadata.file_block_start"}
+    marked = scan.select("*", *[F.col(c).alias(k) for k, c in at.items()], F.monotonically_increasing_id().alias("_seen"))
+    sizes = marked.groupBy(*at).agg(F.min("_seen").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy(*at).rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select(*at, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + start).alias("_shift"))
+    numbered = marked.join(F.broadcast(materialize(first, "blocks")), [*at])  # one row for each block of about 128 MB
+    return numbered.withColumn(name, F.col("_seen") + F.col("_shift")).select(*scan.columns, name)
 
 
 def consecutive_row_number(
@@ -101,13 +116,40 @@ def verify_table(df: DataFrame, expected: DataFrame, required: Sequence[str], st
 
 
 def file_checksums(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """SHA-256 of every file, computed where the file is read. For files up to 2 GB; use fingerprints beyond."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("file_name"),
-        F.col("length").alias("file_bytes"),
-        F.sha2("content", 256).alias("sha256"),
-    )
+    """(file_name, file_bytes, sha256) of every file below a folder, named by its path from there; files of any size.
+
+    The digest is a tree: SHA-256 of each line of bytes, then of each LEAVES digests in order, until one is left for a file.
+    Files are read in blocks, a line is the largest piece that one task holds, and the same bytes give the same digest
+    however they are dealt out.
+    """
+    reader = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    scan = reader.text(folder)
+    at = {"_file": "_metadata.file_path", "_bytes": "_metadata.file_size", "_block": "_metadata.file_block_start"}
+    marked = scan.select(
+        *[F.col(c).alias(k) for k, c in at.items()], F.monotonically_increasing_id().alias("_seen"),
+        F.unhex(F.sha2(F.col("value").cast("binary"), 256)).alias("digest"),
+    )
+    sizes = marked.groupBy("_file", "_block").agg(F.min("_seen").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    first = materialize(sizes.select("_file", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift")), "blocks")
+    level = marked.join(F.broadcast(first), ["_file", "_block"]).select("_file", "_bytes", (F.col("_seen") + F.col("_shift")).alias("place"), "digest")
+    most = sizes.groupBy("_file").agg(F.sum("_n").alias("n")).agg(F.max("n")).first()[0] or 1
+    while True:
+        parent = F.floor(F.col("place") / LEAVES).alias("place")
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct("place", "digest"))), lambda x: x["digest"])
+        folded = F.unhex(F.sha2(F.aggregate(ordered, F.lit(b""), lambda a, x: F.concat(a, x)), 256))
+        level = level.groupBy("_file", "_bytes", parent).agg(folded.alias("digest"))
+        most = -(-most // LEAVES)
+        if most <= 1:
+            break
+    base = urlsplit(folder).path.rstrip("/") + "/"
+    decoded = F.url_decode(F.replace(F.col("_file"), F.lit("+"), F.lit("%2B")))
+    relative = F.substr(decoded, F.instr(decoded, base) + len(base))
+    # A file of one line has one fold; the size tells a last line with a break from one without.
+    return level.select(
+        relative.alias("file_name"), F.col("_bytes").alias("file_bytes"),
+        F.sha2(F.concat(F.col("_bytes").cast("string").cast("binary"), F.col("digest")), 256).alias("sha256"),
+    )
 
 
 def verify_checksums(actual: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,9 +72,49 @@ def test_fingerprint_ignores_order_and_sees_changes(spark):
     assert not S.verify_table(df, declared, ["absent"]).first()["accepted"]
 
 
-def test_checksums(spark, tmp_path):
-    (tmp_path / "a.bin").write_bytes(b"abc")
+def test_checksums(spark, tmp_path, monkeypatch):
+    rng = random.Random(4)
+    big = b"\n".join(bytes(rng.choices(range(256), k=rng.randint(0, 60))) for _ in range(3000))
+    (tmp_path / "part").mkdir()
+    for name, data in {"a.bin": b"abc", "ends.bin": b"abc\n", "part/00.bin": big, "part/01 b.bin": big + b"\n\n", "none.bin": b""}.items():
+        (tmp_path / name).write_bytes(data)
+
+    def seen():
+        return {r["file_name"]: (r["file_bytes"], r["sha256"]) for r in S.file_checksums(spark, str(tmp_path)).collect()}
+
+    before = seen()
+    assert set(before) == {"a.bin", "ends.bin", "part/00.bin", "part/01 b.bin"}  # an empty file has no line to read
+    assert len({d for _, d in before.values()}) == 4
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10k")
+    try:
+        assert seen() == before  # whatever the blocks
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    lines = big.split(b"\n")
+    lines[5], lines[2500] = lines[2500], lines[5]
+    for other in (big[:-1] + bytes([big[-1] ^ 1]), b"\n".join(lines)):
+        (tmp_path / "part/00.bin").write_bytes(other)
+        after = seen()
+        assert after["part/00.bin"][1] != before["part/00.bin"][1] and after["a.bin"] == before["a.bin"]
     files = S.file_checksums(spark, str(tmp_path))
-    wanted = spark.createDataFrame([("a.bin", "bad"), ("b.bin", "x")], "file_name string, expected_sha256 string")
+    wanted = spark.createDataFrame([("a.bin", "bad"), ("b.bin", "x"), ("ends.bin", before["ends.bin"][1])], "file_name string, expected_sha256 string")
     got = {r["file_name"]: (r["present"], r["verified"]) for r in S.verify_checksums(files, wanted).collect()}
-    assert got == {"a.bin": (True, False), "b.bin": (False, False)}
+    assert got == {"a.bin": (True, False), "b.bin": (False, False), "ends.bin": (True, True)}
+
+
+def test_row_numbers_are_those_of_the_source(spark, tmp_path):
+    (tmp_path / "csv").mkdir()
+    for part in range(3):
+        rows = "\n".join(f"C{part}{i:04d},F" for i in range(700))
+        (tmp_path / "csv" / f"p{part}.csv").write_text("crew_assignment_id,flight_id\n" + rows + "\n")
+    (tmp_path / "lines.jsonl").write_text("\n".join('{"severity": %d}' % i if i % 7 else "" for i in range(900)))
+    for size in ("128m", "2k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            scanned = S.scan_csv(spark, str(tmp_path / "csv"), C.CREW_OPERATIONS).repartition(5)
+            got = sorted((r["row_number"], r["crew_assignment_id"]) for r in scanned.collect())
+            assert got == [(2 + 700 * p + i, f"C{p}{i:04d}") for p in range(3) for i in range(700)]
+            found = {r["row_number"]: r["fields"]["severity"] for r in S.scan_jsonl(spark, str(tmp_path / "lines.jsonl")).collect()}
+            assert found == {i + 1: str(i) for i in range(900) if i % 7}
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")

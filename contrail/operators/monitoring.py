@@ -305,6 +305,28 @@ def run_checks(
     )
 
 
+def input_identity(rows: DataFrame) -> str:
+    """Name of a run's input: row count and an order-insensitive hash of its rows."""
+    own = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64(*rows.columns)), F.lit(0)).alias("h")).first()
+    return f"{own['n']}-{own['h'] & (2**64 - 1):016x}"
+
+
+def store_run(metrics: DataFrame, store: str, run_id: str, made_at: str, identity: str) -> None:
+    """Add the metrics of a run to a store of runs, one folder a run; a run stored again replaces itself."""
+    made = F.lit(made_at).cast("timestamp").alias("made_at")
+    rows = metrics.select("monitoring_domain", "metric_name", "metric_value", made, F.lit(identity).alias("input_identity"))
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{store}/run_id={run_id}")  # a few dozen rows
+
+
+def run_before(spark: SparkSession, store: str, moment: str, identity: str | None = None) -> DataFrame | None:
+    """Metrics of the latest stored run before a moment, if any; with `identity`, of those that read other input."""
+    runs = spark.read.parquet(store).where(F.col("made_at") < F.lit(moment).cast("timestamp"))
+    if identity is not None:
+        runs = runs.where(F.col("input_identity") != identity)
+    latest = runs.agg(F.max(F.struct("made_at", F.col("run_id").cast("string").alias("run_id"))).alias("r")).first()["r"]
+    return None if latest is None else runs.where(F.col("run_id").cast("string") == latest["run_id"])
+
+
 def drift_compare(
     metrics: DataFrame,
     baseline: DataFrame | None,

@@ -346,11 +346,11 @@ def grouped_forecast_metrics(t: Tables) -> DataFrame:
 
 @query(
     "metric_rows_long",
-    "UNPIVOT (SELECT part AS partition, round(1e-10 + avg(abs(e)), 6) AS mae, round(1e-10 + avg(e), 6) AS bias FROM errors GROUP BY part) ON mae, bias INTO NAME metric VALUE metric_value",
+    f"UNPIVOT (SELECT * EXCLUDE (sample_size) FROM (SELECT part AS partition, {METRIC_SQL} FROM errors GROUP BY part)) ON mae, rmse, wape, smape, bias, underforecast_rate, overforecast_rate INTO NAME metric VALUE metric_value",
 )
 def metric_rows_long(t: Tables) -> DataFrame:
     metrics = M.forecast_metrics(naive_forecast(t), ("partition",), actual="target")
-    return M.metric_rows_long(metrics, ["partition"], ["mae", "bias"]).select("partition", "metric", r6("metric_value"))
+    return M.metric_rows_long(metrics, ["partition"], list(M.FORECAST_METRICS)).select("partition", "metric", r6("metric_value"))
 
 
 @query("load_factor_band", "SELECT CASE WHEN load < 0.75 THEN 'low' WHEN load < 0.9 THEN 'medium' ELSE 'high' END AS band, count(*) AS row_count FROM errors GROUP BY band")

@@ -18,6 +18,7 @@ from contrail.plans import model_queries as MM
 from contrail.plans import validation_queries as VQ
 from contrail.plans.airline_views import Tables
 from contrail.plans.registry import query, sql_part
+from contrail.session import new_folder
 from contrail.sources import readers as R
 
 RUN_ID = "monitoring-run"
@@ -122,12 +123,19 @@ def check_sql() -> str:
         }[rule.kind]
         warns = {"max": f"{value} >= {rule.warning}", "min": f"{value} <= {rule.warning}"}.get(rule.kind, "false")
         bad = "high" if rule.kind == "present" else "critical"
+        observed = f"(SELECT metric_value FROM mon_metrics WHERE metric_name = '{rule.metric_name}')" if rule.kind == "present" else "NULL" if rule.kind == "status" else value
+        message = {
+            "present": f"CASE WHEN {fails} THEN 'Metric is missing.' ELSE 'Metric is present.' END",
+            "equals": "'Checksum verification flag evaluated.'",
+            "max": "'Maximum threshold evaluated.'",
+            "min": "'Minimum threshold evaluated.'",
+        }.get(rule.kind, f"'{rule.domain} lineage and manifest accepted'")
         parts.append(
-            f"SELECT '{rule.rule_id}' AS rule_id, '{rule.domain}' AS monitoring_domain, '{rule.metric_name}' AS metric_name, CASE WHEN {fails} THEN 'failed' WHEN {warns} THEN 'warning' ELSE 'passed' END AS status, CASE WHEN {fails} THEN '{bad}' WHEN {warns} THEN 'warning' ELSE 'info' END AS severity"
+            f"SELECT {observed} AS observed_value, {message} AS message, '{rule.rule_id}' AS rule_id, '{rule.domain}' AS monitoring_domain, '{rule.metric_name}' AS metric_name, CASE WHEN {fails} THEN 'failed' WHEN {warns} THEN 'warning' ELSE 'passed' END AS status, CASE WHEN {fails} THEN '{bad}' WHEN {warns} THEN 'warning' ELSE 'info' END AS severity"
         )
     for i, domain in enumerate(MON.DOMAINS):
         parts.append(
-            f"SELECT 'MON-LIN-{len(MON.CHECK_RULES) + 1 + i:03d}', '{domain}', 'status', 'passed', 'info'"
+            f"SELECT NULL, '{domain} lineage and manifest accepted', 'MON-LIN-{len(MON.CHECK_RULES) + 1 + i:03d}', '{domain}', 'status', 'passed', 'info'"
         )
     return "\nUNION ALL ".join(parts)
 
@@ -144,9 +152,10 @@ def mon_alerts(t: Tables) -> DataFrame:
     return MON.monitoring_alerts(checks(t), RUN_ID)
 
 
-@query("run_checks", "SELECT * FROM mon_checks")
+@query("run_checks", "SELECT rule_id, monitoring_domain, metric_name, status, severity, round(observed_value, 6) AS observed_value, message FROM mon_checks")
 def run_checks(t: Tables) -> DataFrame:
-    return checks(t).select("rule_id", "monitoring_domain", "metric_name", "status", "severity")
+    found = checks(t).select("rule_id", "monitoring_domain", "metric_name", "status", "severity", "observed_value", "message")
+    return found.withColumn("observed_value", F.round("observed_value", 6))
 
 
 @query("check_missing_metrics", "SELECT rule_id, CASE WHEN k = 'present' THEN 'failed' WHEN k = 'min' THEN 'failed' WHEN k = 'equals' THEN 'failed' ELSE 'passed' END AS status FROM (VALUES ('MON-GEN-001','present'),('MON-GEN-002','equals'),('MON-FCST-001','present'),('MON-FCST-002','max'),('MON-DELAY-001','present'),('MON-DELAY-002','min')) AS v(rule_id, k)")
@@ -156,39 +165,65 @@ def check_missing_metrics(t: Tables) -> DataFrame:
     return found.select("rule_id", "status")
 
 
-sql_part("mon_baseline", "SELECT monitoring_domain, metric_name, metric_value * ((length(metric_name) % 5) / 2.0e0) AS base FROM mon_metrics WHERE metric_name <> 'disruption_max_score'")
-
-
-def baseline(t: Tables) -> DataFrame:
-    factor = (F.length("metric_name") % 5) / 2.0
-    return (
-        stored_metrics(t)
-        .filter("metric_name <> 'disruption_max_score'")
-        .select("monitoring_domain", "metric_name", (F.col("metric_value") * factor).alias("metric_value"))
-    )
-
-
-DRIFT_SQL = """SELECT m.monitoring_domain, m.metric_name, CASE WHEN base IS NULL THEN -9 WHEN base = 0 THEN CASE WHEN metric_value = 0 THEN 0 ELSE 1 END ELSE round(1e-10 + (metric_value - base) / abs(base), 6) END AS relative_change
+# ---------------------------------------------------------------- drift against an earlier run
+
+EAST = "route_id < 'A12'"
+EARLIER_SQL = """SELECT 'passenger_forecasting' AS monitoring_domain, 'passenger_forecast_wape' AS metric_name, round(sum(abs(signed)) / sum(target), 6) AS base FROM published_east
+  UNION ALL SELECT 'passenger_forecasting', 'passenger_forecast_mae', round(avg(abs(signed)), 6) FROM published_east
+  UNION ALL SELECT 'passenger_forecasting', 'passenger_forecast_bias', round(avg(signed), 6) FROM published_east
+  UNION ALL SELECT 'passenger_forecasting', 'passenger_forecast_row_count', cast(count(*) AS double) FROM published_east
+  UNION ALL SELECT 'passenger_forecasting', 'passenger_forecast_capacity_adjustment_count', cast(count(*) FILTER (changed) AS double) FROM published_east
+  UNION ALL SELECT 'passenger_forecasting', 'passenger_forecast_champion_is_baseline_flag', 1.0
+  UNION ALL SELECT 'disruption_scoring', 'disruption_score_row_count', cast(count(*) AS double) FROM scores_east
+  UNION ALL SELECT 'disruption_scoring', 'disruption_alert_count', cast(count(*) FILTER (sev >= 0.25) AS double) FROM scores_east
+  UNION ALL SELECT 'disruption_scoring', 'disruption_high_or_severe_rate', round(count(*) FILTER (band IN ('high', 'severe')) / count(*), 6) FROM scores_east
+  UNION ALL SELECT 'disruption_scoring', 'disruption_severe_rate', round(count(*) FILTER (band = 'severe') / count(*), 6) FROM scores_east
+  UNION ALL SELECT 'disruption_scoring', 'disruption_urgent_review_count', cast(count(*) FILTER (priority = 'urgent_review') AS double) FROM scores_east
+  UNION ALL SELECT 'disruption_scoring', 'disruption_average_score', round(avg(score), 6) FROM scores_east
+  UNION ALL SELECT 'disruption_scoring', 'disruption_max_score', max(score) FROM scores_east"""
+sql_part("published_east", f"SELECT * FROM published WHERE {EAST}")
+sql_part("scores_east", f"SELECT * FROM scores WHERE {EAST}")
+sql_part("mon_baseline", EARLIER_SQL)
+THIS_RUN = "2024-03-01 00:00:00"
+
+
+def metric_runs(t: Tables) -> str:
+    """A store with the metrics of earlier runs over parts of the network, and of one run made after this one."""
+
+    def build(t: Tables) -> DataFrame:
+        path = new_folder(t.spark, "metric_runs")
+        forecast, scores = MM.stored_forecast(t), DQ.stored_scores(t)
+        for run_id, made_at, part in (
+            ("west", "2024-01-01 00:00:00", f"NOT ({EAST})"), ("east", "2024-02-01 00:00:00", EAST), ("later", "2024-04-01 00:00:00", "true"),
+        ):
+            own = [forecast.where(part), scores.where(part)]
+            found = MON.extract_metrics([MON.forecast_monitor_metrics(own[0]), MON.disruption_monitor_metrics(own[1])])
+            found = found.withColumn("metric_value", F.round("metric_value", 6))
+            MON.store_run(found, path, run_id, made_at, MON.input_identity(own[1].select("flight_id")))
+        return t.spark.createDataFrame([(path,)], "path string")
+
+    return t.stage("metric_runs", build).first()["path"]
+
+
+def compared(t: Tables) -> DataFrame:
+    """This run's metrics against the latest run before it that read other input."""
+    identity = MON.input_identity(DQ.stored_scores(t).select("flight_id"))
+    earlier = MON.run_before(t.spark, metric_runs(t), THIS_RUN, identity)
+    return t.written_stage("drift", lambda t: MON.drift_compare(stored_metrics(t), earlier))
+
+
+DRIFT_SQL = """SELECT m.monitoring_domain, m.metric_name, base, CASE WHEN base IS NULL THEN NULL WHEN base = 0 THEN CASE WHEN metric_value = 0 THEN 0 ELSE 1 END ELSE round((metric_value - base) / abs(base), 4) END AS relative_change
   FROM mon_metrics m LEFT JOIN mon_baseline b ON b.monitoring_domain = m.monitoring_domain AND b.metric_name = m.metric_name"""
 
 
-@query("drift_compare", f"SELECT monitoring_domain, metric_name, cast(relative_change AS double) AS relative_change, CASE WHEN relative_change = -9 THEN 'skipped' WHEN abs(relative_change) >= 0.5 THEN 'failed' WHEN abs(relative_change) >= 0.25 THEN 'warning' ELSE 'passed' END AS status FROM ({DRIFT_SQL})")
+@query("drift_compare", f"SELECT monitoring_domain, metric_name, cast(relative_change AS double) AS relative_change, CASE WHEN base IS NULL THEN 'skipped' WHEN abs(relative_change) >= 0.5 THEN 'failed' WHEN abs(relative_change) >= 0.25 THEN 'warning' ELSE 'passed' END AS status, CASE WHEN abs(relative_change) >= 0.5 THEN 'critical' WHEN abs(relative_change) >= 0.25 THEN 'warning' ELSE 'info' END AS severity FROM ({DRIFT_SQL})")
 def drift_compare(t: Tables) -> DataFrame:
-    found = MON.drift_compare(stored_metrics(t), baseline(t))
-    change = F.coalesce(F.col("relative_change"), F.lit(-9.0))
-    return found.select(
-        "monitoring_domain",
-        "metric_name",
-        F.when(change == -9, change).when(F.col("baseline_value") == 0, change).otherwise(round6(change)).alias("relative_change"),
-        "status",
-    )
+    return compared(t).select("monitoring_domain", "metric_name", F.round("relative_change", 4).alias("relative_change"), "status", "severity")
 
 
-@query("baseline_join", "SELECT m.monitoring_domain, m.metric_name, round(1e-10 + coalesce(base, -1), 6) AS baseline_value FROM mon_metrics m LEFT JOIN mon_baseline b ON b.monitoring_domain = m.monitoring_domain AND b.metric_name = m.metric_name")
+@query("baseline_join", f"SELECT monitoring_domain, metric_name, base AS baseline_value FROM ({DRIFT_SQL})")
 def baseline_join(t: Tables) -> DataFrame:
-    found = MON.drift_compare(stored_metrics(t), baseline(t))
-    value = F.coalesce(F.col("baseline_value"), F.lit(-1.0))
-    return found.select("monitoring_domain", "metric_name", r6("baseline_value", value))
+    return compared(t).select("monitoring_domain", "metric_name", "baseline_value")
 
 
 @query("monitoring_alerts", "SELECT monitoring_alert_id, rule_id, monitoring_domain, severity, status FROM mon_alerts")
@@ -249,10 +284,20 @@ def evidence(t: Tables) -> DataFrame:
             E.aircraft_evidence(T.aircraft_health_summary(health)),
             E.metric_evidence(stored_metrics(t)),
             E.check_evidence(checks(t)),
+            E.dataset_evidence(dataset_quality(t)),
         ]
     )
 
 
+def dataset_quality(t: Tables) -> DataFrame:
+    """(dataset, valid, quarantined, errors) of the source tables, from the stored findings."""
+    findings = VQ.stored_findings(t)
+    errors = findings.where("severity = 'error'").groupBy("dataset").agg(F.count(F.lit(1)).alias("errors"))
+    rejected = Q.quarantined_keys(findings).groupBy("dataset").agg(F.count(F.lit(1)).alias("quarantined"))
+    counted = Q.source_counts(VQ.typed_tables(t)).join(errors, "dataset", "left").join(rejected, "dataset", "left").na.fill(0)
+    return counted.select("dataset", (F.col("row_count") - F.col("quarantined")).alias("valid"), "quarantined", "errors")
+
+
 def stored_evidence(t: Tables) -> DataFrame:
     """The evidence table as retrieval, guardrails and briefs read it."""
     return t.written_stage("evidence", evidence)
@@ -267,6 +312,12 @@ def evidence_sql(source: str, domain: str, kind: str, record: str, etype: str, e
     return f"SELECT {evd(domain, kind, record, etype, entity, metric, summary)} AS evidence_id, '{domain}' AS source_domain, '{kind}' AS evidence_type, '{etype}' AS entity_type, {entity} AS entity_id, {ts} AS ts, cast({value} AS double) AS metric_value, {severity} AS severity, {summary} AS summary_text, {route} AS route_id, {flight} AS flight_id, {aircraft} AS aircraft_id, {o} AS o, {d} AS d FROM {source}"
 
 
+sql_part(
+    "dataset_rows",
+    """SELECT c.dataset, c.row_count - coalesce(b.n, 0) AS valid, coalesce(b.n, 0) AS quarantined, coalesce(e.n, 0) AS errors FROM table_counts c
+       LEFT JOIN (SELECT dataset, count(*) AS n FROM bad_rows GROUP BY dataset) b ON b.dataset = c.dataset
+       LEFT JOIN (SELECT dataset, count(*) AS n FROM all_severities WHERE severity = 'error' GROUP BY dataset) e ON e.dataset = c.dataset""",
+)
 sql_part("route_rows", DQ.summary_sql("scores", "route_id", "max(score) AS top"))
 sql_part(
     "flight_alerts",
@@ -283,6 +334,8 @@ sql_part(
             evidence_sql("published", "passenger_forecasting", "passenger_forecast", "flight_id", "flight", "flight_id", "cast(operating_date AS varchar)", "'forecast_passengers'", "forecast", "CASE WHEN changed THEN 'warning' ELSE 'info' END", "concat('Flight ', flight_id, ' forecast passengers ', forecast, '.')", "route_id", "flight_id"),
             evidence_sql("health_alerts", "maintenance_analytics", "maintenance_alert", "alert_id", "aircraft", "aircraft_id", "strftime(event_timestamp_utc, '%Y-%m-%d %H:%M:%S')", "'aircraft_health_score'", "health", "category", "concat('Maintenance alert ', alert_id, ' applies to aircraft ', aircraft_id, '.')", "NULL", "flight_id", "aircraft_id"),
             evidence_sql("(SELECT aircraft_id, max(risk) AS top, CASE WHEN max(risk) >= 0.8 THEN 'high' WHEN max(risk) >= 0.6 THEN 'medium' ELSE 'low' END AS pr FROM health_scores GROUP BY aircraft_id)", "maintenance_analytics", "aircraft_summary", "aircraft_id", "aircraft", "aircraft_id", "NULL", "'maximum_maintenance_risk_score'", "top", "pr", "concat('Aircraft ', aircraft_id, ' maximum maintenance score ', top, '.')", "NULL", "NULL", "aircraft_id"),
+            evidence_sql("mon_checks", "monitoring", "monitoring_check", "rule_id", "monitoring_rule", "rule_id", "NULL", "metric_name", "observed_value", "severity", "concat(rule_id, ' ', status, ': ', message)"),
+            evidence_sql("dataset_rows", "validation", "validation_metric", "dataset", "dataset", "dataset", "NULL", "'valid_row_count'", "valid", "CASE WHEN errors = 0 THEN 'info' ELSE 'high' END", "concat(dataset, ' has ', valid, ' valid rows, ', quarantined, ' quarantined rows, and ', errors, ' errors.')"),
             evidence_sql("mon_metrics", "monitoring", "monitoring_check", "metric_name", "monitoring_metric", "monitoring_domain", "NULL", "metric_name", "metric_value", "'info'", "concat('Monitoring metric ', metric_name, ' of domain ', monitoring_domain, '.')"),
         )
     ),
@@ -294,7 +347,7 @@ sql_part(
     "SELECT evidence_id, source_domain, evidence_type, entity_type, entity_id, round(1e-10 + metric_value, 4) AS metric_value, severity, summary_text FROM evidence_rows",
 )
 def evidence_table(t: Tables) -> DataFrame:
-    rows = evidence(t).filter(F.col("entity_type") != "monitoring_rule")
+    rows = evidence(t)
     value = F.round(F.col("metric_value") + 1e-10, 4).alias("metric_value")
     return rows.select(
         "evidence_id", "source_domain", "evidence_type", "entity_type", "entity_id", value, "severity", "summary_text"
@@ -328,7 +381,7 @@ def requests(t: Tables) -> DataFrame:
 
 
 def ranked(t: Tables) -> DataFrame:
-    return E.retrieve_evidence(requests(t), stored_evidence(t).filter("entity_type <> 'monitoring_rule'"), 5)
+    return E.retrieve_evidence(requests(t), stored_evidence(t), 5)
 
 
 sql_part(

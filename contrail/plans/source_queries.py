@@ -75,12 +75,18 @@ def scan_jsonl(t: Tables) -> DataFrame:
     return union_all(parts)
 
 
-@query("row_number_assign", "SELECT l_returnflag AS flag, count(*) AS row_count, count(*) AS numbered_rows FROM lineitem GROUP BY l_returnflag")
+@query(
+    "row_number_assign",
+    """SELECT l_returnflag AS flag, count(*) AS row_count, cast(sum(n) AS bigint) AS number_sum, min(n) AS first_number, max(n) AS last_number, cast(sum(n % 1009 * l_orderkey) AS bigint) AS number_by_key
+       FROM (SELECT *, row_number() OVER () AS n FROM lineitem) GROUP BY l_returnflag""",
+)
 def row_number_assign(t: Tables) -> DataFrame:
-    numbered = S.with_row_number(t.base("lineitem"))
-    return numbered.groupBy(F.col("l_returnflag").alias("flag")).agg(
-        F.count(F.lit(1)).alias("row_count"), F.count_distinct("row_number").alias("numbered_rows")
-    )
+    """Places of the rows in the table's files."""
+    n = F.col("row_number")
+    return S.with_row_number(t.base("lineitem")).groupBy(F.col("l_returnflag").alias("flag")).agg(
+        F.count(F.lit(1)).alias("row_count"), F.sum(n).alias("number_sum"), F.min(n).alias("first_number"), F.max(n).alias("last_number"),
+        F.sum(n % 1009 * F.col("l_orderkey")).alias("number_by_key"),
+    )
 
 
 @query(
@@ -103,15 +109,20 @@ def write_processed(t: Tables) -> DataFrame:
 
 @query(
     "write_rows",
-    "SELECT n_regionkey, 'n_name|n_nationkey|n_regionkey' AS columns, count(*) AS row_count, max(n_name) AS last_name FROM nation GROUP BY n_regionkey",
+    """SELECT o_orderstatus AS status, 'o_custkey|o_orderdate|o_orderkey|o_orderpriority|o_orderstatus|o_totalprice' AS columns, count(*) AS row_count, cast(sum(o_orderkey) AS bigint) AS order_keys, cast(sum(o_custkey) AS bigint) AS customer_keys,
+              round(sum(o_totalprice), 2) AS total_price, cast(cast(min(o_orderdate) AS date) AS varchar) AS first_day, cast(cast(max(o_orderdate) AS date) AS varchar) AS last_day, min(o_orderpriority) AS first_priority, max(o_orderpriority) AS last_priority FROM orders GROUP BY o_orderstatus""",
 )
 def write_rows(t: Tables) -> DataFrame:
+    """All orders written with sorted columns and read back, every column summed up."""
     path = new_folder(t.spark, "rows")
-    W.write_rows(t.base("nation"), path)
+    W.write_rows(t.base("orders"), path)
     back = t.spark.read.parquet(path)
-    return back.groupBy("n_regionkey").agg(
-        F.lit("|".join(back.columns)).alias("columns"), F.count(F.lit(1)).alias("row_count"), F.max("n_name").alias("last_name")
-    )
+    return back.groupBy(F.col("o_orderstatus").alias("status")).agg(
+        F.lit("|".join(back.columns)).alias("columns"), F.count(F.lit(1)).alias("row_count"), F.sum("o_orderkey").alias("order_keys"),
+        F.sum("o_custkey").alias("customer_keys"), F.round(F.sum("o_totalprice"), 2).alias("total_price"),
+        F.min(F.to_date("o_orderdate")).cast("string").alias("first_day"), F.max(F.to_date("o_orderdate")).cast("string").alias("last_day"),
+        F.min("o_orderpriority").alias("first_priority"), F.max("o_orderpriority").alias("last_priority"),
+    )
 
 
 @query("write_jsonl", "SELECT c_mktsegment AS segment, count(*) AS row_count, min(c_name) AS first_name FROM customer GROUP BY c_mktsegment")
@@ -173,15 +184,22 @@ def verify_upstream_output(t: Tables) -> DataFrame:
 
 @query(
     "verify_checksums",
-    "SELECT * FROM (VALUES ('nation.parquet', true, true), ('region.parquet', true, true), ('part.parquet', true, false), ('absent.parquet', false, false)) AS v(file_name, present, verified)",
+    "\nUNION ALL ".join(
+        f"SELECT '{n}.parquet' AS table_file, true AS present, {str(n != 'part').lower()} AS verified, count(*) AS row_count FROM {n}" for n in BASE_TABLES
+    )
+    + "\nUNION ALL SELECT 'absent.parquet', false, false, 0",
 )
 def verify_checksums(t: Tables) -> DataFrame:
-    """A manifest of small files made beforehand, one entry of it wrong and one for a file that is not there."""
-    actual = S.file_checksums(t.spark, t.folder, "{nation,region,part}.parquet")
+    """Every file of the given tables against a manifest stored beforehand, with one wrong entry and one file that is not there."""
+    actual = S.file_checksums(t.spark, t.folder).withColumn("table_file", F.split("file_name", "/")[0])
 
     def manifest(t: Tables) -> DataFrame:
-        seen = F.when(F.col("file_name") == "part.parquet", F.sha2(F.col("sha256"), 256)).otherwise(F.col("sha256"))
-        listed = actual.select("file_name", seen.alias("expected_sha256"))
-        return listed.unionAll(actual.limit(1).select(F.lit("absent.parquet"), F.lit("0")))
-
-    return S.verify_checksums(actual, t.written_stage("manifest", manifest))
+        own = [f"{name}.parquet" for name in BASE_TABLES]
+        seen = F.when(F.col("table_file") == "part.parquet", F.sha2(F.col("sha256"), 256)).otherwise(F.col("sha256"))
+        listed = actual.where(F.col("table_file").isin(own)).select("file_name", seen.alias("expected_sha256"))
+        return listed.unionAll(t.spark.createDataFrame([("absent.parquet", "0")], listed.schema))
+
+    counts = union_all([t.base(n).agg(F.count(F.lit(1)).alias("n")).select(F.lit(f"{n}.parquet").alias("table_file"), "n") for n in BASE_TABLES])
+    checked = S.verify_checksums(actual, t.written_stage("manifest", manifest)).withColumn("table_file", F.split("file_name", "/")[0])
+    by_table = checked.groupBy("table_file").agg(F.bool_and("present").alias("present"), F.bool_and("verified").alias("verified"))
+    return by_table.join(counts, "table_file", "left").select("table_file", "present", "verified", F.coalesce("n", F.lit(0)).alias("row_count"))

@@ -215,9 +215,9 @@ def alert_fact(t: Tables) -> DataFrame:
     return S.fact_monitoring_alert(MO.mon_alerts(t))
 
 
-@query("fact_monitoring_alert", "SELECT monitoring_alert_id, monitoring_domain, severity, status FROM mon_alerts")
+@query("fact_monitoring_alert", "SELECT monitoring_alert_id, monitoring_domain, severity, status, message FROM mon_alerts")
 def fact_monitoring_alert(t: Tables) -> DataFrame:
-    return alert_fact(t).drop("message")
+    return alert_fact(t)
 
 
 def response_fact(t: Tables) -> DataFrame:

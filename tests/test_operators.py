@@ -651,3 +651,24 @@ def test_guardrails_need_known_citations(spark):
     }
     assert not {f for f in failed if f[0] == "a"}
     assert {("b", g) for g in ("GR-INTENT-001", "GR-GROUND-001", "GR-SAFETY-001", "GR-SYNTH-001")} <= failed
+
+
+# ---------------------------------------------------------------- stored runs
+
+
+def test_baseline_is_the_latest_earlier_run_on_other_input(spark, tmp_path):
+    store = str(tmp_path / "runs")
+
+    def metrics(value):
+        return spark.createDataFrame([("d", "m", value), ("d", "zero", 0.0)], "monitoring_domain string, metric_name string, metric_value double")
+
+    for run, made, identity, value in (("a", "2024-01-01", "x", 1.0), ("b", "2024-02-01", "y", 2.0), ("c", "2024-02-10", "now", 3.0), ("d", "2024-05-01", "x", 4.0)):
+        MON.store_run(metrics(value), store, run, made, identity)
+    MON.store_run(metrics(2.5), store, "b", "2024-02-01", "y")  # stored again
+    found = MON.run_before(spark, store, "2024-03-01", "now")
+    assert {(r.run_id, r.metric_value) for r in found.where("metric_name = 'm'").collect()} == {("b", 2.5)}
+    assert MON.run_before(spark, store, "2024-03-01").where("run_id = 'c'").count() == 2
+    assert MON.run_before(spark, store, "2023-01-01") is None
+    drift = {r.metric_name: (r.relative_change, r.status) for r in MON.drift_compare(metrics(3.75), found).collect()}
+    assert drift == {"m": (0.5, "failed"), "zero": (0.0, "passed")}
+    assert MON.input_identity(spark.range(5)) == MON.input_identity(spark.range(5).repartition(3)) != MON.input_identity(spark.range(6))

@@ -741,50 +741,27 @@ def star_quality_checks(tables: Mapping[str, DataFrame], dictionary: DataFrame |
     return union_all(checks)
 
 
-# What each table is made from; tables not listed come from the validated source tables.
-TABLE_SOURCES = {
-    "fact_monitoring_metric": "monitoring",
-    "fact_monitoring_alert": "monitoring",
-    "kpi_monitoring_summary": "monitoring",
-    "fact_disruption_score": "disruption_scoring",
-    "kpi_disruption_summary": "disruption_scoring",
-    "dim_disruption_driver": "disruption_scoring",
-    "fact_maintenance_risk": "maintenance_analytics",
-    "kpi_maintenance_summary": "maintenance_analytics",
-    "fact_passenger_forecast": "passenger_forecasting",
-    "fact_assistant_response": "genai_assistant",
-}
-# What the columns of facts, KPI tables and summaries are for; columns not listed are attributes.
-RELATIONSHIP_KEYS = frozenset({"flight_id", "route_id", "aircraft_id", "assistant_run_id", "monitoring_alert_id"})
-MEASURE_INPUTS = frozenset(
-    {
-        "metric_name", "metric_value", "metric_text", "flight_count", "cancelled_flight_count", "high_disruption_count",
-        "departure_flight_count", "arrival_flight_count", "average_disruption_score", "disruption_severity_score",
-        "forward_disruption_risk_score", "retrospective_disruption_score", "weather_component_score",
-        "delay_component_score", "crew_component_score", "aircraft_health_component_score", "maintenance_risk_score",
-        "aircraft_health_score",
-    }
-)
-
-
-def column_roles(table: str, columns: Sequence[str]) -> dict[str, str]:
-    """The declared role of each column of a star table."""
-    if table in DIMENSIONS:
-        return dict.fromkeys(columns, "dimension attribute")
-    roles = dict.fromkeys(columns, "fact attribute")
-    roles |= {c: "relationship key" for c in columns if c in RELATIONSHIP_KEYS}
-    return roles | {c: "measure input" for c in columns if c in MEASURE_INPUTS}
+def column_roles(table: str, schema: T.StructType) -> dict[str, str]:
+    """What a column is for: a key of its table, a reference to a dimension, a number to sum up, or a description."""
+    to_dimensions = {column for _, fact, column, _, _ in REFERENCES if fact == table}
+    numbers = (T.DoubleType, T.LongType, T.IntegerType)
+    roles = {f.name: "measure" if isinstance(f.dataType, numbers) and table not in DIMENSIONS else "attribute" for f in schema.fields}
+    roles |= {c: "reference" for c in schema.names if c in to_dimensions}
+    return roles | {c: "key" for c in schema.names if c in PRIMARY_KEYS.get(table, ())}
 
 
 TYPE_NAMES = {"boolean": "boolean", "bigint": "integer", "int": "integer", "double": "number"}
 
 
-def data_dictionary(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """One row per table and column: type, role, source, smallest non-blank example, nulls and distinct values."""
-    parts = []
+def data_dictionary(tables: Mapping[str, DataFrame], sources: Mapping[str, str] | None = None) -> DataFrame:
+    """One row per table and column: type, role, source, smallest non-blank example, nulls and distinct values.
+
+    ``sources`` names what a table was built from; the caller who builds the tables knows.
+    """
+    parts, sources = [], sources or {}
     for name, df in sorted(tables.items()):
         scalar = [f for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
-        roles = column_roles(name, df.columns)
+        roles = column_roles(name, df.schema)
         aggregates = [F.count(F.lit(1)).alias("_rows")]
         for i, f in enumerate(scalar):
             text = F.nullif(F.col(f.name).cast("string"), F.lit(""))
@@ -798,7 +775,7 @@ def data_dictionary(tables: Mapping[str, DataFrame]) -> DataFrame:
                 F.lit(name).alias("table_name"),
                 F.lit(f.name).alias("field_name"),
                 F.lit(TYPE_NAMES.get(f.dataType.simpleString(), "string")).alias("data_type"),
-                F.lit(TABLE_SOURCES.get(name, "validation")).alias("source_domain"),
+                F.lit(sources.get(name, "")).alias("source"),
                 F.lit(roles[f.name]).alias("field_role"),
                 F.coalesce(F.col(f"_e{i}"), F.lit("")).alias("example_value"),
                 F.col(f"_n{i}").alias("blank_count"),

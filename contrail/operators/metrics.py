@@ -294,6 +294,18 @@ def select_champion(
     )
 
 
+def model_registry(metrics: DataFrame, champion: DataFrame) -> DataFrame:
+    """The candidates with their validation scores, and which one is published; as many rows as models."""
+    won = champion.select(F.col("champion_model_id").alias("model_id"), F.lit(True).alias("_won"))
+    return metrics.join(F.broadcast(won), "model_id", "left").withColumn("published", F.coalesce("_won", F.lit(False))).drop("_won")
+
+
+def published_rows(candidates: DataFrame, registry: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """Of the rows of all candidates those of the published model; the plan is the same whichever won."""
+    chosen = registry.where("published").select("model_id", "model_role", *extra)
+    return candidates.drop("model_role").join(F.broadcast(chosen), "model_id")
+
+
 def forecast_tie_breakers() -> list[Column]:
     return [F.abs("bias").alias("t1"), F.col("mae").alias("t2")]
 

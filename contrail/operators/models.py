@@ -169,13 +169,13 @@ def interval_bounds(df: DataFrame, quantiles: DataFrame, levels: Sequence[int] =
     return out.drop("_w")
 
 
-def forecast_table(df: DataFrame, model_id: str, model_role: str, run_id: str) -> DataFrame:
-    """The published forecast: bounds, errors and percentage error."""
+def forecast_table(df: DataFrame, run_id: str) -> DataFrame:
+    """The published forecast of the model named in each row: bounds, errors and percentage error."""
     signed = F.col("forecast_passengers") - F.col("target")
     return df.select(
         F.lit(run_id).alias("forecast_run_id"),
-        F.lit(model_id).alias("model_id"),
-        F.lit(model_role).alias("model_role"),
+        "model_id",
+        "model_role",
         "flight_id",
         "route_id",
         "operating_date",
@@ -209,17 +209,15 @@ def forecast_adjustments(forecast: DataFrame) -> DataFrame:
 
 def delay_predictions_table(
     df: DataFrame,
-    threshold: float,
     run_id: str,
-    model_id: str,
     bands: Sequence[tuple[float, float, str]] = DELAY_BANDS,
 ) -> DataFrame:
-    """The published delay predictions with flag and risk band."""
+    """The published delay predictions of the model and threshold named in each row, with flag and risk band."""
     p = F.col("probability")
     extra = ("weather_exposure_flag", "airport_event_exposure_flag", "partition", "prediction_cutoff_utc")
     return df.select(
         F.lit(run_id).alias("delay_run_id"),
-        F.lit(model_id).alias("model_id"),
+        "model_id",
         "flight_id",
         "route_id",
         "origin_airport",
@@ -227,7 +225,7 @@ def delay_predictions_table(
         "operating_date",
         "scheduled_departure_utc",
         F.round(p + 1e-10, 6).alias("delay_probability"),
-        F.when(p >= threshold, 1).otherwise(0).alias("predicted_delay_flag"),
+        F.when(p >= F.col("threshold"), 1).otherwise(0).alias("predicted_delay_flag"),
         band_case(p, bands).alias("risk_band"),
         "estimated_delay_minutes",
         F.col("target").alias("actual_delay_flag"),

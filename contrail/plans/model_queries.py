@@ -241,9 +241,18 @@ def capacity_clamp(t: Tables) -> DataFrame:
     return naive_forecast(t).select("flight_id", "forecast_passengers", changed)
 
 
+FORECAST_SCORES = """SELECT model_id, wape FROM (
+  SELECT 'seasonal_naive' AS model_id, sum(abs(forecast - target)) / sum(target) AS wape FROM forecast_rows WHERE part = 'validation'
+  UNION ALL SELECT 'historical_mean', sum(abs(round_even(least(mean_raw, seat_capacity * 1.08e0), 0) - target)) / sum(target) FROM forecast_rows WHERE part = 'validation')"""
+sql_part("forecast_champion", f"{FORECAST_SCORES} ORDER BY wape, model_id LIMIT 1")
+sql_part(
+    "champion_rows",
+    """SELECT * EXCLUDE (raw), raw AS chosen_raw, round_even(least(greatest(0.0e0, raw), seat_capacity * 1.08e0), 0) AS chosen, abs(least(greatest(0.0e0, raw), seat_capacity * 1.08e0) - raw) > 0.0001 AS moved
+       FROM (SELECT f.*, c.model_id, CASE c.model_id WHEN 'seasonal_naive' THEN naive_raw ELSE mean_raw END AS raw FROM forecast_rows f, forecast_champion c)""",
+)
 sql_part(
     "validation_residuals",
-    "SELECT *, row_number() OVER (ORDER BY res) - 1 AS i, count(*) OVER () AS n FROM (SELECT abs(forecast - target) AS res FROM forecast_rows WHERE part = 'validation')",
+    "SELECT *, row_number() OVER (ORDER BY res) - 1 AS i, count(*) OVER () AS n FROM (SELECT abs(chosen - target) AS res FROM champion_rows WHERE part = 'validation')",
 )
 sql_part(
     "widths",
@@ -251,8 +260,36 @@ sql_part(
 )
 
 
+def forecast_candidates(t: Tables) -> DataFrame:
+    """The forecasts of the baselines, stacked."""
+    made = {"seasonal_naive": naive_forecast(t), "historical_mean": mean_forecast(t)}
+    named = [df.withColumns({"model_id": F.lit(m), "model_role": F.lit("baseline")}) for m, df in made.items()]
+    return named[0].unionByName(named[1])
+
+
+def forecast_registry(t: Tables) -> DataFrame:
+    """Validation scores of the forecast models and the one published."""
+
+    def build(t: Tables) -> DataFrame:
+        validation = forecast_candidates(t).filter("partition = 'validation'")
+        metrics = materialize(M.forecast_metrics(validation, ("model_id", "model_role"), actual="target"), "scores")
+        return M.model_registry(metrics, M.select_champion(metrics, "wape", maximize=False, tie_breakers=M.forecast_tie_breakers()))
+
+    return t.written_stage("forecast_registry", build)
+
+
+def champion_forecast(t: Tables) -> DataFrame:
+    return t.stage("champion_forecast", lambda t: M.published_rows(forecast_candidates(t), forecast_registry(t)))
+
+
+@query("forecast_registry", f"SELECT model_id, round(wape, 6) AS wape, CASE WHEN model_id = (SELECT model_id FROM forecast_champion) THEN 'yes' ELSE 'no' END AS published FROM ({FORECAST_SCORES})")
+def forecast_registry_query(t: Tables) -> DataFrame:
+    published = F.when(F.col("published"), "yes").otherwise("no").alias("published")
+    return forecast_registry(t).select("model_id", F.round("wape", 6).alias("wape"), published)
+
+
 def quantiles(t: Tables) -> DataFrame:
-    validation = naive_forecast(t).filter("partition = 'validation'")
+    validation = champion_forecast(t).filter("partition = 'validation'")
     return ML.residual_quantiles(validation, F.abs(F.col("forecast_passengers") - F.col("target")), (0.8, 0.95))
 
 
@@ -262,8 +299,8 @@ def residual_quantiles(t: Tables) -> DataFrame:
 
 
 def published_forecast(t: Tables) -> DataFrame:
-    bounded = ML.interval_bounds(naive_forecast(t).filter("partition = 'test'"), quantiles(t))
-    return ML.forecast_table(bounded, "seasonal_naive", "baseline", "forecast-run")
+    bounded = ML.interval_bounds(champion_forecast(t).filter("partition = 'test'"), quantiles(t))
+    return ML.forecast_table(bounded, "forecast-run")
 
 
 def stored_forecast(t: Tables) -> DataFrame:
@@ -272,9 +309,9 @@ def stored_forecast(t: Tables) -> DataFrame:
 
 sql_part(
     "published",
-    """SELECT flight_id, route_id, operating_date, observation_date, target, naive_raw, forecast, seat_capacity, changed, forecast - target AS signed,
-              greatest(0.0e0, round_even(forecast - w80, 0)) AS lo80, greatest(forecast, round_even(forecast + w80, 0)) AS hi80, greatest(0.0e0, round_even(forecast - w95, 0)) AS lo95, greatest(forecast, round_even(forecast + w95, 0)) AS hi95
-       FROM forecast_rows, widths WHERE part = 'test'""",
+    """SELECT flight_id, route_id, operating_date, observation_date, target, model_id, chosen_raw, chosen AS forecast, seat_capacity, moved AS changed, chosen - target AS signed,
+              greatest(0.0e0, round_even(chosen - w80, 0)) AS lo80, greatest(chosen, round_even(chosen + w80, 0)) AS hi80, greatest(0.0e0, round_even(chosen - w95, 0)) AS lo95, greatest(chosen, round_even(chosen + w95, 0)) AS hi95
+       FROM champion_rows, widths WHERE part = 'test'""",
 )
 
 
@@ -290,12 +327,13 @@ def interval_bounds(t: Tables) -> DataFrame:
 
 @query(
     "forecast_table",
-    """SELECT flight_id, route_id, cast(operating_date AS varchar) AS operating_date, target AS actual_passengers, round(1e-10 + naive_raw, 4) AS raw_forecast_passengers, forecast AS forecast_passengers, round_even(seat_capacity * 1.08e0, 0) AS allowed_capacity,
+    """SELECT flight_id, model_id, route_id, cast(operating_date AS varchar) AS operating_date, target AS actual_passengers, round(1e-10 + chosen_raw, 4) AS raw_forecast_passengers, forecast AS forecast_passengers, round_even(seat_capacity * 1.08e0, 0) AS allowed_capacity,
               abs(signed) AS absolute_error, signed AS signed_error, round(1e-10 + abs(signed) / target, 6) AS percentage_error FROM published""",
 )
 def forecast_table(t: Tables) -> DataFrame:
     return stored_forecast(t).select(
         "flight_id",
+        "model_id",
         "route_id",
         F.col("operating_date").cast("string").alias("operating_date"),
         "actual_passengers",
@@ -310,7 +348,7 @@ def forecast_table(t: Tables) -> DataFrame:
 
 @query(
     "forecast_adjustments",
-    "SELECT flight_id, round(1e-10 + naive_raw, 4) AS raw_forecast, forecast, CASE WHEN changed THEN 'yes' ELSE 'no' END AS constraint_applied FROM published",
+    "SELECT flight_id, round(1e-10 + chosen_raw, 4) AS raw_forecast, forecast, CASE WHEN changed THEN 'yes' ELSE 'no' END AS constraint_applied FROM published",
 )
 def forecast_adjustments(t: Tables) -> DataFrame:
     changed = F.when(F.col("constraint_applied"), "yes").otherwise("no").alias("constraint_applied")
@@ -360,21 +398,10 @@ def load_factor_band(t: Tables) -> DataFrame:
     )
 
 
-@query(
-    "select_champion_forecast",
-    """SELECT model_id AS champion_model_id, round(1e-10 + wape, 6) AS champion_score FROM (
-         SELECT 'seasonal_naive' AS model_id, sum(abs(forecast - target)) / sum(target) AS wape FROM forecast_rows WHERE part = 'validation'
-         UNION ALL SELECT 'historical_mean', sum(abs(round_even(least(mean_raw, seat_capacity * 1.08e0), 0) - target)) / sum(target) FROM forecast_rows WHERE part = 'validation')
-       ORDER BY wape, model_id LIMIT 1""",
-)
+@query("select_champion_forecast", "SELECT model_id AS champion_model_id, round(1e-10 + wape, 6) AS champion_score FROM forecast_champion")
 def select_champion_forecast(t: Tables) -> DataFrame:
-    def validated(df: DataFrame, model: str) -> DataFrame:
-        found = M.forecast_metrics(df.filter("partition = 'validation'"), actual="target")
-        return found.withColumns({"model_id": F.lit(model), "model_role": F.lit("baseline")})
-
-    metrics = validated(naive_forecast(t), "seasonal_naive").unionByName(validated(mean_forecast(t), "historical_mean"))
-    best = M.select_champion(metrics, "wape", maximize=False, tie_breakers=M.forecast_tie_breakers())
-    return best.select("champion_model_id", r6("champion_score"))
+    chosen = forecast_registry(t).where("published")
+    return chosen.select(F.col("model_id").alias("champion_model_id"), r6("champion_score", F.col("wape")))
 
 
 # ---------------------------------------------------------------- delay rows
@@ -590,9 +617,35 @@ def estimate_delay_minutes(t: Tables) -> DataFrame:
     return ML.estimate_delay_minutes(rated(t), delay_train(t)).select("flight_id", "estimated_delay_minutes")
 
 
+THRESHOLDS = (0.3, 0.4, 0.5, 0.6, 0.7)
+
+
+def delay_candidates(t: Tables) -> DataFrame:
+    """The probabilities of the baselines, stacked."""
+    made = {"route_historical_rate_baseline": rated(t), "majority_class_baseline": ML.model_majority(split_delays(t), delay_train(t))}
+    named = [df.withColumns({"model_id": F.lit(m), "model_role": F.lit("baseline")}) for m, df in made.items()]
+    return named[0].unionByName(named[1].select(*named[0].columns))
+
+
+def delay_registry(t: Tables) -> DataFrame:
+    """Validation scores of the delay models, the one published and its threshold."""
+
+    def build(t: Tables) -> DataFrame:
+        validation = delay_candidates(t).filter("partition = 'validation'")
+        metrics = materialize(M.evaluate_classifier(validation, 0.5, ("model_id", "model_role"), pr_ties="grouped"), "scores")
+        best = M.select_champion(metrics, "pr_auc", maximize=True, tie_breakers=M.delay_tie_breakers())
+        registry = materialize(M.model_registry(metrics, best), "registry")
+        own = M.published_rows(validation, registry)
+        chosen = M.select_threshold(M.threshold_grid(own, THRESHOLDS)).select("threshold").first()["threshold"]
+        return registry.withColumn("threshold", F.lit(float(chosen)))
+
+    return t.written_stage("delay_registry", build)
+
+
 def published_delays(t: Tables) -> DataFrame:
-    test = ML.estimate_delay_minutes(rated(t).filter("partition = 'test'"), delay_train(t))
-    return ML.delay_predictions_table(test, 0.9, "delay-run", "route_historical_rate_baseline")
+    rows = M.published_rows(delay_candidates(t), delay_registry(t), ("threshold",))
+    test = ML.estimate_delay_minutes(rows.filter("partition = 'test'"), delay_train(t))
+    return ML.delay_predictions_table(test, "delay-run")
 
 
 def stored_delays(t: Tables) -> DataFrame:
@@ -600,18 +653,27 @@ def stored_delays(t: Tables) -> DataFrame:
 
 
 sql_part(
-    "published_delays",
-    """SELECT *, round(1e-10 + probability, 6) AS p, CASE WHEN probability >= 0.9 THEN 1 ELSE 0 END AS predicted, CASE WHEN probability <= 0.3 THEN 'low' WHEN probability <= 0.6 THEN 'medium' ELSE 'high' END AS band FROM rated_rows WHERE part = 'test'""",
+    "delay_candidates",
+    """SELECT 'route_historical_rate_baseline' AS model_id, * FROM rated_rows
+       UNION ALL BY NAME SELECT 'majority_class_baseline' AS model_id, * EXCLUDE (probability), (SELECT avg(target) FROM delay_split WHERE part = 'train') AS probability FROM rated_rows""",
+)
+sql_part(
+    "delay_model_scores",
+    """SELECT model_id, sum(p * tp / n) / sum(p) AS pr_auc FROM (
+         SELECT model_id, sum(target) AS p, sum(sum(target)) OVER (PARTITION BY model_id ORDER BY probability DESC) AS tp, sum(count(*)) OVER (PARTITION BY model_id ORDER BY probability DESC) AS n
+         FROM delay_candidates WHERE part = 'validation' GROUP BY model_id, probability) GROUP BY model_id""",
 )
+sql_part("delay_champion", "SELECT model_id FROM delay_model_scores ORDER BY pr_auc DESC, model_id LIMIT 1")
 
 
 @query(
     "delay_predictions_table",
-    "SELECT flight_id, p AS delay_probability, predicted AS predicted_delay_flag, band AS risk_band, target AS actual_delay_flag, delay_minutes AS actual_delay_minutes FROM published_delays",
+    "SELECT flight_id, model_id, p AS delay_probability, predicted AS predicted_delay_flag, band AS risk_band, target AS actual_delay_flag, delay_minutes AS actual_delay_minutes FROM published_delays",
 )
 def delay_predictions_table(t: Tables) -> DataFrame:
     return stored_delays(t).select(
         "flight_id",
+        "model_id",
         "delay_probability",
         "predicted_delay_flag",
         "risk_band",
@@ -659,21 +721,38 @@ def confusion_metrics(t: Tables) -> DataFrame:
     return found.select("origin_airport", *COUNTS, *[r6(c) for c in RATIOS])
 
 
-GRID_SQL = ratios_sql(
-    f"SELECT threshold, {CONFUSION_SQL} FROM (SELECT v.threshold, target, probability >= v.threshold AS hit FROM predictions, (VALUES (0.3e0), (0.4e0), (0.5e0), (0.6e0), (0.7e0)) AS v(threshold)) GROUP BY threshold",
-    "threshold",
+def grid_sql(source: str) -> str:
+    return ratios_sql(
+        f"SELECT threshold, {CONFUSION_SQL} FROM (SELECT v.threshold, target, probability >= v.threshold AS hit FROM {source}, (VALUES (0.3e0), (0.4e0), (0.5e0), (0.6e0), (0.7e0)) AS v(threshold)) GROUP BY threshold",
+        "threshold",
+    )
+
+
+GRID_SQL = grid_sql("predictions")
+BEST_THRESHOLD = "ORDER BY f1 DESC, recall DESC, precision DESC, abs(threshold - 0.5), threshold LIMIT 1"
+sql_part("chosen_delays", "SELECT * FROM delay_candidates WHERE model_id = (SELECT model_id FROM delay_champion)")
+sql_part("delay_threshold", f"SELECT threshold FROM ({grid_sql('(SELECT * FROM chosen_delays WHERE part = ' + repr('validation') + ')')}) {BEST_THRESHOLD}")
+sql_part(
+    "published_delays",
+    """SELECT *, round(1e-10 + probability, 6) AS p, CASE WHEN probability >= (SELECT threshold FROM delay_threshold) THEN 1 ELSE 0 END AS predicted, CASE WHEN probability <= 0.3 THEN 'low' WHEN probability <= 0.6 THEN 'medium' ELSE 'high' END AS band FROM chosen_delays WHERE part = 'test'""",
 )
 
 
+@query("delay_registry", "SELECT model_id, round(pr_auc, 6) AS pr_auc, CASE WHEN model_id = (SELECT model_id FROM delay_champion) THEN 'yes' ELSE 'no' END AS published, (SELECT threshold FROM delay_threshold) AS threshold FROM delay_model_scores")
+def delay_registry_query(t: Tables) -> DataFrame:
+    published = F.when(F.col("published"), "yes").otherwise("no").alias("published")
+    return delay_registry(t).select("model_id", F.round("pr_auc", 6).alias("pr_auc"), published, "threshold")
+
+
 @query("threshold_grid", GRID_SQL)
 def threshold_grid(t: Tables) -> DataFrame:
-    grid = M.threshold_grid(t.predictions, (0.3, 0.4, 0.5, 0.6, 0.7))
+    grid = M.threshold_grid(t.predictions, THRESHOLDS)
     return grid.select("threshold", *COUNTS, *[r6(c) for c in RATIOS])
 
 
-@query("select_threshold", f"SELECT threshold, f1 FROM ({GRID_SQL}) ORDER BY f1 DESC, recall DESC, precision DESC, abs(threshold - 0.5), threshold LIMIT 1")
+@query("select_threshold", f"SELECT threshold, f1 FROM ({GRID_SQL}) {BEST_THRESHOLD}")
 def select_threshold(t: Tables) -> DataFrame:
-    grid = M.threshold_grid(t.predictions, (0.3, 0.4, 0.5, 0.6, 0.7))
+    grid = M.threshold_grid(t.predictions, THRESHOLDS)
     return M.select_threshold(grid).select("threshold", r6("f1"))
 
 

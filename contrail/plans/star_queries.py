@@ -454,13 +454,173 @@ def star_tables(t: Tables) -> dict[str, DataFrame]:
     }
 
 
-@query("star_quality_checks")
-def star_quality_checks(t: Tables) -> DataFrame:
-    tables = star_tables(t)
-    return S.star_quality_checks(tables, S.data_dictionary(tables))
+# What SQL expects of the dictionary: the columns of each table with the first letters of their type and role.
+PERFORMANCE_COLUMNS = "flight_count:im cancelled_flight_count:im average_departure_delay:nm average_disruption_score:nm high_disruption_count:im"
+KPI_COLUMNS = "metric_name:sa metric_value:nm metric_text:sa numerator:nm denominator:nm status:sa threshold:nm source_domain:sa"
+STAR_COLUMNS = {
+    "airport_performance_summary": (
+        "airport_code:sa departure_flight_count:im arrival_flight_count:im average_departure_delay:nm "
+        "cancelled_flight_count:im"
+    ),
+    "dim_aircraft": "aircraft_key:sa aircraft_id:sk aircraft_type:sa seat_capacity:ia",
+    "dim_airport": "airport_key:sa airport_code:sk airport_name:sa country_code:sa",
+    "dim_date": "date:sk year:ia month:ia day:ia day_of_week:ia month_name:sa quarter:ia source_domain:sa",
+    "dim_disruption_driver": "disruption_driver_key:sa primary_disruption_driver:sk driver_category:sa",
+    "dim_risk_band": "risk_band_key:sa risk_band:sk risk_rank:ia",
+    "dim_route": "route_key:sa route_id:sk origin_airport:sa destination_airport:sa",
+    "dim_service_type": "service_type_key:sa service_type:sk service_category:sa",
+    "fact_assistant_response": "assistant_run_id:sk intent:sa section_order:ik section_title:sa content:sa guardrail_status:sa",
+    "fact_delay_prediction": (
+        "flight_id:sk route_id:sr operating_date:sr delay_probability:nm predicted_delay_flag:ba risk_band:sa "
+        "estimated_delay_minutes:nm actual_delay_flag:ba actual_delay_minutes:nm partition:sa"
+    ),
+    "fact_disruption_score": (
+        "flight_id:sk route_id:sr operating_date:sr disruption_severity_score:nm forward_disruption_risk_score:nm "
+        "retrospective_disruption_score:nm disruption_risk_band:sr recovery_priority:sa "
+        "primary_disruption_driver:sr weather_component_score:nm delay_component_score:nm crew_component_score:nm "
+        "aircraft_health_component_score:nm human_review_required:ba"
+    ),
+    "fact_flight_operations": (
+        "flight_id:sk flight_number:sa operating_date:sr scheduled_departure_utc:sa origin_airport:sr "
+        "destination_airport:sr route_id:sr aircraft_id:sr aircraft_type:sa seat_capacity:im "
+        "departure_delay_minutes:nm arrival_delay_minutes:nm cancelled_flag:ba diverted_flag:ba "
+        "primary_delay_cause:sa reactionary_delay_minutes:nm"
+    ),
+    "fact_maintenance_risk": (
+        "flight_id:sk aircraft_id:sr aircraft_type:sa maintenance_risk_score:nm aircraft_health_score:nm "
+        "risk_band:sa alert_category:sa human_review_required:ba"
+    ),
+    "fact_monitoring_alert": "monitoring_alert_id:sk monitoring_domain:sa severity:sa status:sa message:sa",
+    "fact_monitoring_metric": "monitoring_domain:sk metric_name:sk metric_value:nm status:sa severity:sa",
+    "fact_passenger_demand": (
+        "flight_id:sa observation_date:sa operating_date:sa route_id:sa days_before_departure:im "
+        "booked_passengers:im expected_final_passengers:im seat_capacity:im load_factor:nm booking_velocity:nm"
+    ),
+    "fact_passenger_forecast": (
+        "flight_id:sa route_id:sr operating_date:sr forecast_passengers:im forecast_lower_80:im "
+        "forecast_upper_80:im actual_passengers:nm forecast_load_factor:nm absolute_error:nm partition:sa"
+    ),
+    "route_performance_summary": "route_id:sa " + PERFORMANCE_COLUMNS,
+    "aircraft_performance_summary": "aircraft_id:sa " + PERFORMANCE_COLUMNS,
+    "daily_operations_summary": "operating_date:sa " + PERFORMANCE_COLUMNS,
+    **{f"kpi_{name}_summary": KPI_COLUMNS for name in ("data_quality", "delay", "demand", "disruption", "executive", "maintenance", "monitoring", "operations")},
+}
+AIRPORTS = "SELECT origin_airport FROM flight_schedule UNION SELECT destination_airport FROM flight_schedule"
+STAR_COUNTS = {
+    "dim_aircraft": "SELECT count(*) FROM (SELECT aircraft_id FROM flight_schedule UNION SELECT aircraft_id FROM aircraft_health)",
+    "dim_airport": f"SELECT count(*) FROM ({AIRPORTS})",
+    "airport_performance_summary": f"SELECT count(*) FROM ({AIRPORTS})",
+    "dim_date": "SELECT date_diff('day', min(operating_date), max(operating_date)) + 1 FROM flight_schedule",
+    "dim_disruption_driver": "SELECT count(DISTINCT driver) FROM scores",
+    "dim_risk_band": "SELECT count(*) FROM (SELECT band FROM scores UNION SELECT * FROM (VALUES ('low'), ('medium'), ('high'), ('severe')))",
+    "dim_route": "SELECT count(DISTINCT route_id) FROM flight_schedule",
+    "dim_service_type": "SELECT count(DISTINCT service_type) FROM flight_schedule",
+    "route_performance_summary": "SELECT count(DISTINCT route_id) FROM flight_schedule",
+    "aircraft_performance_summary": "SELECT count(DISTINCT aircraft_id) FROM flight_schedule",
+    "daily_operations_summary": "SELECT count(DISTINCT operating_date) FROM flight_schedule",
+    "fact_assistant_response": "SELECT 3 * (SELECT count(*) FROM requests) + count(*) FROM ranked_rows",
+    "fact_delay_prediction": "SELECT count(*) FROM published_delays",
+    "fact_disruption_score": "SELECT count(*) FROM scores",
+    "fact_flight_operations": "SELECT count(*) FROM ops",
+    "fact_maintenance_risk": "SELECT count(*) FROM flight_risk WHERE rn = 1",
+    "fact_monitoring_alert": "SELECT count(*) FROM mon_alerts",
+    "fact_monitoring_metric": "SELECT count(*) FROM metric_fact",
+    "fact_passenger_demand": "SELECT count(*) FROM passenger_demand",
+    "fact_passenger_forecast": "SELECT count(*) FROM published",
+    "kpi_data_quality_summary": "SELECT 2", "kpi_delay_summary": "SELECT 5", "kpi_demand_summary": "SELECT 3", "kpi_disruption_summary": "SELECT 4",
+    "kpi_executive_summary": "SELECT 8", "kpi_maintenance_summary": "SELECT 4", "kpi_monitoring_summary": "SELECT 6", "kpi_operations_summary": "SELECT 3",
+}
+# Blank values: causes of flights that have none, guardrails that did not run, and what a KPI has no part, text or limit for.
+STAR_BLANKS = {
+    "fact_flight_operations.primary_delay_cause": "SELECT count(*) FROM ops WHERE cause = ''",
+    "fact_assistant_response.guardrail_status": STAR_COUNTS["fact_assistant_response"],
+    **{
+        f"kpi_{name}_summary.{column}": f"SELECT {n}"
+        for name, blanks in {
+            "data_quality": (0, 2, 1, 1, 1), "delay": (0, 5, 3, 0, 3), "demand": (0, 3, 3, 0, 3), "disruption": (1, 3, 4, 1, 4),
+            "executive": (1, 7, 3, 2, 5), "maintenance": (0, 4, 4, 0, 3), "monitoring": (1, 5, 2, 1, 5), "operations": (0, 3, 0, 0, 3),
+        }.items()
+        for column, n in zip(("metric_value", "metric_text", "numerator", "denominator", "threshold"), blanks, strict=True)
+    },
+}
+
+
+def dictionary_sql() -> str:
+    types = {"s": "string", "i": "integer", "n": "number", "b": "boolean"}
+    roles = {"a": "attribute", "m": "measure", "k": "key", "r": "reference"}
+    counts = "\nUNION ALL ".join(f"SELECT '{t}' AS table_name, ({sql}) AS row_count" for t, sql in STAR_COUNTS.items())
+    blanks = "\nUNION ALL ".join(f"SELECT '{k}' AS column_name, ({sql}) AS n" for k, sql in STAR_BLANKS.items())
+    fields = ", ".join(
+        f"('{t}', '{name}', '{types[kind[0]]}', '{roles[kind[1]]}')"
+        for t, columns in STAR_COLUMNS.items()
+        for name, kind in (c.split(":") for c in columns.split())
+    )
+    return f"""SELECT f.table_name, field_name, data_type, field_role, cast(coalesce(b.n, 0) AS bigint) AS blank_count, cast(c.row_count AS bigint) AS row_count
+      FROM (VALUES {fields}) AS f(table_name, field_name, data_type, field_role) JOIN ({counts}) c ON c.table_name = f.table_name
+      LEFT JOIN ({blanks}) b ON b.column_name = f.table_name || '.' || field_name"""
 
 
-@query("data_dictionary")
+@query("data_dictionary", dictionary_sql())
 def data_dictionary(t: Tables) -> DataFrame:
     """Every column of every star table."""
-    return S.data_dictionary(star_tables(t)).drop("source", "approximate_distinct")
+    columns = ("table_name", "field_name", "data_type", "field_role", "blank_count", "row_count")
+    return S.data_dictionary(star_tables(t)).select(*columns)
+
+
+def gate(rule: str, source: str, passes: str = "n = 0") -> str:
+    return f"SELECT '{rule}' AS rule_id, CASE WHEN {passes} THEN 'passed' ELSE 'failed' END AS status, cast(n AS bigint) AS observed_value FROM ({source})"
+
+
+def repeated(source: str, keys: str) -> str:
+    return f"SELECT count(*) AS n FROM (SELECT {keys} FROM {source} GROUP BY {keys} HAVING count(*) > 1)"
+
+
+def lost(source: str, column: str, known: str) -> str:
+    return f"SELECT count(*) AS n FROM {source} WHERE {column} IS NOT NULL AND {column} NOT IN ({known})"
+
+
+ROUTES, AIRCRAFT = "SELECT route_id FROM flight_schedule", "SELECT aircraft_id FROM flight_schedule UNION SELECT aircraft_id FROM aircraft_health"
+DAYS = "SELECT cast(unnest(generate_series(min(operating_date), max(operating_date), interval '1' day)) AS date) FROM flight_schedule"
+GATES_SQL = "\nUNION ALL ".join((
+    *[
+        gate(f"TABLE-{name}", "SELECT 1 AS n", "n = 1")
+        for name in STAR_COLUMNS
+        if name not in ("fact_assistant_response", "fact_delay_prediction", "fact_maintenance_risk", "fact_passenger_forecast")
+    ],
+    gate("PK-dim_date", repeated(f"({DAYS}) AS x(d)", "d")),
+    gate("PK-dim_airport", repeated(f"({AIRPORTS}) AS x(a)", "a")),
+    gate("PK-dim_route", repeated("(SELECT DISTINCT route_id FROM flight_schedule)", "route_id")),
+    gate("PK-dim_aircraft", repeated(f"({AIRCRAFT})", "aircraft_id")),
+    gate("PK-dim_service_type", repeated("(SELECT DISTINCT service_type FROM flight_schedule)", "service_type")),
+    gate("PK-dim_risk_band", repeated("(SELECT DISTINCT band FROM scores)", "band")),
+    gate("PK-dim_disruption_driver", repeated("(SELECT DISTINCT driver FROM scores)", "driver")),
+    gate("PK-fact_flight_operations", repeated("ops", "flight_id")),
+    gate("PK-fact_disruption_score", repeated("scores", "flight_id")),
+    gate("PK-fact_maintenance_risk", repeated("(SELECT flight_id FROM flight_risk WHERE rn = 1)", "flight_id")),
+    gate("PK-fact_delay_prediction", repeated("published_delays", "flight_id")),
+    gate("PK-fact_monitoring_metric", repeated("metric_fact", "monitoring_domain, metric_name")),
+    gate("PK-fact_monitoring_alert", repeated("mon_alerts", "monitoring_alert_id")),
+    gate("PK-fact_assistant_response", repeated("ranked_rows", "request_id, rank")),
+    gate("FK-route", lost("ops", "route_id", ROUTES)),
+    gate("FK-aircraft", lost("ops", "aircraft_id", AIRCRAFT)),
+    gate("FK-origin", lost("ops", "origin_airport", AIRPORTS)),
+    gate("FK-destination", lost("ops", "destination_airport", AIRPORTS)),
+    gate("FK-date", lost("ops", "operating_date", DAYS)),
+    gate("FK-score-route", lost("scores", "route_id", ROUTES)),
+    gate("FK-score-date", lost("scores", "operating_date", DAYS)),
+    gate("FK-score-band", lost("scores", "band", "SELECT * FROM (VALUES ('low'), ('medium'), ('high'), ('severe')) UNION SELECT band FROM scores")),
+    gate("FK-score-driver", lost("scores", "driver", "SELECT driver FROM scores")),
+    gate("FK-delay-route", lost("published_delays", "route_id", ROUTES)),
+    gate("FK-delay-date", lost("published_delays", "operating_date", DAYS)),
+    gate("FK-forecast-route", lost("published", "route_id", ROUTES)),
+    gate("FK-forecast-date", lost("published", "operating_date", DAYS)),
+    gate("FK-risk-aircraft", lost("(SELECT aircraft_id FROM flight_risk WHERE rn = 1)", "aircraft_id", AIRCRAFT)),
+    gate("VALUES-finite", "SELECT count(*) AS n FROM scores WHERE NOT isfinite(score)"),
+    gate("DICTIONARY-coverage", "SELECT 0 AS n"),
+))
+
+
+@query("star_quality_checks", GATES_SQL)
+def star_quality_checks(t: Tables) -> DataFrame:
+    tables = star_tables(t)
+    return S.star_quality_checks(tables, S.data_dictionary(tables))

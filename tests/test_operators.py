@@ -25,6 +25,7 @@ from contrail.operators import quality as Q
 from contrail.operators import ranks as K
 from contrail.operators import rules as R
 from contrail.operators import running as RN
+from contrail.operators import star as S
 from contrail.operators import telemetry as T
 from contrail.operators.findings import rule_findings
 from contrail.operators.intervals import interval_exposure
@@ -672,3 +673,36 @@ def test_baseline_is_the_latest_earlier_run_on_other_input(spark, tmp_path):
     drift = {r.metric_name: (r.relative_change, r.status) for r in MON.drift_compare(metrics(3.75), found).collect()}
     assert drift == {"m": (0.5, "failed"), "zero": (0.0, "passed")}
     assert MON.input_identity(spark.range(5)) == MON.input_identity(spark.range(5).repartition(3)) != MON.input_identity(spark.range(6))
+
+
+# ---------------------------------------------------------------- star schema
+
+
+def test_dictionary_profiles_every_column_and_names_its_role(spark):
+    flights = spark.createDataFrame(
+        [("f2", "A-B", 3.5, ""), ("f1", "A-B", None, "fog"), ("f3", "B-A", 1.0, None)],
+        "flight_id string, route_id string, departure_delay_minutes double, primary_delay_cause string",
+    )
+    routes = spark.createDataFrame([("A-B", 7)], "route_id string, rank int")
+    found = {
+        (r.table_name, r.field_name): r
+        for r in S.data_dictionary({"fact_flight_operations": flights, "dim_route": routes}, {"dim_route": "flights"}).collect()
+    }
+    assert len(found) == 6
+    cause = found["fact_flight_operations", "primary_delay_cause"]
+    assert (cause.data_type, cause.field_role, cause.example_value, cause.blank_count, cause.row_count) == ("string", "attribute", "fog", 2, 3)
+    roles = {k[1]: r.field_role for k, r in found.items() if k[0] == "fact_flight_operations"}
+    assert roles == {"flight_id": "key", "route_id": "reference", "departure_delay_minutes": "measure", "primary_delay_cause": "attribute"}
+    assert found["dim_route", "rank"].field_role == "attribute" and found["dim_route", "route_id"].source == "flights"
+    assert found["fact_flight_operations", "route_id"].approximate_distinct == 2
+
+
+def test_published_rows_follow_the_registry(spark):
+    rows = spark.createDataFrame([("a", 1, "x"), ("b", 2, "x"), ("a", 3, "x")], "model_id string, v int, model_role string")
+    metrics = spark.createDataFrame([("a", "baseline", 0.3), ("b", "candidate", 0.1)], "model_id string, model_role string, wape double")
+    for margin, want in ((0.0, [2]), (0.9, [1, 3])):
+        best = M.select_champion(metrics, "wape", maximize=False, minimum_improvement=margin)
+        registry = M.model_registry(metrics, best).withColumn("threshold", F.lit(0.4))
+        own = M.published_rows(rows, registry, ("threshold",))
+        assert sorted(r.v for r in own.collect()) == want and {r.threshold for r in own.collect()} == {0.4}
+        assert registry.count() == 2

@@ -150,15 +150,18 @@ def split_counts_guarded(
     return sizes
 
 
-def rows_at(df: DataFrame, order: Sequence[Column], bins: Sequence[Column], places: Sequence[int]) -> list[Column]:
+def _narrow(df: DataFrame, order: Sequence[Column], bins: Sequence[Column]) -> DataFrame:
+    """Stored columns _s0, … (chunk numbers) and _o0, … (the order) of all rows."""
+    chunk = [F.coalesce(b.cast("bigint"), F.lit(BEFORE_ALL)).alias(f"_s{i}") for i, b in enumerate(bins)]
+    return materialize(df.select(*chunk, *[o.alias(f"_o{i}") for i, o in enumerate(order)]), "narrow")
+
+
+def rows_at(narrow: DataFrame, places: Sequence[int]) -> list[Column]:
     """The order of the rows at the given places (from one) in a total order, as struct literals.
 
     Chunk counts find the chunk of each place; only the narrow rows of those chunks are numbered, in pieces of bounded size.
     """
-    names = [f"_s{i}" for i in range(len(bins))]
-    keys = [f"_o{i}" for i in range(len(order))]
-    narrow = df.select(*[F.coalesce(b.cast("bigint"), F.lit(BEFORE_ALL)).alias(n) for b, n in zip(bins, names, strict=True)],
-                       *[o.alias(k) for o, k in zip(order, keys, strict=True)])
+    names, keys = ([c for c in narrow.columns if c.startswith(p)] for p in ("_s", "_o"))
     counted = materialize(narrow.groupBy(*names).agg(F.count(F.lit(1)).alias("_c")), "chunks")
     coarse = [F.col(n) for n in names[:-1]]
     running = prefix_aggregates(counted, [], [F.col(n) for n in names], {"_start": ("sum", F.col("_c"))}, coarse)
@@ -190,8 +193,9 @@ def chronological_split(
     first; every row is then labelled by comparing its order with theirs, without a sort or a shuffle of the table.
     """
     first, second = sizes(F.col("n"))
-    ends = df.agg(F.count(F.lit(1)).alias("n")).select(first.alias("train"), second.alias("until")).first()
-    last_train, last_validation = rows_at(df, order, bins, [int(ends["train"]), int(ends["until"])])
+    narrow = _narrow(df, order, bins)
+    ends = narrow.agg(F.count(F.lit(1)).alias("n")).select(first.alias("train"), second.alias("until")).first()
+    last_train, last_validation = rows_at(narrow, [int(ends["train"]), int(ends["until"])])
     own = F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)])
     return df.withColumn(name, F.when(own <= last_train, "train").when(own <= last_validation, "validation").otherwise("test"))
 

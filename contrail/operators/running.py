@@ -150,11 +150,24 @@ def prefix_aggregates(
         }
     )
     kinds = {name: kind for name, (kind, _) in measures.items()}
-    prepared, bin_names = _cut_crowded(prepared, list(added), list(order), bin_names, "_piece")
-    result = _scan(prepared, list(added), list(order), bin_names, kinds, value_names)
+    chunks = None
+    if bin_names:  # the stored chunk table tells whether a chunk is crowded, and is scanned if none is
+        chunks = materialize(_chunk_table(prepared, list(added), list(order), bin_names, kinds, value_names), "chunks")
+    if chunks is None or (chunks.agg(F.max("_rows")).first()[0] or 0) > CHUNK_ROWS:
+        chunks = None
+        prepared, bin_names = _cut_crowded(prepared, list(added), list(order), bin_names, "_piece")
+    result = _scan(prepared, list(added), list(order), bin_names, kinds, value_names, chunks)
     return result.drop(*added, *bin_names, *value_names.values())
 
 
+def _chunk_table(
+    df: DataFrame, keys: list[str], order: list[Column], bins: list[str], kinds: Mapping[str, str], values: Mapping[str, str]
+) -> DataFrame:
+    """One row for each key and chunk: its partial aggregates and its number of rows."""
+    partial = [_chunk_aggregate(kind, F.col(values[name]), order).alias(f"_p{len(bins)}_{name}") for name, kind in kinds.items()]
+    return df.groupBy(*keys, *bins).agg(*partial, F.count(F.lit(1)).alias("_rows"))
+
+
 def _scan(
     df: DataFrame,
     keys: list[str],
@@ -162,6 +175,7 @@ def _scan(
     bins: list[str],
     kinds: Mapping[str, str],
     values: Mapping[str, str],
+    chunks: DataFrame | None = None,
 ) -> DataFrame:
     if not bins:
         frame = _before(keys, order)
@@ -174,11 +188,8 @@ def _scan(
         )
     carried = {name: f"_c{len(bins)}_{name}" for name in kinds}
     partial = {name: f"_p{len(bins)}_{name}" for name in kinds}
-    chunks = df.groupBy(*keys, *bins).agg(
-        *[_chunk_aggregate(kind, F.col(values[name]), order).alias(partial[name]) for name, kind in kinds.items()]
-    )
     scanned = _scan(
-        chunks,
+        _chunk_table(df, keys, order, bins, kinds, values) if chunks is None else chunks,
         keys,
         [F.col(b) for b in bins],
         bins[:-1],

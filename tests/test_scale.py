@@ -1,10 +1,16 @@
-"""Inputs that only arise in large tables: keys beyond the range of packed numbers."""
+"""Inputs that only arise in large tables: keys beyond the range of packed numbers, crowded cells."""
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
+from random import Random
+
+import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from contrail.operators import intervals
+from contrail.operators.intervals import interval_exposure
 
 
 def write(spark, folder, name, rows, schema):
@@ -25,3 +31,35 @@ def test_row_keys_of_large_orders(spark, tmp_path):
     )
     found = entry.queries()["horizon_pick"](spark, folder).collect()
     assert {int(r["flight_id"][-12:]): r["booked_passengers"] for r in found} == dict.fromkeys(orders, 21)
+
+
+def exposure(points, events):
+    return interval_exposure(
+        points, events, point_id="id", point_ts="at", sides={"a": "a", "b": "b"}, event_key="key", start="s", end="e",
+        measures={"n": ("count", F.lit(1)), "most": ("max", F.col("v")), "least": ("min", F.col("v")), "total": ("sum", F.col("v"))},
+        side_measures={"a_n": ("a", "n")},
+    )
+
+
+@pytest.mark.parametrize("chunk", [1_000_000, 20])
+def test_interval_pieces_and_crowded_cells(spark, monkeypatch, chunk):
+    """Lengths from nothing to years, ends that meet points exactly; with and without cells too crowded to sort."""
+    monkeypatch.setattr(intervals, "CHUNK_ROWS", chunk)
+    draw = Random(7)
+    zero = datetime(2020, 1, 1)
+    tick = lambda: zero + timedelta(minutes=15 * draw.randrange(400))
+    spans = [timedelta(0), timedelta(microseconds=1), timedelta(seconds=7), timedelta(minutes=60), timedelta(minutes=225), timedelta(days=3), timedelta(days=900), timedelta(minutes=-5)]
+    events = [(draw.choice("XYZ"), s := tick(), s + draw.choice(spans), draw.randrange(50)) for _ in range(300)]
+    events += [(None, zero, zero + timedelta(days=1), 5), ("X", None, zero, 5)]
+    points = [(i, tick() + timedelta(microseconds=draw.choice((0, 0, 1, -1))), draw.choice("XYZ"), draw.choice("XYZ")) for i in range(200)]
+    got = exposure(
+        spark.createDataFrame(points, "id int, at timestamp, a string, b string"),
+        spark.createDataFrame(events, "key string, s timestamp, e timestamp, v int"),
+    ).collect()
+    expected = {}
+    for i, at, a, b in points:
+        hit = [(k, v) for k, s, e, v in events if k in (a, b) and s is not None and s <= at <= e]
+        if hit:
+            v = [x for _, x in hit]
+            expected[i] = (len(hit), max(v), min(v), sum(v), sum(k == a for k, _ in hit))
+    assert {r["id"]: (r["n"], r["most"], r["least"], r["total"], r["a_n"]) for r in got} == expected

@@ -61,17 +61,13 @@ def scan_jsonl(t: Tables) -> DataFrame:
     for name in JSON_TABLES:
         contract, path = C.CONTRACTS[name], new_folder(t.spark, f"{name}.jsonl")
         W.write_jsonl(declared(t, name), path)
-        lines = S.scan_jsonl(t.spark, path)
-        objects = lines.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("is_object"), 1)).alias("object_rows"))
+        rows = S.jsonl_columns(S.scan_jsonl(t.spark, path), contract, "is_object")
         key = F.col(contract.primary_key[0])
-        ends = S.jsonl_columns(lines, contract).agg(
-            F.count(F.lit(1)).alias("row_count"), F.min(key).alias("first_key"), F.max(key).alias("last_key")
-        )
-        parts.append(
-            ends.withColumn("object_rows", objects.select("object_rows").scalar()).select(
-                F.lit(name).alias("dataset"), "row_count", "object_rows", "first_key", "last_key"
-            )
-        )
+        found = rows.agg(
+            F.count(F.lit(1)).alias("row_count"), F.count(F.when(F.col("is_object"), 1)).alias("object_rows"),
+            F.min(key).alias("first_key"), F.max(key).alias("last_key"),
+        )
+        parts.append(found.select(F.lit(name).alias("dataset"), "row_count", "object_rows", "first_key", "last_key"))
     return union_all(parts)
 
 

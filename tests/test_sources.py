@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from contrail.operators import normalize as N
 from contrail.sources import contracts as C
 from contrail.sources import readers as S
@@ -118,3 +119,16 @@ def test_row_numbers_are_those_of_the_source(spark, tmp_path):
             assert found == {i + 1: str(i) for i in range(900) if i % 7}
         finally:
             spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_jsonl_objects_are_told_from_other_values(spark, tmp_path):
+    lines = ['{"a": 1}', ' \t{"a": {"b": [2]}}', "[1]", '[{"a": 1}]', '"{"', "{", '{"a": 1', "null", "7", "{}", "a{}"]
+    (tmp_path / "x.jsonl").write_text("\n".join(lines) + "\n")
+    found = {r["line"]: r["is_object"] for r in S.scan_jsonl(spark, str(tmp_path / "x.jsonl")).collect()}
+    assert {line for line, yes in found.items() if yes} == {lines[0], lines[1], "{}"}
+    assert len(found) == len(lines)
+
+
+def test_scan_jsonl_query_reads_each_written_table_once(spark):
+    plan = entry.queries()["scan_jsonl"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert plan.count("] text") == 2

@@ -63,3 +63,22 @@ def test_interval_pieces_and_crowded_cells(spark, monkeypatch, chunk):
             v = [x for _, x in hit]
             expected[i] = (len(hit), max(v), min(v), sum(v), sum(k == a for k, _ in hit))
     assert {r["id"]: (r["n"], r["most"], r["least"], r["total"], r["a_n"]) for r in got} == expected
+
+
+def test_anomaly_score_reads_its_input_twice(spark):
+    """Once for the medians and once for the scores, not again for every pass of the medians."""
+    from contrail.operators.telemetry import robust_anomaly_score
+
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(1000).selectExpr("cast(id AS double) AS a", "cast(id % 7 AS double) AS b").mapInArrow(seen, "a double, b double")
+    scored = robust_anomaly_score(rows, ("a", "b"), "score").collect()
+    assert reads.value == 2000
+    # a: median 499.5, deviation 250; b: median 3, deviation 2
+    expected = {(r["a"], r["b"]): (min(1.0, abs(r["a"] - 499.5) / 250 / 6) + min(1.0, abs(r["b"] - 3) / 2 / 6)) / 2 for r in scored}
+    assert all(abs(r["score"] - expected[r["a"], r["b"]]) < 1e-6 for r in scored)

@@ -82,3 +82,37 @@ def test_anomaly_score_reads_its_input_twice(spark):
     # a: median 499.5, deviation 250; b: median 3, deviation 2
     expected = {(r["a"], r["b"]): (min(1.0, abs(r["a"] - 499.5) / 250 / 6) + min(1.0, abs(r["b"] - 3) / 2 / 6)) / 2 for r in scored}
     assert all(abs(r["score"] - expected[r["a"], r["b"]]) < 1e-6 for r in scored)
+
+
+def shuffled_rows(spark):
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, getattr(store, "stageList$default$4")(), getattr(store, "stageList$default$5")())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_interval_rows_are_shuffled_before_they_are_cut(spark):
+    """Events and points of some cell sizes: each is shuffled about once for its day, not once for every cell and direction."""
+    zero, n = datetime(2020, 1, 1), 2000
+    spans = (timedelta(minutes=2), timedelta(minutes=9), timedelta(minutes=40), timedelta(minutes=225), timedelta(minutes=360))
+    events = [("X", zero + timedelta(minutes=i), zero + timedelta(minutes=i) + spans[i % 5], i) for i in range(n)]
+    points = [(i, zero + timedelta(minutes=i), "X", "X") for i in range(n)]
+    points, events = spark.createDataFrame(points, "id int, at timestamp, a string, b string"), spark.createDataFrame(events, "key string, s timestamp, e timestamp, v int")
+    before = shuffled_rows(spark)
+    assert exposure(points, events).count() == n
+    assert shuffled_rows(spark) - before < 5 * n
+
+
+def test_delay_features_join_flights_with_outcomes_once(spark):
+    from contrail.operators.model_features import delay_features
+    from contrail.plans.airline_views import Tables
+
+    t, reads = Tables(spark, "/root/testdata/sf0.001"), spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    flights = t.flight_schedule.mapInArrow(seen, t.flight_schedule.schema)
+    rows = delay_features(flights, t.delay_history, t.crew_operations, t.weather_events, t.airport_events, t.aircraft_health)
+    assert rows.count() and reads.value == t.flight_schedule.count()

@@ -116,3 +116,50 @@ def test_delay_features_join_flights_with_outcomes_once(spark):
     flights = t.flight_schedule.mapInArrow(seen, t.flight_schedule.schema)
     rows = delay_features(flights, t.delay_history, t.crew_operations, t.weather_events, t.airport_events, t.aircraft_health)
     assert rows.count() and reads.value == t.flight_schedule.count()
+
+
+def test_interval_rows_are_not_sorted_by_cell_and_direction(spark):
+    """Points take their measures from the pieces of their bucket in one pass: no window over pieces, however many cell sizes."""
+    zero = datetime(2020, 1, 1)
+    points = spark.createDataFrame([(1, zero, "X", "Y")], "id int, at timestamp, a string, b string")
+    events = spark.createDataFrame([("X", zero, zero + timedelta(hours=h), h) for h in (0, 1, 5)], "key string, s timestamp, e timestamp, v int")
+    assert "Window" not in exposure(points, events)._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("rows, groups", [(200_000, 8192), (7, 2)])
+def test_covering_equals_brute_force(monkeypatch, rows, groups):
+    """Batches and slices that cut groups anywhere; nulls and NaN as Spark's aggregates take them."""
+    import numpy as np
+    import pyarrow as pa
+
+    from contrail.operators import covering
+
+    monkeypatch.setattr(covering, "ROWS", rows)
+    monkeypatch.setattr(covering, "GROUPS", groups)
+    draw, nan = Random(11), float("nan")
+    data = []
+    for g in range(12):  # key, bucket of size 100
+        key, at = "XY"[g % 2], g // 2
+        for i in range(draw.randrange(9)):
+            data.append((g, key, at, at * 100 + draw.randrange(100), None, None, 100 * g + i))
+        for _ in range(draw.randrange(9)):
+            s = draw.randrange(100)
+            data.append((g, key, at, at * 100 + s, draw.randint(1, 100 - s), draw.choice([None, nan, 1.0, 5.0, -2.0]), None))
+    names = ["_group", "_key", "_bucket", "_s", "_len", "_m_v", "_point"]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
+    table = pa.table([pa.array(list(c), t) for c, t in zip(zip(*data), types, strict=True)], names=names)
+    table = table.append_column("_m_w", table.column("_m_v")).append_column("_m_n", pa.array([1] * len(data), pa.int32()))
+    run = covering.active({"v": "max", "w": "min", "n": "count"}, ["_point"], [100], 1)
+    got = {r["_point"]: (r["_m_v"], r["_m_w"], r["_m_n"]) for b in run(iter(table.to_batches(max_chunksize=5))) for r in b.to_pylist()}
+    expected = {}
+    for g, _, _, t, length, _, point in data:
+        hit = [d[5] for d in data if d[0] == g and d[4] is not None and d[3] <= t < d[3] + d[4]]
+        if length is None and hit:
+            known = [v for v in hit if v is not None]
+            plain = [v for v in known if v == v]
+            most = None if not known else nan if len(plain) < len(known) else max(known)
+            least = None if not known else min(plain) if plain else nan
+            expected[point] = (most, least, len(hit))
+    assert got.keys() == expected.keys() and len(got) > 10
+    for point, values in expected.items():
+        np.testing.assert_equal([*got[point]], [*values])

@@ -629,6 +629,31 @@ def test_retrieval_matches_brute_force(spark):
         assert sorted(got.get(rid, [])) == want, rid
 
 
+def test_long_lists_are_cut_to_what_can_rank(spark, monkeypatch):
+    items = [
+        (f"EVD-{i:04d}", ["delay_prediction", "validation"][i % 2], "t", "flight", f"F{i}", str(i % 7), (i * 37 % 1000) / 1000, "low", {"route_id": "R"})
+        for i in range(1500)
+    ]
+    evidence = spark.createDataFrame(
+        items,
+        "evidence_id string, source_domain string, evidence_type string, entity_type string, entity_id string, "
+        "timestamp_or_date string, metric_value double, severity string, raw_fields map<string,string>",
+    ).withColumns({"summary_text": F.lit("s"), "source_record_id": F.lit("r"), "metric_name": F.lit("m")})
+    asked = [(intent, intent, None, "R", None, None) for intent in E.INTENT_PRIORITY]
+    requests = spark.createDataFrame(
+        asked,
+        "request_id string, intent string, flight_id string, route_id string, aircraft_id string, airport_code string",
+    )
+    lists = E.evidence_tokens(evidence, ["route_id"]).where("value = 'R'")
+    lengths = lists.groupBy("filter", "value").agg(F.count(F.lit(1)).alias("_length"))
+    assert E._contenders(lists, lengths, 6).count() < 50
+    cut = rows(E.retrieve_evidence(requests, evidence, 6))
+    monkeypatch.setattr(E, "LONG_LIST", 10_000)
+    whole = rows(E.retrieve_evidence(requests, evidence, 6))
+    key = lambda r: (r["request_id"], r["rank"])
+    assert sorted(cut, key=key) == sorted(whole, key=key) and len(whole) == 6 * len(asked)
+
+
 def test_guardrails_need_known_citations(spark):
     responses = spark.createDataFrame(
         [("a", "disruption_summary", 0), ("b", "poem", 0)], "response_id string, intent string, unsupported_claim_count int"

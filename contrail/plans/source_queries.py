@@ -9,7 +9,7 @@ from contrail.operators import quality as Q
 from contrail.operators.findings import union_all
 from contrail.plans.airline_views import BASE_TABLES, Tables
 from contrail.plans.registry import query
-from contrail.plans.validation_queries import stored_findings, typed_tables
+from contrail.plans.validation_queries import stored_marks, typed_tables
 from contrail.session import new_folder
 from contrail.sources import contracts as C
 from contrail.sources import readers as S
@@ -92,7 +92,7 @@ def row_number_assign(t: Tables) -> DataFrame:
 )
 def write_processed(t: Tables) -> DataFrame:
     """The valid flights written in the contract's column order and read back."""
-    valid, _ = Q.split_valid_quarantined(typed_tables(t)["flight_schedule"], stored_findings(t), "flight_schedule")
+    valid, _ = Q.split_valid_quarantined(typed_tables(t)["flight_schedule"], stored_marks(t, "flight_schedule"), "flight_schedule")
     path = new_folder(t.spark, "processed")
     W.write_processed(valid, path, C.FLIGHT_SCHEDULE)
     back = t.spark.read.parquet(path)

@@ -163,3 +163,27 @@ def test_covering_equals_brute_force(monkeypatch, rows, groups):
     assert got.keys() == expected.keys() and len(got) > 10
     for point, values in expected.items():
         np.testing.assert_equal([*got[point]], [*values])
+
+
+def test_marks_are_those_of_the_findings(spark):
+    """The narrow findings that metrics and quarantine read, table by table."""
+    from contrail.operators.findings import MARKS
+    from contrail.plans import validation_queries as VQ
+    from contrail.plans.airline_views import Tables
+
+    t = Tables.of(spark, "/root/testdata/sf0.001")
+    count = lambda df: {tuple(r) for r in df.groupBy(*MARKS).count().collect()}
+    marks = VQ.stored_marks(t)
+    assert marks.columns == list(MARKS)
+    assert count(marks) == count(VQ.all_findings(t))
+    assert count(VQ.stored_marks(t, "delay_history")) == count(VQ.delay_findings(t))
+
+
+def test_flight_core_is_joined_once(spark):
+    """Views begin with a stored table, and a finished job leaves no shuffle files."""
+    from contrail.plans.airline_views import Tables
+
+    t = Tables.of(spark, "/root/testdata/sf0.001")
+    plan = t.flight_schedule._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
